@@ -29,12 +29,40 @@ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 """
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+#: Labelled rows of either label that the lexicon is learned from, at most.
+TOXIC_SAMPLE = 3000
+
+
+def is_held_out(column: str = "doc_id"):
+    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(3)) == 1
+
+
+def learned_lexicon(spark: SparkSession, sf_dir: str):
+    from .toxicity import learn, training_rows
+
+    labels = table(spark, sf_dir, "labels").filter(~is_held_out())
+    return learn(*training_rows(table(spark, sf_dir, "documents"), labels, TOXIC_SAMPLE))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    out = toxicity(table(spark, sf_dir, "documents"), learned_lexicon(spark, sf_dir))
+    return out.select("doc_id", F.coalesce(is_held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "weight", "n_words")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
@@ -49,7 +77,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op6_mixing, op9_sharding, op10_packing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_quality, op6_mixing, op7_toxicity, op9_sharding, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
