@@ -35,6 +35,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_output import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -77,7 +83,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_quality, op6_mixing, op7_toxicity, op9_sharding, op10_packing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_quality, op5_token_output, op6_mixing, op7_toxicity, op9_sharding, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
