@@ -35,6 +35,13 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import substring_dedup
+
+    out = substring_dedup(table(spark, sf_dir, "documents"), length=400, keep_first=False)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_output import round_trip
 
@@ -89,7 +96,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_quality, op5_token_output, op6_mixing, op7_toxicity, op8_jaccard_join, op9_sharding, op10_packing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_quality, op3_substring_dedup, op5_token_output, op6_mixing, op7_toxicity, op8_jaccard_join, op9_sharding, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
