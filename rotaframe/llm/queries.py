@@ -42,6 +42,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import chat_format
+
+    return chat_format(table(spark, sf_dir, "conversations"))
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_output import round_trip
 
@@ -96,7 +102,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_quality, op3_substring_dedup, op5_token_output, op6_mixing, op7_toxicity, op8_jaccard_join, op9_sharding, op10_packing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_quality, op3_substring_dedup, op4_chat_format, op5_token_output, op6_mixing, op7_toxicity, op8_jaccard_join, op9_sharding, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
