@@ -208,13 +208,17 @@ def _select(rows: DataFrame) -> DataFrame:
 
 
 def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mixture itself: each row of docs as often as it is taken, with all its columns."""
-    chosen = mix(docs, id_col, text_col, source_col, **options).filter("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.col("copies").alias("_copies"), F.col("row").alias("_mix_row"))
-    # rows with one id are told apart by their rank among it, so none is taken for another
-    rank = Window.partitionBy("_mix_id").orderBy("_mix_row")
-    chosen = chosen.withColumn("_rank", F.row_number().over(rank)).withColumn("_most", F.count("*").over(Window.partitionBy("_mix_id")))
-    first = chosen.groupBy("_mix_id").agg(F.sum("_copies").alias("_copies"))
-    ids = Window.partitionBy(F.col(id_col)).orderBy(F.lit(0))
-    own = docs.withColumn("_nth", F.row_number().over(ids))
-    held = own.filter("_nth = 1").join(first, F.col(id_col).eqNullSafe(F.col("_mix_id")))
-    return held.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select(*docs.columns)
+    """The mixture itself: each row of docs as often as it is taken, with all its columns.
+
+    Rows with one id share what is taken of them evenly, as the order of such rows isn't known when they are read again.
+    """
+    chosen = mix(docs, id_col, text_col, source_col, **options)
+    by_id = chosen.groupBy(F.col("doc_id").alias("_mix_id")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    held = docs.join(by_id.filter("_copies > 0"), F.col(id_col).eqNullSafe(F.col("_mix_id")))
+    own = Window.partitionBy("_mix_id").orderBy(F.xxhash64(F.col(text_col)))
+    # ids are unique as a rule; only others are ranked
+    once = held.filter("_rows = 1").withColumn("_times", F.col("_copies").cast("int"))
+    more = held.filter("_rows > 1").withColumn("_nth", F.row_number().over(own))
+    more = more.withColumn("_times", (F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_nth") <= F.col("_copies") % F.col("_rows")).cast("int")).cast("int"))
+    both = once.select(*docs.columns, "_times").unionByName(more.select(*docs.columns, "_times"))
+    return both.filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

@@ -181,22 +181,33 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int, id_col: str =
     return [r.text for r in rows], [r.label for r in rows]
 
 
-def toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, weight (the sum of matched weights), n_words for each row of docs."""
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-
+def _scored(lexicon: Lexicon, kept_below: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = lexicon.automaton()
         for batch in batches:
             scores, totals, lengths = [], [], []
-            for text in batch.column("text").to_pylist():
+            for text in batch.column("_text").to_pylist():
                 folded = fold(text)
                 n = max(0, folded.count(" ") - 1) if folded.strip() else 0
                 total = matched(a, folded)
                 totals.append(total)
                 lengths.append(n)
                 scores.append(score(lexicon, total, n))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, type=pa.float64()), pa.array(totals, type=pa.float64()), pa.array(lengths, type=pa.int64())], names=["doc_id", "score", "weight", "n_words"])
+            if kept_below is None:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, type=pa.float64()), pa.array(totals, type=pa.float64()), pa.array(lengths, type=pa.int64())], names=["doc_id", "score", "weight", "n_words"])
+            else:
+                yield batch.filter(pa.array([s < kept_below for s in scores], type=pa.bool_())).drop_columns(["_text"])
+
+    return run
+
+
+def toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, score, weight (the sum of matched weights), n_words for each row of docs."""
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("_text"))
+    return rows.mapInArrow(_scored(lexicon, None), f"doc_id {kind}, score double, weight double, n_words long")
+
 
-    return rows.mapInArrow(run, f"doc_id {kind}, score double, weight double, n_words long")
+def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score under the threshold, with all their columns; one pass, no join."""
+    return docs.withColumn("_text", text_or_empty(text_col)).mapInArrow(_scored(lexicon, threshold), docs.schema)
