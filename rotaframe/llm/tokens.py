@@ -1,25 +1,36 @@
 """Token ids from a public vocabulary file by the tokenizers library, with a memo of pieces.
 
 The library's own ids for a text are those of its pieces, one after another, if
-the text is split before a single space that stands between two characters that
-aren't white space: no pre-token of these vocabularies goes on across such a
-place. So each distinct piece is encoded by the library once in a worker and
-looked up after that. A text in which white space meets a space any other way
-is encoded whole. tests/llm/test_tokens.py holds both ways equal.
+the text is split before a single space or line feed that stands between two
+characters that aren't white space: no pre-token of these vocabularies goes on
+across such a place. So each distinct piece is encoded by the library once in a
+worker and looked up after that. A text with white space at either end or next
+to other white space is encoded whole. tests/llm/test_tokens.py holds both ways equal.
 """
 
 from __future__ import annotations
 
-import re
+import os
+from collections.abc import Iterator
 from typing import ClassVar
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: White space next to a space, or a space at either end: no safe place to split.
-UNSAFE = re.compile(r"\s | \s|\A | \Z")
-#: Pieces that a memo holds before it is begun anew; about 150 MB.
-MEMO = 600_000
+# a task has one core
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+#: Pieces of one generation of the memo. There are two: when one is full it becomes the old one,
+#: and pieces met again move on to the next, so that common pieces stay. About 200 MB in all.
+MEMO = 500_000
+#: Characters encoded at a time.
+CHUNK = 1 << 20
+
+
+def unsafe(piece: str) -> bool:
+    """Whether more white space meets that before a piece, or that after it."""
+    body = piece[1:] if piece[:1] in (" ", "\n") else piece
+    return not body or body[0].isspace() or body[-1].isspace()
 
 
 class Encoder:
@@ -31,6 +42,7 @@ class Encoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of more than 16 bits")
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @classmethod
     def shared(cls, path: str) -> Encoder:
@@ -39,31 +51,69 @@ class Encoder:
             cls._of[path] = cls(path)
         return cls._of[path]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, as uint16."""
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, as uint16; about a million characters are worked on at a time."""
+        some: list[str] = []
+        size = 0
+        for text in texts:
+            some.append(text)
+            size += len(text)
+            if size >= CHUNK:
+                yield from self._encode(some)
+                some, size = [], 0
+        yield from self._encode(some)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.memo) > MEMO:
-            self.memo = {}
-        memo = self.memo
+            self.memo, self.old = {}, self.memo
+        memo, old = self.memo, self.old
         pieces = []
-        new: dict[str, None] = {}
+        new: dict[str, bool] = {}  # pieces not known yet, and whether they are unsafe
         for text in texts:
-            if UNSAFE.search(text):
-                own = [text]
-            else:
-                # the space belongs to the piece after it
-                own = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
-            pieces.append(own)
-            for piece in own:
-                if piece not in memo:
-                    new[piece] = None
-        for piece, encoding in zip(new, self.tokenizer.encode_batch(list(new), add_special_tokens=False), strict=True):
-            memo[piece] = np.array(encoding.ids, dtype=np.uint16).tobytes()
-        out = [np.frombuffer(b"".join([memo[p] for p in own]), dtype=np.uint16) for own in pieces]
-        for piece in new:
-            if len(piece) > 64:  # long pieces rarely come again
+            # white space belongs to the piece after it
+            own = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") if "\0" not in text else [text]
+            ids = [*map(memo.get, own)]
+            if None in ids:
+                miss = [p for p, x in zip(own, ids, strict=True) if x is None]
+                if known := [p for p in miss if p in old]:
+                    memo.update(zip(known, map(old.__getitem__, known), strict=True))
+                    miss = [p for p in miss if p not in old]
+                for p in miss:
+                    if p not in new:
+                        new[p] = unsafe(p)
+                if any(map(new.__getitem__, miss)):
+                    own, ids = [text], [None]
+                    new[text] = True
+            pieces.append((own, ids))
+        self._learn(new)
+        out = []
+        for own, ids in pieces:
+            if None in ids:
+                ids = [memo[p] if x is None else x for p, x in zip(own, ids, strict=True)]
+            out.append(np.frombuffer(b"".join(ids), dtype=np.uint16))
+        for piece, bad in new.items():
+            if bad or len(piece) > 64:  # long pieces rarely come again; an unsafe one isn't to be taken for known
                 del memo[piece]
         return out
 
+    def _learn(self, new: dict[str, bool]) -> None:
+        """Encode pieces, many at a call: safe ones that begin with white space may follow one another, and offsets tell their ids apart."""
+        memo = self.memo
+        follow, alone = [], []
+        for piece, bad in new.items():
+            (alone if bad or piece[0] not in " \n" else follow).append(piece)
+        groups = [follow[i : i + 200] for i in range(0, len(follow), 200)]
+        for group, encoding in zip(groups, self.tokenizer.encode_batch(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+            data = np.array(encoding.ids, dtype=np.uint16).tobytes()
+            starts = np.fromiter((a for a, _ in encoding.offsets), dtype=np.int64, count=len(data) // 2)
+            ends = np.searchsorted(starts, np.cumsum(np.fromiter(map(len, group), dtype=np.int64, count=len(group)))) * 2
+            begin = 0
+            for piece, end in zip(group, ends.tolist(), strict=True):
+                memo[piece] = data[begin:end]
+                begin = end
+        for piece, encoding in zip(alone, self.tokenizer.encode_batch(alone, add_special_tokens=False), strict=True):
+            memo[piece] = np.array(encoding.ids, dtype=np.uint16).tobytes()
+
     def sentence_ends(self) -> np.ndarray:
         """True at ids that end a sentence: tokens of closing punctuation with a full stop, ! or ?."""
         ends = np.zeros(1 << 16, dtype=bool)
