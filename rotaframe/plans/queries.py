@@ -103,7 +103,7 @@ def leave_one_out_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def reject_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lineitem(spark, sf_dir).select("part", F.struct("ord", "line", "supp", "x").alias("s"), "x", (F.lit(2.0e12) / F.col("w")).alias("v"))
+    rows = lineitem(spark, sf_dir).select("part", F.struct("ord", "line", "supp", "x").alias("s"), "x", F.lit(8.0e12).alias("v"))
     rows = rows.select("part", F.xxhash64("s").alias("row_id"), F.col("x").cast("double").alias("x"), "v")
     return windows.reject_outliers(rows, ["part"], "row_id", "x", "v", limit=2.0)
 
