@@ -1,6 +1,7 @@
-"""Geometry of a rotation experiment as column expressions: all of it stays in whole-stage code generation.
+"""Geometry of a rotation experiment as column expressions, all of it in the JVM.
 
-Vectors are structs with x, y and z.
+Vectors are structs with x, y and z. Every function that uses an argument more than once binds it first (let), so
+that nested calls give trees that grow with their number and not exponentially.
 """
 
 from __future__ import annotations
@@ -17,34 +18,43 @@ def vec(x, y, z) -> Column:
     return F.struct(as_col(x).alias("x"), as_col(y).alias("y"), as_col(z).alias("z"))
 
 
-def dot(a: Column, b: Column) -> Column:
+def let(arguments: list, f) -> Column:
+    """f of the arguments, each evaluated once."""
+    bound = F.struct(*((a if isinstance(a, Column) else F.lit(a)).alias(f"_{i}") for i, a in enumerate(arguments)))
+    return F.transform(F.array(bound), lambda s: f(*(s[f"_{i}"] for i in range(len(arguments)))))[0]
+
+
+def _dot(a: Column, b: Column) -> Column:
     return a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"]
 
 
+def dot(a: Column, b: Column) -> Column:
+    return let([a, b], _dot)
+
+
 def cross(a: Column, b: Column) -> Column:
-    return vec(a["y"] * b["z"] - a["z"] * b["y"], a["z"] * b["x"] - a["x"] * b["z"], a["x"] * b["y"] - a["y"] * b["x"])
+    return let([a, b], lambda a, b: vec(a["y"] * b["z"] - a["z"] * b["y"], a["z"] * b["x"] - a["x"] * b["z"], a["x"] * b["y"] - a["y"] * b["x"]))
 
 
 def scaled(a: Column, f: Column) -> Column:
-    return vec(a["x"] * f, a["y"] * f, a["z"] * f)
+    return let([a, f], lambda a, f: vec(a["x"] * f, a["y"] * f, a["z"] * f))
 
 
 def plus(a: Column, b: Column) -> Column:
-    return vec(a["x"] + b["x"], a["y"] + b["y"], a["z"] + b["z"])
+    return let([a, b], lambda a, b: vec(a["x"] + b["x"], a["y"] + b["y"], a["z"] + b["z"]))
 
 
 def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
+    return let([a], lambda a: F.sqrt(_dot(a, a)))
 
 
 def unit(a: Column) -> Column:
-    return scaled(a, 1 / norm(a))
+    return let([a], lambda a: scaled(a, 1 / norm(a)))
 
 
 def rotated(v: Column, axis: Column, angle: Column) -> Column:
     """Rodrigues' formula; axis of unit length, angle in radians."""
-    c, s = F.cos(angle), F.sin(angle)
-    return plus(plus(scaled(v, c), scaled(cross(axis, v), s)), scaled(axis, dot(axis, v) * (1 - c)))
+    return let([v, axis, F.cos(angle), F.sin(angle)], lambda v, u, c, s: plus(plus(scaled(v, c), scaled(cross(u, v), s)), scaled(u, _dot(u, v) * (1 - c))))
 
 
 def z_to_phi(z: Column, first_image: Column, start: Column, width: Column) -> Column:
@@ -62,8 +72,7 @@ def fraction_of_scan(z: Column, first_image: Column, last_image: Column) -> Colu
 
 def parallax(cos_angle: Column, mu: Column, thickness: Column) -> Column:
     """Mean depth at which a ray is absorbed, along the ray."""
-    path = thickness / cos_angle
-    return 1 / mu - (path + 1 / mu) * F.exp(-mu * path)
+    return let([thickness / cos_angle, mu], lambda path, mu: 1 / mu - (path + 1 / mu) * F.exp(-mu * path))
 
 
 def px_to_mm(x: Column, y: Column, pixel: Column, ray: Column, fast: Column, slow: Column, normal: Column, mu: Column, thickness: Column) -> tuple[Column, Column]:
@@ -90,11 +99,8 @@ def reciprocal_point(lab: Column, beam: Column, axis: Column, phi: Column) -> Co
 
 def panel_hit(s1: Column, origin: Column, fast: Column, slow: Column) -> tuple[Column, Column, Column]:
     """(x mm, y mm, whether the ray meets the plane in front of it)."""
-    normal = cross(fast, slow)
-    along = dot(s1, normal)
-    at = scaled(s1, dot(origin, normal) / along)
-    off = plus(at, scaled(origin, F.lit(-1.0)))
-    return dot(off, fast), dot(off, slow), dot(origin, normal) / along > 0
+    hit = let([s1, origin, fast, slow, cross(fast, slow)], lambda s1, o, f, s, n: let([scaled(s1, _dot(o, n) / _dot(s1, n))], lambda at: let([plus(at, scaled(o, F.lit(-1.0)))], lambda off: F.struct(_dot(off, f).alias("x"), _dot(off, s).alias("y"), (_dot(o, n) / _dot(s1, n) > 0).alias("front")))))
+    return hit["x"], hit["y"], hit["front"]
 
 
 def cell_volume(a: Column, b: Column, c: Column, alpha: Column, beta: Column, gamma: Column) -> Column:
@@ -119,13 +125,10 @@ def quantum_efficiency(mu: Column, thickness: Column, cos_angle: Column) -> Colu
 
 def lorentz_polarization(s0: Column, s1: Column, axis: Column, pol_normal: Column, fraction: Column) -> Column:
     """L / P, the factor that corrects an intensity."""
-    lorentz = F.abs(dot(s1, cross(axis, s0))) / (norm(s0) * norm(s1))
-    u, v = unit(s0), unit(s1)
-    across = dot(cross(u, pol_normal), v)
-    along = dot(pol_normal, v)
-    cos2 = dot(u, v)
-    p = (1 - 2 * fraction) * (1 - along * along) + fraction * (1 + cos2 * cos2)
-    return lorentz / (p + 0 * across)
+    def p(u: Column, v: Column, n: Column) -> Column:
+        return (1 - 2 * fraction) * (1 - _dot(n, v) * _dot(n, v)) + fraction * (1 + _dot(u, v) * _dot(u, v))
+
+    return let([s0, s1, cross(axis, s0), pol_normal], lambda s0, s1, c, n: F.abs(_dot(s1, c)) / (norm(s0) * norm(s1)) / let([unit(s0), unit(s1), n], p))
 
 
 def zeta(s0: Column, s1: Column, axis: Column) -> Column:
@@ -138,12 +141,15 @@ _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(28)
 
 def erf(x: Column) -> Column:
     """The error function, to about 1e-12, by Gauss-Legendre quadrature: Spark SQL has none."""
-    t = F.least(F.abs(x), F.lit(6.0))
-    total = F.lit(0.0)
-    for node, weight in zip(_NODES, _WEIGHTS, strict=True):
-        u = t * float((node + 1) / 2)
-        total = total + F.exp(-u * u) * float(weight / 2)
-    return F.signum(x) * total * t * (2 / math.sqrt(math.pi))
+    def total(x: Column) -> Column:
+        t = F.least(F.abs(x), F.lit(6.0))
+        out = F.lit(0.0)
+        for node, weight in zip(_NODES, _WEIGHTS, strict=True):
+            u = t * float((node + 1) / 2)
+            out = out + F.exp(-u * u) * float(weight / 2)
+        return F.signum(x) * out * t * (2 / math.sqrt(math.pi))
+
+    return let([x], total)
 
 
 def partiality(phi: Column, phi_low: Column, phi_high: Column, sigma_m: Column, zeta_value: Column) -> Column:
@@ -154,7 +160,8 @@ def partiality(phi: Column, phi_low: Column, phi_high: Column, sigma_m: Column,
 
 def kabsch_epsilon(s1: Column, s1_pixel: Column, s0: Column) -> tuple[Column, Column]:
     """Coordinates of a pixel in a reflection's own frame, in radians."""
-    e1 = unit(cross(s1, s0))
-    e2 = unit(cross(s1, e1))
-    off = plus(s1_pixel, scaled(s1, F.lit(-1.0)))
-    return dot(e1, off) / norm(s1), dot(e2, off) / norm(s1)
+    def frame(s1: Column, pixel: Column, e1: Column) -> Column:
+        return let([unit(cross(s1, e1)), plus(pixel, scaled(s1, F.lit(-1.0))), norm(s1), e1], lambda e2, off, n, e1: F.struct((_dot(e1, off) / n).alias("a"), (_dot(e2, off) / n).alias("b")))
+
+    out = let([s1, s1_pixel, unit(cross(s1, s0))], frame)
+    return out["a"], out["b"]
