@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rotaframe.operators import joins, merging, selection, windows
+from rotaframe.functions import geometry
+from rotaframe.operators import images, joins, merging, selection, symmetry, windows
 
+from . import scaling
 from .registry import query
 
 
@@ -423,3 +425,80 @@ def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     possible = spark.range(40).withColumnRenamed("id", "h").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(24))))
     out = merging.completeness(seen.withColumn("shell", shell), possible.withColumn("shell", shell), "shell")
     return out.select("shell", "possible", "seen", F.round("completeness", 9).alias("completeness"))
+
+
+@query("""
+WITH i AS (SELECT CAST(l_partkey % 9 - 4 AS INTEGER) AS h, CAST(l_suppkey % 7 - 3 AS INTEGER) AS k, CAST(l_linenumber - 4 AS INTEGER) AS l FROM lineitem)
+SELECT abs(h) AS h, abs(k) AS k, abs(l) AS l, count(*) AS n, CAST(sum(CASE WHEN h = 0 OR k = 0 OR l = 0 THEN 1 ELSE 0 END) AS BIGINT) AS centric,
+  CAST(sum(CASE WHEN (h + k + l) % 2 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS absent FROM i GROUP BY 1, 2, 3
+""")
+def symmetry_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    group = symmetry.SpaceGroup.of("222", "I")
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 9 - 4).cast("int").alias("h"), (F.col("l_suppkey") % 7 - 3).cast("int").alias("k"), (F.col("l_linenumber") - 4).alias("l"))
+    own = rows.select(symmetry.unique_index(group).alias("u"), symmetry.is_centric(group).alias("c"), symmetry.is_absent(group).alias("a"))
+    return own.groupBy("u.h", "u.k", "u.l").agg(F.count("*").alias("n"), F.sum(F.col("c").cast("long")).alias("centric"), F.sum(F.col("a").cast("long")).alias("absent"))
+
+
+@query("""
+WITH i AS (SELECT DISTINCT l_partkey % 9 AS h, l_suppkey % 7 AS k, l_linenumber AS l FROM lineitem)
+SELECT h, k, l, k AS h2, h AS k2, -l AS l2 FROM i
+""")
+def reindexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 9).alias("h"), (F.col("l_suppkey") % 7).alias("k"), F.col("l_linenumber").alias("l")).distinct()
+    out = rows.withColumns({"h2": F.col("h"), "k2": F.col("k"), "l2": F.col("l")})
+    return symmetry.reindexed(out, ((0, 1, 0), (1, 0, 0), (0, 0, -1)), "h2", "k2", "l2")
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_size + 5.0::DOUBLE AS a, p_retailprice / 50 AS c, 1 + p_partkey % 4 AS h, p_partkey % 3 AS k, p_partkey % 5 AS l FROM part),
+d AS (SELECT p_partkey, 1 / sqrt((4.0::DOUBLE / 3) * (h * h + h * k + k * k) / (a * a) + l * l / (c * c)) AS d FROM p)
+SELECT p_partkey, round(d, 7) AS d, greatest(0, least(CAST(floor((1 / (d * d * d) - 1 / 8000.0::DOUBLE) / (1 - 1 / 8000.0::DOUBLE) * 20) AS INTEGER), 19)) AS shell, round(1 - exp(-0.9 * 0.45 / (0.5 + h / 10.0)), 9) AS qe FROM d JOIN p USING (p_partkey)
+""")
+def spacing_and_shells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") + 5.0).alias("a"), (F.col("p_retailprice") / 50).alias("c"), (1 + F.col("p_partkey") % 4).alias("h"), (F.col("p_partkey") % 3).alias("k"), (F.col("p_partkey") % 5).alias("l"))
+    d = geometry.d_spacing(F.col("h"), F.col("k"), F.col("l"), F.col("a"), F.col("a"), F.col("c"), F.lit(90.0), F.lit(90.0), F.lit(120.0))
+    out = p.withColumn("d", d)
+    return out.select("p_partkey", F.round("d", 7).alias("d"), merging.resolution_shell(F.col("d"), 1.0, 20.0, 20).alias("shell"), F.round(geometry.quantum_efficiency(F.lit(0.9), F.lit(0.45), 0.5 + F.col("h") / 10.0), 9).alias("qe"))
+
+
+@query("""
+SELECT o_orderkey, round(30.0::DOUBLE + (o_orderkey % 900 + 0.5::DOUBLE) * 0.1::DOUBLE, 9) AS phi, round((o_orderkey % 900 + 0.5::DOUBLE) / 900, 9) AS part,
+  round(1 / 2.5 - (0.45 / (0.6 + (o_custkey % 40) / 100.0) + 1 / 2.5) * exp(-2.5 * (0.45 / (0.6 + (o_custkey % 40) / 100.0))), 9) AS depth FROM orders
+""")
+def scan_and_parallax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = F.col("o_orderkey") % 900 + 0.5
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.round(geometry.z_to_phi(z, F.lit(1), F.lit(30.0), F.lit(0.1)), 9).alias("phi"), F.round(geometry.fraction_of_scan(z, F.lit(1), F.lit(900)), 9).alias("part"),
+        F.round(geometry.parallax(0.6 + (F.col("o_custkey") % 40) / 100.0, F.lit(2.5), F.lit(0.45)), 9).alias("depth"),
+    )
+
+
+@query("""
+WITH m AS (SELECT part, count(*) AS n FROM (SELECT l_partkey AS part FROM lineitem) GROUP BY 1), x AS (SELECT l_partkey AS part, CAST(l_quantity AS BIGINT) AS a, CAST(round(l_extendedprice * 100) AS BIGINT) AS b FROM lineitem)
+SELECT mid, round(sum(CASE WHEN n > 1 THEN off END) / sum(CASE WHEN n > 1 THEN total END), 6) AS r_meas FROM (
+  SELECT mid, part, n, sum(abs(v - mean)) * sqrt(n / greatest(n - 1.0::DOUBLE, 1)) AS off, sum(v) AS total FROM (
+    SELECT mid, x.part, m.n, v, avg(v) OVER (PARTITION BY mid, x.part) AS mean FROM (SELECT 0.0::DOUBLE AS mid, part, CAST(b AS DOUBLE) AS v FROM x UNION ALL SELECT 'inf'::DOUBLE, part, a * 100000.0::DOUBLE FROM x) x JOIN m ON x.part = m.part) GROUP BY 1, 2, 3) GROUP BY 1
+""")
+def combination_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), (F.col("l_quantity").cast("long") * 100000.0).alias("i_prf"), cents("l_extendedprice").cast("double").alias("i_sum"))
+    return merging.combination_choice(rows, ["part"], [0.0, float("inf")]).select("mid", F.round("r_meas", 6).alias("r_meas"))
+
+
+@query()
+def scaled_lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines scaled over ship dates, parts as groups."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("row_id"), F.col("l_partkey").alias("part"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("i"), F.lit(90000.0).alias("v"),
+        (micros("l_shipdate") / 86400e6 - 8000).alias("z"), (2.0 + F.col("l_linenumber") / 4).alias("d"),
+    )
+    kept, _ = scaling.scale(rows, ["part"], "row_id", scaling.Model(0.0, 3500.0, 6, 2), buckets=16)
+    return kept.select("row_id", "part", F.round("scale", 4).alias("scale"), F.round("i_scaled", 1).alias("i_scaled"))
+
+
+@query()
+def spots_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of touching marks: events as pixels of (user, minute of hour, hour), one day a sweep."""
+    e = table(spark, sf_dir, "events").withColumn("t", F.floor(micros("ts") / 60000000))
+    pixels = e.select(F.floor(F.col("t") / 1440).alias("sweep"), F.floor(F.col("t") % 1440 / 60).cast("int").alias("frame"), (F.col("user_id") % 40).cast("int").alias("y"), F.floor(F.col("t") % 60 / 6).cast("int").alias("x"), F.lit(1).cast("long").alias("value"))
+    once = pixels.groupBy("sweep", "frame", "y", "x").agg(F.sum("value").alias("value"))
+    return images.measure_spots(images.pixel_components(once), least=2, most=10**6, peak_distance=1e6).select("sweep", "n_signal", "total", "x0", "x1", "y0", "y1", "z0", "z1")
