@@ -158,3 +158,12 @@ def absence_scores(rows: DataFrame, candidates: dict[str, SpaceGroup], value: st
         gone = is_absent(group)
         parts.append(F.struct(F.lit(name).alias("group"), F.sum(gone.cast("long")).alias("forbidden"), F.avg(F.when(gone, sigma)).alias("i_over_sigma")))
     return rows.agg(F.array(*parts).alias("g")).select(F.explode("g").alias("g")).select("g.*")
+
+
+def element_scores(merged: DataFrame, operators: dict[str, Matrix], value: str = "i", least: int = 3) -> DataFrame:
+    """Correlation of reflections with their images under each operator, and the pairs behind it: images are exploded from the short list, one join."""
+    c = [F.col(x) for x in "hkl"]
+    images = F.explode(F.array(*(F.struct(F.lit(name).alias("operator"), *(v.cast("int").alias(f"{n}_") for v, n in zip(image(*c, m), "hkl", strict=True))) for name, m in operators.items())))
+    moved = merged.select("h", "k", "l", F.col(value).alias("a"), images.alias("o")).select("h", "k", "l", "a", "o.*").filter("NOT (h = h_ AND k = k_ AND l = l_)")
+    mates = merged.select(*(F.col(n).cast("int").alias(f"{n}_") for n in "hkl"), F.col(value).alias("b"))
+    return moved.join(mates, ["h_", "k_", "l_"]).groupBy("operator").agg(F.count("*").alias("pairs"), F.corr("a", "b").alias("cc")).filter(F.col("pairs") >= least)
