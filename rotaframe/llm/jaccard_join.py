@@ -40,11 +40,11 @@ from pyspark.sql import functions as F
 from .common import checkpoint, partitions_for, text_or_empty, written
 
 #: Bytes of text whose shingles make up a packet's block, and of text for each bucket.
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 10 << 20
 #: A shingle with more sets than this in one block is known to them as shared at once; its bucket hears of two of them.
 LOCALLY_HOT = 8
 #: Rounds of pivots before the pairs left are compared one by one.
-ROUNDS = 3
+ROUNDS = 2
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -55,7 +55,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def _word_hashes(words: list[bytes], memo: dict[bytes, int]) -> np.ndarray:
-    if len(memo) > 500_000:
+    if len(memo) > 200_000:
         memo.clear()
     for w in set(words).difference(memo):
         memo[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
@@ -337,12 +337,18 @@ def _verify(num: int, den: int):
 # ---- components ------------------------------------------------------------
 
 
+def fitting(df: DataFrame, rows: int, each: int = 200_000) -> DataFrame:
+    """df in no more partitions than its rows call for; in one, what follows needs no shuffle."""
+    return df.coalesce(partitions_for(rows, each, 1))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable, by alternating large-star and small-star steps.
 
     edges: u, v longs. No node's edges are ever gathered in one row; a hub's are reduced to their minimum.
     """
-    edges = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    edges = checkpoint(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = fitting(edges, edges.count())
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -354,6 +360,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u")
         edges = checkpoint(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
+        edges = fitting(edges, now[0])
         if now == before:
             break
         before = now
@@ -410,7 +417,6 @@ def links(sets: DataFrame, num: int, den: int) -> DataFrame:
     groups = members.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1")
     members = checkpoint(members.join(groups, "token").select("token", "key", "n", "m", "pos"))
     labels = spark.createDataFrame([], "node long, component long")
-    tested = spark.createDataFrame([], "a long, b long")
     for step in range(ROUNDS + 1):
         own = members.withColumn("component", F.col("key"))
         if step:
@@ -428,22 +434,16 @@ def links(sets: DataFrame, num: int, den: int) -> DataFrame:
             main = own.groupBy("token", "component").agg(F.count("*").alias("size")).groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
             pivots = own.join(main, "token").filter("component <> main")
         pairs = own.alias("x").join(pivots.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & _may_link(num, den))
-        pairs = pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"), F.col("y.key").alias("pivot")).groupBy("a", "b").agg(F.min("pivot").alias("pivot"))
-        pairs = checkpoint(pairs.join(tested, ["a", "b"], "left_anti"))
-        if not pairs.take(1):
-            if step < ROUNDS:
-                continue
-            break
-        tested = checkpoint(tested.unionByName(pairs.select("a", "b")))
+        pairs = pairs.groupBy(F.least("x.key", "y.key").alias("lo"), F.greatest("x.key", "y.key").alias("hi")).agg(F.min("y.key").alias("pivot"))
         # the pivot's set is b, so that one sorted copy serves its pairs
-        pairs = pairs.select(F.when(F.col("pivot") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("pivot").alias("b"))
+        pairs = pairs.select(F.when(F.col("pivot") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("a"), F.col("pivot").alias("b"))
         both = pairs.join(sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("sb")), "b")
         found = both.mapInArrow(_verify(num, den), "a long, b long")
         to = labels.withColumnRenamed("node", "a")
         joined = found.join(to, "a", "left").select(F.coalesce("component", "a").alias("u"), "b").join(labels.withColumnRenamed("node", "b"), "b", "left").select("u", F.coalesce("component", "b").alias("v"))
         over = components(joined)  # of components so far
         moved = labels.join(over.withColumnRenamed("node", "c").withColumnRenamed("component", "to"), F.col("component") == F.col("c"), "left").select("node", F.coalesce("to", "component").alias("component"))
-        labels = checkpoint(moved.unionByName(over.join(labels, "node", "left_anti")))
+        labels = checkpoint(fitting(moved.unionByName(over.join(labels, "node", "left_anti")), over.count()))
     return labels
 
 
