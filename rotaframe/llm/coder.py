@@ -34,6 +34,7 @@ SHARE = 1 << 12  # scale of the three shares
 MOST = 1 << 20  # the frequencies of order 0 add up to less
 BOTTOM = 1 << 26  # a range that straddles a top word is cut short below this
 SLOTS = 1 << 18  # of order 2
+SURER = np.array([1, 2, 3, 3], dtype=np.int32)  # a confidence after one more hit
 
 
 class Model:
@@ -42,14 +43,13 @@ class Model:
     def __init__(self, vocabulary: int, lanes: int, decodes: bool) -> None:
         self.decodes = decodes
         self.vocabulary = vocabulary
-        self.next1 = np.zeros(vocabulary, dtype=np.int64)
-        self.sure1 = np.zeros(vocabulary, dtype=np.int64)
-        self.next2 = np.zeros(SLOTS, dtype=np.int64)
-        self.sure2 = np.zeros(SLOTS, dtype=np.int64)
+        # by context: 4 * the id that last followed + how sure that is
+        self.next1 = np.zeros(vocabulary, dtype=np.int32)
+        self.next2 = np.zeros(SLOTS, dtype=np.int32)
         self.counts = np.ones(vocabulary, dtype=np.int64)
         self.shares = np.tile(np.array([2, 2, 12], dtype=np.int64), (16, 1))  # by both confidences: order 2, 1, 0
-        self.a = np.zeros(lanes, dtype=np.int64)  # the id before
-        self.b = np.zeros(lanes, dtype=np.int64)  # the one before that
+        self.a = np.zeros(lanes, dtype=np.int32)  # the id before
+        self.b = np.zeros(lanes, dtype=np.int32)  # the one before that
         self.step = 0
         self.seen: list[np.ndarray] = []
         self.build()
@@ -59,7 +59,7 @@ class Model:
         counts = self.counts
         if counts.sum() >= MOST:
             counts = self.counts = (counts + 1) >> 1
-        self.cumulative = np.concatenate([[0], np.cumsum(counts)])
+        self.cumulative = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
         self.total = int(self.cumulative[-1])
         # for the decoder: the id at each point
         self.inverse = np.repeat(np.arange(self.vocabulary, dtype=np.int32), counts) if self.decodes else None
@@ -67,20 +67,20 @@ class Model:
     def predict(self, n: int) -> tuple[np.ndarray, ...]:
         """For the first n lanes: slots and ids of orders 2 and 1, and the ends of their shares on the scale SHARE."""
         a = self.a[:n]
-        slot = (a * 0x9E3B + self.b[:n] * 0x85EB) & (SLOTS - 1)
+        slot = (a * np.int32(0x9E3B) + self.b[:n] * np.int32(0x85EB)) & np.int32(SLOTS - 1)  # wraps around
         p2, p1 = self.next2[slot], self.next1[a]
-        cell = self.sure2[slot] * 4 + self.sure1[a]
-        shares = self.ends[cell]
-        return slot, p2, p1, cell, shares[:, 0], shares[:, 1]
+        cell = (p2 & 3) * 4 + (p1 & 3)
+        e2, e1 = self.ends
+        return slot, p2 >> 2, p1 >> 2, cell, e2[cell], e1[cell]
 
     @property
-    def ends(self) -> np.ndarray:
+    def ends(self) -> tuple[np.ndarray, np.ndarray]:
         own = self.shares
         total = own.sum(axis=1)
         # at least 1 for orders 2 and 1, and 62 for order 0
         e2 = np.maximum(1, own[:, 0] * (SHARE - 64) // total)
         e1 = np.maximum(1, own[:, 1] * (SHARE - 64) // total)
-        return np.stack([e2, e2 + e1], axis=1)
+        return e2, e2 + e1
 
     def learn(self, ids: np.ndarray, slot: np.ndarray, cell: np.ndarray, which: np.ndarray, p2: np.ndarray, p1: np.ndarray) -> None:
         n = len(ids)
@@ -89,11 +89,8 @@ class Model:
             self.shares = (self.shares >> 1) + 1
         a = self.a[:n]
         # lanes with one context: the last lane's entry stands, as numpy assigns in order
-        right2, right1 = p2 == ids, p1 == ids
-        self.sure2[slot] = np.where(right2, np.minimum(self.sure2[slot] + 1, 3), 0)
-        self.sure1[a] = np.where(right1, np.minimum(self.sure1[a] + 1, 3), 0)
-        self.next2[slot] = ids
-        self.next1[a] = ids
+        self.next2[slot] = (ids << 2) + SURER[cell >> 2] * (p2 == ids)
+        self.next1[a] = (ids << 2) + SURER[cell & 3] * (p1 == ids)
         self.b[:n] = a
         self.a[:n] = ids
         self.seen.append(ids)
@@ -125,6 +122,11 @@ def _unit(r: np.ndarray, total: int) -> np.ndarray:
     return np.maximum((r * (1 / total)).astype(np.int64) - 1, 1)
 
 
+def _shares(which: np.ndarray, e2: np.ndarray, e1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ends of the share that is coded: order 2's from 0, order 1's above it, order 0's at the top."""
+    return np.where(which == 0, 0, np.where(which == 1, e2, e1)), np.where(which == 0, e2, np.where(which == 1, e1, SHARE))
+
+
 def _encode_ids(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
     """(words of each lane, all lanes' words)."""
     n = len(ids)
@@ -135,26 +137,22 @@ def _encode_ids(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarra
     low, size = np.zeros(lanes, dtype=np.int64), np.full(lanes, STATE)
     words = np.zeros((lanes, 4 * steps + 8), dtype=np.uint16)
     used = np.zeros(lanes, dtype=np.int64)
-    ids = ids.astype(np.int64)
+    ids = np.append(ids.astype(np.int32), np.int32(0))
+    columns = np.ascontiguousarray(ids[np.minimum(begin[None, :] + np.arange(steps)[:, None], n)])  # a step's ids side by side
     for t in range(steps):
         m = lanes if t < short else n - short * lanes
-        now = ids[begin[:m] + t]
+        now = columns[t, :m]
         slot, p2, p1, cell, e2, e1 = model.predict(m)
         which = np.where(now == p2, 0, np.where(now == p1, 1, 2))
         lo, r = low[:m], size[:m] >> 12
-        # the share of order 0 for all lanes, then the others' own
-        first, width = r * e1, r * (SHARE - e1)
+        bottom, top = _shares(which, e2, e1)
+        first, width = r * bottom, r * (top - bottom)
         rest = np.flatnonzero(which == 2)
         x = now[rest]
         c = model.cumulative[x]
         q = _unit(width[rest], model.total)
         first[rest] += q * c
         width[rest] = q * (model.cumulative[x + 1] - c)
-        sure = np.flatnonzero(which < 2)
-        zero = which[sure] == 0
-        at, to = np.where(zero, 0, e2[sure]), np.where(zero, e2[sure], e1[sure])
-        first[sure] = r[sure] * at
-        width[sure] = r[sure] * (to - at)
         lo += first
         size[:m] = width
         _put_out(lo, size[:m], words, used)
@@ -203,7 +201,6 @@ def _take_in(low: np.ndarray, size: np.ndarray, code: np.ndarray, flat: np.ndarr
 
 
 def _decode_ids(n: int, lanes: int, used: np.ndarray, flat: np.ndarray, vocabulary: int) -> np.ndarray:
-    begin = _runs(n, lanes)[:-1]
     steps, short = -(-n // lanes), n // lanes
     model = Model(vocabulary, lanes, True)
     low, size = np.zeros(lanes, dtype=np.int64), np.full(lanes, STATE)
@@ -212,34 +209,31 @@ def _decode_ids(n: int, lanes: int, used: np.ndarray, flat: np.ndarray, vocabula
     code = (flat[at] << 32) | (flat[at + 1] << 16) | flat[at + 2]
     at = at + 3
     flat = np.append(flat, np.zeros(4, dtype=np.int64))
-    ids = np.zeros(n, dtype=np.int64)
+    columns = np.zeros((steps, lanes), dtype=np.int32)
     for t in range(steps):
         m = lanes if t < short else n - short * lanes
         slot, p2, p1, cell, e2, e1 = model.predict(m)
         lo, r, co = low[:m], size[:m] >> 12, code[:m]
         off = co - lo
         which = np.where(off < r * e2, 0, np.where(off < r * e1, 1, 2))
-        first, width = r * e1, r * (SHARE - e1)
+        bottom, top = _shares(which, e2, e1)
+        first, width = r * bottom, r * (top - bottom)
         rest = np.flatnonzero(which == 2)
         q = _unit(width[rest], model.total)
         point = np.minimum(_floor_divide(off[rest] - first[rest], q), model.total - 1)
-        x = model.inverse[point].astype(np.int64)
+        x = model.inverse[point]
         c = model.cumulative[x]
         first[rest] += q * c
         width[rest] = q * (model.cumulative[x + 1] - c)
-        sure = np.flatnonzero(which < 2)
-        zero = which[sure] == 0
-        bottom, to = np.where(zero, 0, e2[sure]), np.where(zero, e2[sure], e1[sure])
-        first[sure] = r[sure] * bottom
-        width[sure] = r[sure] * (to - bottom)
         now = np.where(which == 0, p2, p1)
         now[rest] = x
         lo += first
         size[:m] = width
         _take_in(lo, size[:m], co, flat, at)
-        ids[begin[:m] + t] = now
+        columns[t, :m] = now
         model.learn(now, slot, cell, which, p2, p1)
-    return ids
+    lengths = np.diff(_runs(n, lanes))
+    return columns.T[np.arange(steps)[None, :] < lengths[:, None]]
 
 
 def encode_block(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, vocabulary: int) -> bytes:

@@ -41,6 +41,9 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of more than 16 bits")
+        # bytes of each token, where texts are taken as they are: each of its characters stands for a byte
+        plain = self.tokenizer.normalizer is None and "ByteLevel" in str(self.tokenizer.pre_tokenizer)
+        self.sizes = np.array([len(self.tokenizer.id_to_token(i)) for i in range(self.tokenizer.get_vocab_size())]) if plain else None
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -73,23 +76,27 @@ class Encoder:
             # white space belongs to the piece after it
             own = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") if "\0" not in text else [text]
             ids = [*map(memo.get, own)]
+            at: list[int] = []
             if None in ids:
-                miss = [p for p, x in zip(own, ids, strict=True) if x is None]
-                if known := [p for p in miss if p in old]:
-                    memo.update(zip(known, map(old.__getitem__, known), strict=True))
-                    miss = [p for p in miss if p not in old]
-                for p in miss:
-                    if p not in new:
-                        new[p] = unsafe(p)
+                at = [i for i, x in enumerate(ids) if x is None]
+                miss = []
+                for i in at:
+                    piece = own[i]
+                    if (known := old.get(piece)) is not None:
+                        memo[piece] = known
+                    else:
+                        miss.append(piece)
+                        if piece not in new:
+                            new[piece] = unsafe(piece)
                 if any(map(new.__getitem__, miss)):
-                    own, ids = [text], [None]
+                    own, ids, at = [text], [None], [0]
                     new[text] = True
-            pieces.append((own, ids))
+            pieces.append((own, ids, at))
         self._learn(new)
         out = []
-        for own, ids in pieces:
-            if None in ids:
-                ids = [memo[p] if x is None else x for p, x in zip(own, ids, strict=True)]
+        for own, ids, at in pieces:
+            for i in at:
+                ids[i] = memo[own[i]]
             out.append(np.frombuffer(b"".join(ids), dtype=np.uint16))
         for piece, bad in new.items():
             if bad or len(piece) > 64:  # long pieces rarely come again; an unsafe one isn't to be taken for known
@@ -104,9 +111,13 @@ class Encoder:
             (alone if bad or piece[0] not in " \n" else follow).append(piece)
         groups = [follow[i : i + 200] for i in range(0, len(follow), 200)]
         for group, encoding in zip(groups, self.tokenizer.encode_batch(["".join(g) for g in groups], add_special_tokens=False), strict=True):
-            data = np.array(encoding.ids, dtype=np.uint16).tobytes()
-            starts = np.fromiter((a for a, _ in encoding.offsets), dtype=np.int64, count=len(data) // 2)
-            ends = np.searchsorted(starts, np.cumsum(np.fromiter(map(len, group), dtype=np.int64, count=len(group)))) * 2
+            ids = np.array(encoding.ids, dtype=np.uint16)
+            if self.sizes is not None:  # every byte of a piece is in one token
+                ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in group])) + 1
+            else:
+                starts = np.fromiter((a for a, _ in encoding.offsets), dtype=np.int64, count=len(ids))
+                ends = np.searchsorted(starts, np.cumsum([*map(len, group)]))
+            data, ends = ids.tobytes(), ends * 2
             begin = 0
             for piece, end in zip(group, ends.tolist(), strict=True):
                 memo[piece] = data[begin:end]
