@@ -70,7 +70,8 @@ def shingle_sets(texts: list[bytes], n: int, memo: dict[bytes, int]) -> list[np.
     ends = np.cumsum(counts)
     rolled = h.copy()
     for k in range(1, n):  # rolled[i]: of words i to i + k
-        rolled[: len(h) - k] = mix64(rolled[: len(h) - k] * M1 + h[k:] + np.uint64(k))
+        m = max(0, len(h) - k)
+        rolled[:m] = mix64(rolled[:m] * M1 + h[k : k + m] + np.uint64(k))
     out = []
     for own, count, end in zip(words, counts.tolist(), ends.tolist(), strict=True):
         begin = end - count

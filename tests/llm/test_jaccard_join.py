@@ -94,6 +94,15 @@ def test_packed_hashes_and_short_texts():
     assert a.tolist() == b.tolist() != c.tolist() and len(d) == 0
 
 
+def test_short_texts_alone_in_a_partition(spark):
+    for words in range(1, 5):
+        (own,) = shingle_sets([b"a b c d"[: 2 * words - 1]], 5, {})
+        assert len(own) == 1
+    rows = [(i, "a b c d"[: 2 * (i % 4) + 1]) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(8, "doc_id")
+    assert result(df) == brute(rows)
+
+
 def test_components_of_random_graphs(spark):
     rng = random.Random(7)
     edges = [(rng.randrange(-60, 60), rng.randrange(-60, 60)) for _ in range(70)]
