@@ -10,8 +10,9 @@ repair, and the repaired messages are rendered with a template.
 A step of that program is a (min, +) product with a small matrix of transition
 costs, and such products can be bracketed anyhow. So a conversation of more than
 `large` turns needs no task that holds it: range partitioning cuts it into
-pieces, each piece is reduced to one matrix, the matrices alone are chained per
-conversation, and each piece is then traced back from its known ends.
+pieces, each piece is reduced to one matrix and the order of its paths of equal
+cost, these alone are chained per conversation, and each piece is then traced
+between its known ends. The rows are those of the conversation taken whole.
 
 Result: one row for each given turn, with the part of the rendered conversation
 that it adds; the parts in turn order make up the whole.
@@ -99,6 +100,18 @@ def chain(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum((a[..., :, None] + b).min(axis=-2), FOREVER)
 
 
+def ranked_chain(m: np.ndarray, rank: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """chain(m, t), and the ranks of the first states for each last one.
+
+    rank[first, last] orders the cheapest paths to a last state as repair() does: read from
+    the end, the lesser state goes first. So first states of equal cost are told apart.
+    """
+    through = m[:, :, None] + t
+    before = through.argmin(axis=1)
+    key = before * STATES + np.take_along_axis(rank, before, axis=1)
+    return np.minimum(through.min(axis=1), FOREVER), key.argsort(axis=0).argsort(axis=0)
+
+
 def role_number(role: str | None) -> int:
     name = (role or "").strip().lower()
     return ROLES.index(name) + 1 if name in ROLES else 0
@@ -225,38 +238,41 @@ def _large(rows: DataFrame, costs: Costs, template: Template, most: int, kind: s
                 yield b
 
         for conv, turns, arrow in _runs(tagged(batches), most):
-            m = None
+            m = np.where(np.eye(STATES, dtype=bool), 0, FOREVER)
+            rank = np.repeat(np.arange(STATES)[:, None], STATES, axis=1)
             for _, role, _ in turns:
-                t = transition(role_number(role), costs)
-                m = t if m is None else chain(m, t)
+                m, rank = ranked_chain(m, rank, transition(role_number(role), costs))
             turn_type = pa.struct([("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([conv], type=arrow), pa.array([(own << 33) + number]), pa.array([m.ravel().tolist()], type=pa.list_(pa.int64())), pa.array([[{"turn": a, "role": b, "text": c} for a, b, c in turns]], type=pa.list_(turn_type))],
-                names=["conv_id", "piece", "matrix", "turns"],
+                [pa.array([conv], type=arrow), pa.array([(own << 33) + number]), pa.array([m.ravel().tolist()], type=pa.list_(pa.int64())), pa.array([rank.ravel().tolist()], type=pa.list_(pa.int64())), pa.array([[{"turn": a, "role": b, "text": c} for a, b, c in turns]], type=pa.list_(turn_type))],
+                names=["conv_id", "piece", "matrix", "rank", "turns"],
             )
             number += 1
 
-    held = written(rows.withColumn("slice", F.spark_partition_id()).mapInArrow(pieces, f"conv_id {kind}, piece long, matrix array<long>, turns array<struct<turn: long, role: string, text: string>>"))
+    held = written(rows.withColumn("slice", F.spark_partition_id()).mapInArrow(pieces, f"conv_id {kind}, piece long, matrix array<long>, rank array<long>, turns array<struct<turn: long, role: string, text: string>>"))
 
     def ends(table: pa.Table) -> pa.Table:
-        """The matrices of one conversation, a piece each: least costs before each piece, and the state after it."""
+        """The matrices of one conversation, a piece each: the state before each piece with its cost, all others closed, and the state after it."""
         table = table.sort_by("piece")
-        matrices = [np.array(m, dtype=np.int64).reshape(STATES, STATES) for m in table.column("matrix").to_pylist()]
+        matrices, ranks = ([np.array(m, dtype=np.int64).reshape(STATES, STATES) for m in table.column(c).to_pylist()] for c in ("matrix", "rank"))
         v = np.full(STATES, FOREVER, dtype=np.int64)
         v[START] = 0
         before = [v]
         for m in matrices:
             before.append(chain(before[-1], m))
         state = int(before[-1].argmin())
-        cost, after = int(before[-1][state]), []
-        for v, m in zip(before[-2::-1], matrices[::-1], strict=True):
+        cost, after, entry = int(before[-1][state]), [], []
+        for v, m, rank in zip(before[-2::-1], matrices[::-1], ranks[::-1], strict=True):
             after.append(state)
-            state = int((v + m[:, state]).argmin())
+            total = v + m[:, state]
+            state = int(np.where(total == total.min(), rank[:, state], STATES).argmin())
+            entry.append(np.where(np.arange(STATES) == state, v, FOREVER).tolist())
         after.reverse()
+        entry.reverse()
         last = [i == len(after) - 1 for i in range(len(after))]
-        return pa.table({"piece": table.column("piece"), "entry": pa.array([b.tolist() for b in before[:-1]], type=pa.list_(pa.int64())), "after": pa.array(after, type=pa.int64()), "last": pa.array(last), "cost": pa.array([cost] * len(after), type=pa.int64())})
+        return pa.table({"piece": table.column("piece"), "entry": pa.array(entry, type=pa.list_(pa.int64())), "after": pa.array(after, type=pa.int64()), "last": pa.array(last), "cost": pa.array([cost] * len(after), type=pa.int64())})
 
-    known = held.select("conv_id", "piece", "matrix").groupBy("conv_id").applyInArrow(ends, "piece long, entry array<long>, after long, last boolean, cost long")
+    known = held.select("conv_id", "piece", "matrix", "rank").groupBy("conv_id").applyInArrow(ends, "piece long, entry array<long>, after long, last boolean, cost long")
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

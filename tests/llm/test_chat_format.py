@@ -80,6 +80,14 @@ def test_cut_conversations_cost_what_whole_ones_do(spark, rows):
             assert {r.conversation_cost for r in out if r.conv_id == conv} == {cheapest([role_number(t[2]) for t in sorted(turns, key=lambda t: [(x is not None, x if x is not None else 0) for x in t[1:2]] + [(x is not None, x or "") for x in t[2:]])])}
 
 
+def test_cut_conversations_are_repaired_as_whole_ones(spark, rows):
+    rows = [*rows, *((100, i, r, "t") for i, r in enumerate((None, None, None, "user")))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = sorted(map(tuple, chat_format(df).collect()), key=repr)
+    for large in (1, 2, 7):
+        assert sorted(map(tuple, chat_format(df, large=large).collect()), key=repr) == whole
+
+
 def test_rendering(spark):
     df = spark.createDataFrame([(1, 0, "assistant", "hi"), (1, 1, "user", "a"), (1, 2, "user", "<|end|>")], "conv_id long, turn long, role string, text string")
     out = "".join(r.rendered for r in sorted(chat_format(df).collect(), key=lambda r: r.turn))
