@@ -8,7 +8,8 @@ and so on (convex, so copies are spread before they are piled up), and
 successive shortest augmenting paths give a flow of least cost. The flow says
 how many words each pattern gives in all: whole rounds of all its documents,
 and a last part round, for which documents are taken in a seeded order until
-the words are reached.
+one doesn't fit. What is left then, less than that one's size, is filled with
+other documents, larger ones first, until none of those not taken fits.
 
 The seeded order is never a global sort. Hash bins of two levels are summed;
 running sums over bins find the bin where the part round ends, and only the
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import heapq
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -173,38 +175,61 @@ def _plan(rows: DataFrame, weights, share, most, max_patterns) -> list[tuple]:
     return plan
 
 
-def _select(rows: DataFrame) -> DataFrame:
-    """Take the part round: documents in seeded order while their running sum is within `part`."""
+def _within(rows: DataFrame, keys: list[str], small) -> DataFrame:
+    """rows with `inside`: those of each group of keys, in seeded order, whose running sum of `weight` is within `part`. small: how tables of a row a group are joined."""
     rows = rows.withColumns({"bin": F.shiftright("order", 50).cast("int"), "sub": F.shiftright("order", 38).bitwiseAND(F.lit(BINS - 1)).cast("int")})
 
     def running(df: DataFrame, key: str, keys: list[str], base) -> DataFrame:
-        """The words before each bin."""
+        """The weight before each bin."""
         w = Window.partitionBy(*keys).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-        sums = df.groupBy(*keys, key).agg(F.sum("size").alias("in_bin"), F.first("part").alias("part"), base.alias("base"))
+        sums = df.groupBy(*keys, key).agg(F.sum("weight").alias("in_bin"), F.first("part").alias("part"), base.alias("base"))
         return sums.withColumn("before", F.col("base") + F.coalesce(F.sum("in_bin").over(w), F.lit(0)))
 
-    bins = running(rows, "bin", ["sources"], F.lit(0).cast("long"))
-    # one bin of each pattern straddles the end of its part round
-    edge = bins.filter((F.col("before") < F.col("part")) & (F.col("before") + F.col("in_bin") > F.col("part"))).select("sources", "bin", F.col("before").alias("base"))
-    at_edge = rows.join(F.broadcast(edge), ["sources", "bin"])
-    subs = running(at_edge, "sub", ["sources", "bin"], F.first("base"))
-    # exact ranks only in the last sub-bin: about a row in BINS * BINS of the pattern
-    last = subs.filter((F.col("before") < F.col("part")) & (F.col("before") + F.col("in_bin") > F.col("part"))).select("sources", "bin", "sub", F.col("before").alias("sub_base"))
-    w = Window.partitionBy("sources").orderBy("order", "row").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = at_edge.join(F.broadcast(last), ["sources", "bin", "sub"]).withColumn("upto", F.col("sub_base") + F.sum("size").over(w))
-    cut = ranked.filter(F.col("upto") <= F.col("part")).groupBy("sources").agg(F.max(F.struct("order", "row")).alias("cut"))
+    bins = running(rows, "bin", keys, F.lit(0).cast("long"))
+    # one bin of each group straddles the end of its part
+    edge = bins.filter((F.col("before") < F.col("part")) & (F.col("before") + F.col("in_bin") > F.col("part"))).select(*keys, "bin", F.col("before").alias("base"))
+    at_edge = rows.join(small(edge), [*keys, "bin"])
+    subs = running(at_edge, "sub", [*keys, "bin"], F.first("base"))
+    # exact ranks only in the last sub-bin: about a row in BINS * BINS of the group
+    last = subs.filter((F.col("before") < F.col("part")) & (F.col("before") + F.col("in_bin") > F.col("part"))).select(*keys, "bin", "sub", F.col("before").alias("sub_base"))
+    w = Window.partitionBy(*keys).orderBy("order", "row").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = at_edge.join(small(last), [*keys, "bin", "sub"]).withColumn("upto", F.col("sub_base") + F.sum("weight").over(w))
+    cut = ranked.filter(F.col("upto") <= F.col("part")).groupBy(*keys).agg(F.max(F.struct("order", "row")).alias("cut"))
     ends = (
-        bins.filter(F.col("before") + F.col("in_bin") <= F.col("part")).groupBy("sources").agg(F.max("bin").alias("last_bin"))
-        .join(subs.filter(F.col("before") + F.col("in_bin") <= F.col("part")).groupBy("sources").agg(F.max(F.struct("bin", "sub")).alias("last_sub")), "sources", "full")
-        .join(cut, "sources", "full")
+        bins.filter(F.col("before") + F.col("in_bin") <= F.col("part")).groupBy(*keys).agg(F.max("bin").alias("last_bin"))
+        .join(subs.filter(F.col("before") + F.col("in_bin") <= F.col("part")).groupBy(*keys).agg(F.max(F.struct("bin", "sub")).alias("last_sub")), keys, "full")
+        .join(cut, keys, "full")
     )
     inside = (
         F.coalesce(F.col("bin") <= F.col("last_bin"), F.lit(False))
         | F.coalesce(F.struct("bin", "sub") <= F.col("last_sub"), F.lit(False))
         | F.coalesce(F.struct("order", "row") <= F.col("cut"), F.lit(False))
     )
-    copies = F.col("whole") + (inside & (F.col("part") > 0)).cast("int")
-    return rows.join(F.broadcast(ends), "sources", "left").select("doc_id", "row", "sources", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    return rows.join(small(ends), keys, "left").withColumn("inside", inside & (F.col("part") > 0)).drop("bin", "sub", "last_bin", "last_sub", "cut")
+
+
+def _fill(table: pa.Table) -> pa.Table:
+    """How many documents of each size fill what is left of one pattern's part round, the largest sizes first."""
+    table = table.sort_by([("size", "descending")])
+    left, need = table.column("left")[0].as_py(), []
+    for size, count in zip(table.column("size").to_pylist(), table.column("count").to_pylist(), strict=True):
+        need.append(min(count, left // size))
+        left -= need[-1] * size
+    return table.select(["sources", "size"]).append_column("need", pa.array(need, type=pa.int64())).filter(pa.array([n > 0 for n in need]))
+
+
+def _select(rows: DataFrame) -> DataFrame:
+    """Take the part round: documents in seeded order while their running sum is within `part`, then others that fit into what is left."""
+    chosen = checkpoint(_within(rows.withColumn("weight", F.col("size")), ["sources"], F.broadcast))
+    # a row a pattern; less is left than the size of the document at the cut
+    left = chosen.filter("part > 0").groupBy("sources").agg((F.first("part") - F.sum(F.when(F.col("inside"), F.col("size")).otherwise(0))).alias("left"))
+    rest = chosen.filter("part > 0 AND NOT inside AND size > 0")
+    sizes = rest.groupBy("sources", "size").agg(F.count("*").alias("count")).join(F.broadcast(left), "sources").filter("size <= left")
+    needs = sizes.groupBy("sources").applyInArrow(_fill, "sources array<string>, size long, need long")
+    fill = _within(rest.drop("part", "inside", "weight").join(needs.withColumnRenamed("need", "part"), ["sources", "size"]).withColumn("weight", F.lit(1)), ["sources", "size"], lambda df: df)
+    filled = fill.filter("inside").select("row", F.lit(1).alias("filled"))
+    copies = F.col("whole") + F.col("inside").cast("int") + F.coalesce("filled", F.lit(0))
+    return chosen.join(filled, "row", "left").select("doc_id", "row", "sources", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
 def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:

@@ -71,6 +71,16 @@ def test_documents(spark):
     assert mix(frame(spark, [])).collect() == []
 
 
+def test_what_a_long_document_leaves_is_filled(spark):
+    for seed in range(4):
+        rows = [(100 * seed + i, "w " * (i % 5 + 1), "a") for i in range(40)] + [(1000 + seed, "w " * 115, "a"), (2000 + seed, None, "a")]
+        got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+        short = got[0].target - sum(r.taken for r in got)
+        whole = min(r.copies for r in got if r.size)
+        assert 0 <= short < min((r.size for r in got if r.size and r.copies == whole), default=1)
+        assert max(r.copies for r in got) <= 2 and len(got) == len(rows)
+
+
 def test_overlapping_sources(spark):
     rows = [(i, "w " * 10, ["a"] if i % 3 == 0 else ["a", "b"] if i % 3 == 1 else ["b"]) for i in range(90)]
     got = mix(spark.createDataFrame(rows, "doc_id long, text string, source array<string>")).collect()
