@@ -417,7 +417,7 @@ def links(sets: DataFrame, num: int, den: int) -> DataFrame:
     members = sets.mapInArrow(_prefix_rows(num, den), "token long, key long, n int, m int, pos int")
     groups = members.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1")
     members = checkpoint(members.join(groups, "token").select("token", "key", "n", "m", "pos"))
-    labels = spark.createDataFrame([], "node long, component long")
+    labels, known = spark.createDataFrame([], "node long, component long"), 0
     for step in range(ROUNDS + 1):
         own = members.withColumn("component", F.col("key"))
         if step:
@@ -444,7 +444,8 @@ def links(sets: DataFrame, num: int, den: int) -> DataFrame:
         joined = found.join(to, "a", "left").select(F.coalesce("component", "a").alias("u"), "b").join(labels.withColumnRenamed("node", "b"), "b", "left").select("u", F.coalesce("component", "b").alias("v"))
         over = components(joined)  # of components so far
         moved = labels.join(over.withColumnRenamed("node", "c").withColumnRenamed("component", "to"), F.col("component") == F.col("c"), "left").select("node", F.coalesce("to", "component").alias("component"))
-        labels = checkpoint(fitting(moved.unionByName(over.join(labels, "node", "left_anti")), over.count()))
+        known += over.count()  # at least the rows of labels
+        labels = checkpoint(fitting(moved.unionByName(over.join(labels, "node", "left_anti")), known))
     return labels
 
 

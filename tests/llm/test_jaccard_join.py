@@ -63,6 +63,15 @@ def test_pairs_left_after_the_rounds_are_compared(spark, monkeypatch):
     assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+def test_labels_are_dealt_by_all_their_rows(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(module, "fitting", lambda df, rows: given.append((df.columns, df.count(), rows)) or df)
+    rows = near_copies(60, 3, 8)
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    labels = [(n, r) for c, n, r in given if c == ["node", "component"]]
+    assert len(labels) == module.ROUNDS + 1 and labels[-1][0] > 0 and all(n <= r for n, r in labels)
+
+
 def test_chains_are_one_component(spark):
     words = [f"w{i}" for i in range(400)]
     rows = [(i, " ".join(words[3 * i : 3 * i + 60])) for i in range(80)]
