@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import checkpoint, partitions_for, text_or_empty, written
 
@@ -455,18 +456,42 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100, id_
     Documents link where den * intersection >= num * union; component_id is the
     smallest id reachable by links. Rows with equal set_key have equal sets.
     """
+    return _joined(docs, n, num, den, id_col, text_col).drop("component")
+
+
+def _joined(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """jaccard_join() with component, a key of its own for each component; null for empty sets."""
     documents, sets = jaccard_sets(docs, n, num, den, id_col, text_col)
     labels = links(sets, num, den)
     # a key's least id, then a component's; both by partial sums, so one large group is no burden
     least = documents.filter("key <> 0").groupBy("key").agg(F.min("doc_id").alias("least"))
     own = least.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     heads = own.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = own.join(heads, "component").select("key", "component_id")
-    return documents.join(named, "key", "left").select("doc_id", "n_shingles", F.col("key").alias("set_key"), F.when(F.col("key") != 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = own.join(heads, "component").select("key", "component", "component_id")
+    return documents.join(named, "key", "left").select("doc_id", "n_shingles", F.col("key").alias("set_key"), F.when(F.col("key") != 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs less those linked, over any number of links, with one of a smaller id."""
-    found = jaccard_join(docs, id_col=id_col, text_col=text_col, **options)
-    dropped = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_drop_id")).distinct()
-    return docs.join(dropped, F.col(id_col) == F.col("_drop_id"), "left_anti")
+def keep_one_of_each(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs less those linked, over any number of links, with one of a smaller id or with another row of the same id.
+
+    Rows with one id are told apart by their sets. Rows with a null id or an empty set are all kept.
+    """
+    found = _joined(docs, n, num, den, id_col, text_col)
+    by_id = found.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"), F.max("component_id").alias("_least"))
+    by_id = checkpoint(by_id.filter("_rows > 1 OR _id <> _least").select("_id", "_rows"))
+    at = F.col(id_col).cast("long") == F.col("_id")
+    once = docs.join(by_id.select("_id"), at, "left_anti")
+    repeated = by_id.filter("_rows > 1").select("_id")
+    if not repeated.take(1):
+        return once
+
+    def key_of(text):
+        return set_key(shingle_sets([bytes(text)], n, {})[0])
+
+    # the sets of these few rows are made again, as rows of docs and of found have no key in common
+    more = docs.join(repeated, at, "left_semi").withColumn("_key", F.udf(key_of, "long")(text_or_empty(text_col).cast("binary")))
+    heads = found.join(repeated, F.col("doc_id") == F.col("_id"), "left_semi").filter("doc_id = component_id AND set_key <> 0")
+    heads = heads.select(F.col("doc_id").alias("_id"), F.col("set_key").alias("_set"), F.col("component").alias("_component")).distinct()
+    first = Window.partitionBy("_component").orderBy("_key", F.xxhash64(F.col(text_col)))
+    one = more.join(heads, at & (F.col("_key") == F.col("_set"))).withColumn("_nth", F.row_number().over(first)).filter("_nth = 1")
+    return once.unionByName(one.select(*docs.columns)).unionByName(more.filter("_key = 0").select(*docs.columns))

@@ -94,6 +94,14 @@ def test_keep_one(spark):
     assert {r.doc_id for r in got} == keep
 
 
+def test_keep_one_of_rows_with_repeated_ids(spark):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
+    rows = [(1, a), (2, a + " more"), (2, b), (3, c), (3, c), (4, d), (4, e), (4, d + " more"), (5, ""), (5, ""), (None, a), (6, b), (7, "own text")]
+    got = keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted(((r.doc_id, r.text.replace(" more", "")) for r in got), key=str)
+    assert got == sorted([(1, a), (2, b), (3, c), (4, d), (4, e), (5, ""), (5, ""), (None, a), (7, "own text")], key=str)
+
+
 def test_packed_hashes_and_short_texts():
     import numpy as np
 
