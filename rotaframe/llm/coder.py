@@ -13,8 +13,10 @@ Each context of orders 1 and 2 has a confidence (how often its id was right of
 late), and for every pair of confidences the shares of the three are counted:
 whether order 2 was right, else order 1, else neither. The mixed distribution
 is (share 2) at the one id, (share 1) at the other, and (share 0) spread over
-all ids by their frequencies; a range coder of 48 bits of state with carryless
-16-bit renormalisation narrows its interval by it.
+all ids by their frequencies; a range coder of 64 bits of state narrows its
+interval by it. When the interval is under 2**32, the upper half of its low end
+goes out as one word; an interval that straddles two such words is cut short at
+the border first, so there is no carry, and one word a step is always enough.
 
 Block: magic, counts, checksum of all that follows, doc table (id, length),
 words of each lane, the lanes' words.
@@ -27,78 +29,83 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"RTK1"
+MAGIC = b"RTK2"
 HEAD = struct.Struct("<4sIIIII")  # magic, ids, docs, lanes, vocabulary, crc32 of the rest
-STATE, TOP, LOW = (1 << 48) - 1, 32, (1 << 32) - 1
+WORD = np.uint64(32)
+LOW = np.uint64((1 << 32) - 1)
+SHARE_BITS = np.uint64(12)
 SHARE = 1 << 12  # scale of the three shares
 MOST = 1 << 20  # the frequencies of order 0 add up to less
-BOTTOM = 1 << 26  # a range that straddles a top word is cut short below this
 SLOTS = 1 << 18  # of order 2
-SURER = np.array([1, 2, 3, 3], dtype=np.int32)  # a confidence after one more hit
+#: A confidence after one more hit; at 4, after a miss.
+SURER = np.array([1, 2, 3, 3, 0], dtype=np.int32)
 
 
 class Model:
-    """What coder and decoder know before a step; both make it from the same ids."""
+    """What coder and decoder know before a step; both make it from the same ids.
 
-    def __init__(self, vocabulary: int, lanes: int, decodes: bool) -> None:
+    Predictions are kept as 4 * id + confidence. A key is 16 * confidence of order 2
+    + 4 * confidence of order 1 + which prediction was right: 0 order 2, 1 order 1, 2 neither.
+    """
+
+    def __init__(self, vocabulary: int, decodes: bool) -> None:
         self.decodes = decodes
         self.vocabulary = vocabulary
-        # by context: 4 * the id that last followed + how sure that is
         self.next1 = np.zeros(vocabulary, dtype=np.int32)
         self.next2 = np.zeros(SLOTS, dtype=np.int32)
         self.counts = np.ones(vocabulary, dtype=np.int64)
-        self.shares = np.tile(np.array([2, 2, 12], dtype=np.int64), (16, 1))  # by both confidences: order 2, 1, 0
-        self.a = np.zeros(lanes, dtype=np.int32)  # the id before
-        self.b = np.zeros(lanes, dtype=np.int32)  # the one before that
+        self.shares = np.tile(np.array([2, 2, 12, 0], dtype=np.int64), 16)
         self.step = 0
         self.seen: list[np.ndarray] = []
-        self.build()
+        self.keys: list[np.ndarray] = []
+        self._weigh()
+        self._count()
 
-    def build(self) -> None:
+    def _count(self) -> None:
         """Cumulative frequencies of order 0, every id above zero."""
         counts = self.counts
         if counts.sum() >= MOST:
             counts = self.counts = (counts + 1) >> 1
-        self.cumulative = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        self.total = int(self.cumulative[-1])
+        self.cumulative = np.concatenate([[0], np.cumsum(counts)]).astype(np.uint64)
+        self.total = np.uint64(self.cumulative[-1])
         # for the decoder: the id at each point
         self.inverse = np.repeat(np.arange(self.vocabulary, dtype=np.int32), counts) if self.decodes else None
 
-    def predict(self, n: int) -> tuple[np.ndarray, ...]:
-        """For the first n lanes: slots and ids of orders 2 and 1, and the ends of their shares on the scale SHARE."""
-        a = self.a[:n]
-        slot = (a * np.int32(0x9E3B) + self.b[:n] * np.int32(0x85EB)) & np.int32(SLOTS - 1)  # wraps around
-        p2, p1 = self.next2[slot], self.next1[a]
-        cell = (p2 & 3) * 4 + (p1 & 3)
-        e2, e1 = self.ends
-        return slot, p2 >> 2, p1 >> 2, cell, e2[cell], e1[cell]
-
-    @property
-    def ends(self) -> tuple[np.ndarray, np.ndarray]:
-        own = self.shares
+    def _weigh(self) -> None:
+        """By key: where its share begins, and how wide it is; at least 1 for orders 2 and 1, and 62 for order 0."""
+        own = self.shares.reshape(16, 4)
         total = own.sum(axis=1)
-        # at least 1 for orders 2 and 1, and 62 for order 0
         e2 = np.maximum(1, own[:, 0] * (SHARE - 64) // total)
-        e1 = np.maximum(1, own[:, 1] * (SHARE - 64) // total)
-        return e2, e2 + e1
-
-    def learn(self, ids: np.ndarray, slot: np.ndarray, cell: np.ndarray, which: np.ndarray, p2: np.ndarray, p1: np.ndarray) -> None:
-        n = len(ids)
-        self.shares += np.bincount(cell * 3 + which, minlength=48).reshape(16, 3) * 8
-        if self.step % 8 == 7:
-            self.shares = (self.shares >> 1) + 1
-        a = self.a[:n]
+        e1 = e2 + np.maximum(1, own[:, 1] * (SHARE - 64) // total)
+        zero = np.zeros(16, dtype=np.int64)
+        bottom, top = np.stack([zero, e2, e1, zero], axis=1), np.stack([e2, e1, zero + SHARE, zero], axis=1)
+        self.bottom, self.width = bottom.ravel().astype(np.uint64), (top - bottom).ravel().astype(np.uint64)
+        self.end2, self.end1 = e2.astype(np.uint64), e1.astype(np.uint64)
+
+    def learn(self, now: np.ndarray, a: np.ndarray, slot: np.ndarray, miss2: np.ndarray, miss1: np.ndarray, key: np.ndarray) -> None:
+        """now: 4 * the step's ids; miss2, miss1: prediction ^ now, under 4 where it was right."""
         # lanes with one context: the last lane's entry stands, as numpy assigns in order
-        self.next2[slot] = (ids << 2) + SURER[cell >> 2] * (p2 == ids)
-        self.next1[a] = (ids << 2) + SURER[cell & 3] * (p1 == ids)
-        self.b[:n] = a
-        self.a[:n] = ids
-        self.seen.append(ids)
+        self.next2[slot] = now + SURER[np.minimum(miss2, 4)]
+        self.next1[a] = now + SURER[np.minimum(miss1, 4)]
+        self.seen.append(now)
+        self.keys.append(key)
         self.step += 1
-        if self.step <= 4 or self.step % 16 == 0:
-            self.counts += np.bincount(np.concatenate(self.seen), minlength=self.vocabulary) * 2
+        step = self.step
+        if step < 8 or step % 4 == 0:
+            self.shares += np.bincount(np.concatenate(self.keys), minlength=64) * 8
+            self.keys = []
+            if step % 8 == 0:
+                self.shares = (self.shares >> 1) + np.tile(np.array([1, 1, 1, 0]), 16)
+            self._weigh()
+        if step % 32 == 0 or step < 32 and step & (step - 1) == 0:
+            self.counts += np.bincount(np.concatenate(self.seen) >> 2, minlength=self.vocabulary) * 2
             self.seen = []
-            self.build()
+            self._count()
+
+
+def _slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of order 2, for the id before and the one before that."""
+    return (a * np.int32(0x9E3B) + b * np.int32(0x85EB)) & np.int32(SLOTS - 1)  # wraps around
 
 
 def lanes_of(n: int) -> int:
@@ -111,137 +118,102 @@ def _runs(n: int, lanes: int) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(np.full(lanes, base) + (np.arange(lanes) < more))])
 
 
-def _floor_divide(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a // b for 0 <= a < 2**48 and quotients below 2**21, by floating point and a correction."""
-    q = (a / b).astype(np.int64)
-    return q - (q * b > a)
-
-
-def _unit(r: np.ndarray, total: int) -> np.ndarray:
-    """A unit of order 0's frequencies: total units fit into r; coder and decoder reckon alike."""
-    return np.maximum((r * (1 / total)).astype(np.int64) - 1, 1)
-
-
-def _shares(which: np.ndarray, e2: np.ndarray, e1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ends of the share that is coded: order 2's from 0, order 1's above it, order 0's at the top."""
-    return np.where(which == 0, 0, np.where(which == 1, e2, e1)), np.where(which == 0, e2, np.where(which == 1, e1, SHARE))
-
-
 def _encode_ids(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
     """(words of each lane, all lanes' words)."""
     n = len(ids)
     lanes = lanes_of(n)
     begin = _runs(n, lanes)[:-1]
     steps, short = -(-n // lanes), n // lanes
-    model = Model(vocabulary, lanes, False)
-    low, size = np.zeros(lanes, dtype=np.int64), np.full(lanes, STATE)
-    words = np.zeros((lanes, 4 * steps + 8), dtype=np.uint16)
-    used = np.zeros(lanes, dtype=np.int64)
+    model = Model(vocabulary, False)
+    low, size = np.zeros(lanes, dtype=np.uint64), np.full(lanes, ~np.uint64(0))
     ids = np.append(ids.astype(np.int32), np.int32(0))
-    columns = np.ascontiguousarray(ids[np.minimum(begin[None, :] + np.arange(steps)[:, None], n)])  # a step's ids side by side
+    # a step's ids side by side, after two steps of id 0
+    columns = np.zeros((steps + 2, lanes), dtype=np.int32)
+    columns[2:] = ids[np.minimum(begin[None, :] + np.arange(steps)[:, None], n)]
+    slots = _slot(columns[1:-1], columns[:-2])
+    whose, words = [], []
     for t in range(steps):
         m = lanes if t < short else n - short * lanes
-        now = columns[t, :m]
-        slot, p2, p1, cell, e2, e1 = model.predict(m)
-        which = np.where(now == p2, 0, np.where(now == p1, 1, 2))
-        lo, r = low[:m], size[:m] >> 12
-        bottom, top = _shares(which, e2, e1)
-        first, width = r * bottom, r * (top - bottom)
+        a, slot, now = columns[t + 1, :m], slots[t, :m], columns[t + 2, :m] << 2
+        p2, p1 = model.next2[slot], model.next1[a]
+        miss2, miss1 = p2 ^ now, p1 ^ now
+        which = np.where(miss2 < 4, 0, 2 - (miss1 < 4))
+        key = ((p2 & 3) << 4) + ((p1 & 3) << 2) + which
+        r = size[:m] >> SHARE_BITS
+        first, width = r * model.bottom[key], r * model.width[key]
         rest = np.flatnonzero(which == 2)
-        x = now[rest]
+        x = columns[t + 2, rest]
         c = model.cumulative[x]
-        q = _unit(width[rest], model.total)
-        first[rest] += q * c
-        width[rest] = q * (model.cumulative[x + 1] - c)
+        unit = width[rest] // model.total
+        first[rest] += unit * c
+        width[rest] = unit * (model.cumulative[x + 1] - c)
+        lo = low[:m]
         lo += first
+        out = np.flatnonzero(width <= LOW)
+        if len(out):
+            own = lo[out]
+            whose.append(out.astype(np.uint16))
+            words.append((own >> WORD).astype(np.uint32))
+            width[out] = np.minimum(width[out], (LOW - (own & LOW)) + np.uint64(1)) << WORD
+            lo[out] = own << WORD
         size[:m] = width
-        _put_out(lo, size[:m], words, used)
-        model.learn(now, slot, cell, which, p2, p1)
-    for shift in (32, 16, 0):  # what is left of the state
-        words[np.arange(lanes), used] = ((low >> shift) & 0xFFFF).astype(np.uint16)
-        used += 1
-    flat = words[np.arange(words.shape[1])[None, :] < used[:, None]]
-    return used, flat
-
-
-def _settled(lo: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether the top word goes out, and the range, cut short at the next top word where it straddles and is small."""
-    settled = (lo ^ (lo + r - 1)) >> TOP == 0
-    small = ~settled & (r < BOTTOM)
-    return settled | small, np.where(small, np.minimum(r, LOW + 1 - (lo & LOW)), r)
-
-
-def _put_out(low: np.ndarray, size: np.ndarray, words: np.ndarray, used: np.ndarray) -> None:
-    out = np.flatnonzero(size <= LOW)
-    while len(out):
-        lo = low[out]
-        go, r = _settled(lo, size[out])
-        if not go.all():
-            out, lo, r = out[go], lo[go], r[go]
-        words[out, used[out]] = lo >> TOP
-        used[out] += 1
-        r <<= 16
-        low[out], size[out] = (lo << 16) & STATE, r
-        out = out[r <= LOW]
-
-
-def _take_in(low: np.ndarray, size: np.ndarray, code: np.ndarray, flat: np.ndarray, at: np.ndarray) -> None:
-    out = np.flatnonzero(size <= LOW)
-    while len(out):
-        lo = low[out]
-        go, r = _settled(lo, size[out])
-        if not go.all():
-            out, lo, r = out[go], lo[go], r[go]
-        place = at[out]
-        code[out] = ((code[out] << 16) & STATE) | flat[place]
-        at[out] = place + 1
-        r <<= 16
-        low[out], size[out] = (lo << 16) & STATE, r
-        out = out[r <= LOW]
+        model.learn(now, a, slot, miss2, miss1, key)
+    every = np.arange(lanes, dtype=np.uint16)
+    whose += [every, every]  # what is left of the state
+    words += [(low >> WORD).astype(np.uint32), (low & LOW).astype(np.uint32)]
+    lane = np.concatenate(whose)
+    return np.bincount(lane, minlength=lanes), np.concatenate(words)[np.argsort(lane, kind="stable")]
 
 
 def _decode_ids(n: int, lanes: int, used: np.ndarray, flat: np.ndarray, vocabulary: int) -> np.ndarray:
     steps, short = -(-n // lanes), n // lanes
-    model = Model(vocabulary, lanes, True)
-    low, size = np.zeros(lanes, dtype=np.int64), np.full(lanes, STATE)
-    at = np.concatenate([[0], np.cumsum(used)])[:-1]
-    flat = flat.astype(np.int64)
-    code = (flat[at] << 32) | (flat[at + 1] << 16) | flat[at + 2]
-    at = at + 3
-    flat = np.append(flat, np.zeros(4, dtype=np.int64))
-    columns = np.zeros((steps, lanes), dtype=np.int32)
+    model = Model(vocabulary, True)
+    low, size = np.zeros(lanes, dtype=np.uint64), np.full(lanes, ~np.uint64(0))
+    at = np.cumsum(used) - used
+    flat = flat.astype(np.uint64)
+    code = (flat[at] << WORD) | flat[at + 1]
+    at = at + 2
+    columns = np.zeros((steps + 2, lanes), dtype=np.int32)
     for t in range(steps):
         m = lanes if t < short else n - short * lanes
-        slot, p2, p1, cell, e2, e1 = model.predict(m)
-        lo, r, co = low[:m], size[:m] >> 12, code[:m]
+        a = columns[t + 1, :m]
+        slot = _slot(a, columns[t, :m])
+        p2, p1 = model.next2[slot], model.next1[a]
+        cell = ((p2 & 3) << 2) + (p1 & 3)
+        lo, r, co = low[:m], size[:m] >> SHARE_BITS, code[:m]
         off = co - lo
-        which = np.where(off < r * e2, 0, np.where(off < r * e1, 1, 2))
-        bottom, top = _shares(which, e2, e1)
-        first, width = r * bottom, r * (top - bottom)
+        which = (off >= r * model.end2[cell]).astype(np.int32) + (off >= r * model.end1[cell])
+        key = (cell << 2) + which
+        first, width = r * model.bottom[key], r * model.width[key]
+        now = np.where(which == 0, p2, p1) & ~3
         rest = np.flatnonzero(which == 2)
-        q = _unit(width[rest], model.total)
-        point = np.minimum(_floor_divide(off[rest] - first[rest], q), model.total - 1)
-        x = model.inverse[point]
+        unit = width[rest] // model.total
+        x = model.inverse[np.minimum((off[rest] - first[rest]) // unit, model.total - np.uint64(1)).astype(np.int64)]
         c = model.cumulative[x]
-        first[rest] += q * c
-        width[rest] = q * (model.cumulative[x + 1] - c)
-        now = np.where(which == 0, p2, p1)
-        now[rest] = x
+        first[rest] += unit * c
+        width[rest] = unit * (model.cumulative[x + 1] - c)
+        now[rest] = x << 2
         lo += first
+        out = np.flatnonzero(width <= LOW)
+        if len(out):
+            own, place = lo[out], at[out]
+            co[out] = (co[out] << WORD) | flat[place]
+            at[out] = place + 1
+            width[out] = np.minimum(width[out], (LOW - (own & LOW)) + np.uint64(1)) << WORD
+            lo[out] = own << WORD
         size[:m] = width
-        _take_in(lo, size[:m], co, flat, at)
-        columns[t, :m] = now
-        model.learn(now, slot, cell, which, p2, p1)
+        columns[t + 2, :m] = now >> 2
+        model.learn(now, a, slot, p2 ^ now, p1 ^ now, key)
     lengths = np.diff(_runs(n, lanes))
-    return columns.T[np.arange(steps)[None, :] < lengths[:, None]]
+    return columns[2:].T[np.arange(steps)[None, :] < lengths[:, None]]
 
 
 def encode_block(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, vocabulary: int) -> bytes:
     """One block of whole documents; ids are theirs, one after another."""
-    used, flat = _encode_ids(ids, vocabulary) if len(ids) else (np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint16))
+    used, flat = _encode_ids(ids, vocabulary) if len(ids) else (np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint32))
     known = np.array([d is not None for d in doc_ids], dtype=np.uint8)
     table = np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes() + known.tobytes() + np.array(lengths, dtype="<u4").tobytes()
-    body = table + used.astype("<u4").tobytes() + flat.astype("<u2").tobytes()
+    body = table + used.astype("<u4").tobytes() + flat.astype("<u4").tobytes()
     return HEAD.pack(MAGIC, len(ids), len(doc_ids), len(used), vocabulary, zlib.crc32(body)) + body
 
 
@@ -257,6 +229,6 @@ def decode_block(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
     known = np.frombuffer(body, dtype=np.uint8, count=docs, offset=8 * docs)
     lengths = np.frombuffer(body, dtype="<u4", count=docs, offset=9 * docs).astype(np.int64)
     used = np.frombuffer(body, dtype="<u4", count=lanes, offset=13 * docs).astype(np.int64)
-    flat = np.frombuffer(body, dtype="<u2", offset=13 * docs + 4 * lanes)
+    flat = np.frombuffer(body, dtype="<u4", offset=13 * docs + 4 * lanes)
     ids = _decode_ids(n, lanes, used, flat, vocabulary) if n else np.zeros(0, dtype=np.int64)
     return [int(d) if k else None for d, k in zip(own, known, strict=True)], lengths, ids

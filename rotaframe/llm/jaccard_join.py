@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint, partitions_for, text_or_empty, written
+from .common import checkpoint, partitions_for, text_or_empty, trimmed, written
 
 #: Bytes of text whose shingles make up a packet's block, and of text for each bucket.
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 10 << 20
@@ -378,9 +378,9 @@ def jaccard_sets(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = partitions_for(total, BUCKET_BYTES, 16)
-    packets = rows.mapInArrow(_packets(n, buckets), PACKETS)
+    packets = rows.mapInArrow(trimmed(_packets(n, buckets)), PACKETS)
     counted = written(packets.groupBy("bucket").applyInArrow(_count(buckets), PACKETS))
-    documents = counted.filter(F.col("kind") == DOCUMENTS).mapInArrow(_documents, "doc_id long, key long, n_shingles long")
+    documents = counted.filter(F.col("kind") == DOCUMENTS).mapInArrow(trimmed(_documents), "doc_id long, key long, n_shingles long")
     often = counted.filter(F.col("kind") == FREQUENT).mapInArrow(_frequent, "hash long, count int")
     top = often.orderBy(F.desc("count"), "hash").limit(PLACES).collect()  # a bound, whatever the input
     known = np.array([r["hash"] for r in top], dtype=np.int64).view(np.uint64)
@@ -415,7 +415,7 @@ def _may_link(num: int, den: int):
 def links(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(node, component) of all sets that are linked with another."""
     spark = sets.sparkSession
-    members = sets.mapInArrow(_prefix_rows(num, den), "token long, key long, n int, m int, pos int")
+    members = sets.mapInArrow(trimmed(_prefix_rows(num, den)), "token long, key long, n int, m int, pos int")
     groups = members.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1")
     members = checkpoint(members.join(groups, "token").select("token", "key", "n", "m", "pos"))
     labels, known = spark.createDataFrame([], "node long, component long"), 0
@@ -440,7 +440,7 @@ def links(sets: DataFrame, num: int, den: int) -> DataFrame:
         # the pivot's set is b, so that one sorted copy serves its pairs
         pairs = pairs.select(F.when(F.col("pivot") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("a"), F.col("pivot").alias("b"))
         both = pairs.join(sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("sb")), "b")
-        found = both.mapInArrow(_verify(num, den), "a long, b long")
+        found = both.mapInArrow(trimmed(_verify(num, den)), "a long, b long")
         to = labels.withColumnRenamed("node", "a")
         joined = found.join(to, "a", "left").select(F.coalesce("component", "a").alias("u"), "b").join(labels.withColumnRenamed("node", "b"), "b", "left").select("u", F.coalesce("component", "b").alias("v"))
         over = components(joined)  # of components so far

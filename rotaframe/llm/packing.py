@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, trimmed
 from .tokens import Encoder
 
 #: Kinds of cut.
@@ -156,7 +156,7 @@ def pack(
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows = rows.select("doc_id", "text", F.spark_partition_id().alias("slice"))
-    return rows.mapInArrow(_packer(vocabulary, end_id, window, stretch, sentence_cost, hard_cost), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return rows.mapInArrow(trimmed(_packer(vocabulary, end_id, window, stretch, sentence_cost, hard_cost)), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def _packer(vocabulary: str, end_id: int, window: int, stretch: int, sentence_cost: int, hard_cost: int) -> Callable:
@@ -177,7 +177,7 @@ def _packer(vocabulary: str, end_id: int, window: int, stretch: int, sentence_co
                 continue
             base, kind = batch.column("slice")[0].as_py() << 33, batch.schema.field("doc_id").type
             ids_of = batch.column("doc_id").to_pylist()
-            for doc_id, ids in zip(ids_of, encoder.encode(batch.column("text").to_pylist()), strict=True):
+            for doc_id, ids in zip(ids_of, encoder.encode_column(batch.column("text")), strict=True):
                 ids = np.append(ids, np.uint16(end_id))
                 ends = np.flatnonzero(stops[ids]) + 1
                 pieces += stream.add(doc_id, ids, ends[ends < len(ids)])

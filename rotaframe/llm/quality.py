@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, trimmed
 
 SYMBOLS = b"#*$%&|<>"
 #: Words of a batch; a longer document is a batch of its own.
@@ -239,7 +239,7 @@ def quality(docs: DataFrame, min_repeat: int = 8, max_covered: float = 0.3, max_
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *out])
                 at = to
 
-    return rows.mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
+    return rows.mapInArrow(trimmed(run), f"doc_id {kind}, {SCHEMA}")
 
 
 TYPES = {

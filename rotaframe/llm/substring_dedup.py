@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions_for, text_or_empty, written
+from .common import partitions_for, text_or_empty, trimmed, written
 from .quality import nearest_smaller, union_spans
 
 GRAM = 64
@@ -339,7 +339,7 @@ def _whole(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
 
 def repeated_spans(texts: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """(doc, begin, end) of bytes to remove, not yet united. texts: doc (a key of the row), doc_order, text (binary)."""
-    found = texts.select("doc", "text").mapInArrow(_find_records(length), RECORD)
+    found = texts.select("doc", "text").mapInArrow(trimmed(_find_records(length)), RECORD)
     # ids in the order of documents are needed for the first copy alone
     several = written(_several(found))
     orders = texts.select("doc", "doc_order").filter(F.octet_length("text") >= length) if keep_first else None
@@ -351,7 +351,7 @@ def repeated_spans(texts: DataFrame, length: int, keep_first: bool) -> DataFrame
     many = contents.groupBy("key").agg(F.count("*").alias("contents"))
     closer = contents.join(many, "key").select("key", "p.*", (F.col("contents") > HOT).alias("hot"))
     places = closer.groupBy("doc").agg(F.collect_list(F.struct("key", "hot", "start", (F.col("windows") - 1 + length).alias("size"))).alias("places"))
-    cut = texts.join(places, "doc").select("doc", "doc_order", "text", "places").mapInArrow(_cut, "key long, hot boolean, doc long, doc_order long, start long, bytes binary")
+    cut = texts.join(places, "doc").select("doc", "doc_order", "text", "places").mapInArrow(trimmed(_cut), "key long, hot boolean, doc long, doc_order long, start long, bytes binary")
     cut = written(cut.dropDuplicates(["key", "doc", "start"]) if keep_first else cut)
     total = cut.filter("not hot").agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     tasks = partitions_for(total, TASK)
@@ -409,4 +409,4 @@ def substring_dedup(docs: DataFrame, length: int = 400, keep_first: bool = True,
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("doc"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63) + 1)).alias("doc_order"), text.cast("binary").alias("text"))
     spans = repeated_spans(rows.select("doc", "doc_order", "text"), length, keep_first)
     united = written(spans.groupBy("doc").agg(F.collect_list(F.struct("begin", "end")).alias("spans")))
-    return rows.join(united, "doc", "left").select("doc_id", "text", "spans").mapInArrow(_remove(kind), f"doc_id {kind}, {RESULT}")
+    return rows.join(united, "doc", "left").select("doc_id", "text", "spans").mapInArrow(trimmed(_remove(kind)), f"doc_id {kind}, {RESULT}")

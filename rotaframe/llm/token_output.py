@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .coder import decode_block, encode_block
-from .common import shared_folder, text_or_empty
+from .common import shared_folder, text_or_empty, trimmed
 from .tokens import Encoder
 
 BLOCK_IDS = 1 << 20
@@ -48,7 +48,7 @@ def write_blocks(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, b
         for batch in batches:
             if batch.num_rows:
                 file = batch.column("file")[0].as_py()
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode_column(batch.column("text")), strict=True):
                 if held and n + len(ids) >= block_ids:
                     yield block()
                     names, held, n, number = [], [], 0, number + 1
@@ -58,7 +58,7 @@ def write_blocks(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, b
         if held:
             yield block()
 
-    rows.mapInArrow(run, "file int, number int, n_ids long, block binary").write.parquet(path)
+    rows.mapInArrow(trimmed(run), "file int, number int, n_ids long, block binary").write.parquet(path)
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -85,7 +85,7 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     # blocks are large rows: few at a time cross to Python
-    docs = blocks.select("file", "number", "block").mapInArrow(run, "file int, number int, doc_id long, in_block long, n_tokens long, ids_crc32 long")
+    docs = blocks.select("file", "number", "block").mapInArrow(trimmed(run), "file int, number int, doc_id long, in_block long, n_tokens long, ids_crc32 long")
     return docs.join(starts, ["file", "number"]).select("doc_id", (F.col("block_start") + F.col("in_block")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -2,35 +2,46 @@
 
 The library's own ids for a text are those of its pieces, one after another, if
 the text is split before a single space or line feed that stands between two
-characters that aren't white space: no pre-token of these vocabularies goes on
-across such a place. So each distinct piece is encoded by the library once in a
-worker and looked up after that. A text with white space at either end or next
-to other white space is encoded whole. tests/llm/test_tokens.py holds both ways equal.
+characters that aren't white space, and before a full stop or comma after an
+ASCII letter: no pre-token of these vocabularies goes on across such a place.
+So each distinct piece is encoded by the library once and looked up after that.
+A text with white space at either end or next to other white space, or with the
+string of a special token (which the library takes for that token), is encoded
+whole. tests/llm/test_tokens.py holds both ways equal.
+
+A chunk of texts is worked on as one run of bytes: numpy finds the cuts, Arrow's
+dictionary encoding the distinct pieces, and only those meet Python's memo.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import repeat
 from typing import ClassVar
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 # a task has one core
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces of one generation of the memo. There are two: when one is full it becomes the old one,
-#: and pieces met again move on to the next, so that common pieces stay. About 200 MB in all.
-MEMO = 500_000
-#: Characters encoded at a time.
-CHUNK = 1 << 20
+#: Pieces of the memo, at most; when it is full, those not met again since the last time go. About 75 MB.
+MEMO = 400_000
+#: Bytes of text encoded at a time, or one text.
+CHUNK = 1 << 21
+#: Pieces of more bytes rarely come again and aren't kept.
+LONG = 64
+#: Pieces that follow one another in a call of the library.
+TOGETHER = 200
 
-
-def unsafe(piece: str) -> bool:
-    """Whether more white space meets that before a piece, or that after it."""
-    body = piece[1:] if piece[:1] in (" ", "\n") else piece
-    return not body or body[0].isspace() or body[-1].isspace()
+_BREAK = np.zeros(256, dtype=bool)
+_BREAK[[0x20, 0x0A]] = True
+_PLAIN = np.zeros(256, dtype=bool)  # ASCII other than white space and control characters
+_PLAIN[0x21:0x7F] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
 
 
 class Encoder:
@@ -38,92 +49,195 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        if self.tokenizer.get_vocab_size() > 1 << 16:
+        n = self.tokenizer.get_vocab_size()
+        if n > 1 << 16:
             raise ValueError("ids of more than 16 bits")
-        # bytes of each token, where texts are taken as they are: each of its characters stands for a byte
-        plain = self.tokenizer.normalizer is None and "ByteLevel" in str(self.tokenizer.pre_tokenizer)
-        self.sizes = np.array([len(self.tokenizer.id_to_token(i)) for i in range(self.tokenizer.get_vocab_size())]) if plain else None
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # bytes of each token: each of its characters stands for one; a sign for the end of a word for none
+        self.sizes = np.array([len(self.tokenizer.id_to_token(i).removesuffix("</w>")) for i in range(n)])
+        byte_level = "ByteLevel" in str(self.tokenizer.pre_tokenizer)
+        #: texts are taken as they are, white space too
+        self.plain = byte_level and self.tokenizer.normalizer is None
+        #: else white space goes, and ASCII keeps its length; no other kind of file is here
+        if not self.plain and not any(t.endswith("</w>") for t in self.tokenizer.get_vocab()):
+            raise ValueError("neither a byte-level vocabulary nor one with word ends")
+        self.clear()
 
     @classmethod
     def shared(cls, path: str) -> Encoder:
-        """One for each worker process and path, so that its memo lasts over tasks."""
+        """One for each worker process, so that its memo lasts over tasks; one of another path gives way."""
         if path not in cls._of:
+            cls._of.clear()
             cls._of[path] = cls(path)
         return cls._of[path]
 
+    def clear(self) -> None:
+        """Slot 0 is the piece without ids."""
+        self.memo: dict[bytes, int] = {}
+        self.count, self.fill = 1, 0
+        self.begin, self.length = np.zeros(1 << 12, dtype=np.int32), np.zeros(1 << 12, dtype=np.int32)
+        self.used = np.zeros(1 << 12, dtype=bool)
+        self.flat = np.zeros(1 << 14, dtype=np.uint16)
+
+    def _purge(self) -> None:
+        """Keep the pieces met again since the last time, unless those are most of the memo."""
+        kept = [p for p, s in self.memo.items() if self.used[s]]
+        if len(kept) > MEMO // 2:
+            self.clear()
+            return
+        slots = np.array([self.memo[p] for p in kept], dtype=np.int64)
+        ids, lengths = self._gather(slots), self.length[slots]
+        self.clear()
+        self.memo = dict(zip(kept, self._put(ids, lengths).tolist(), strict=True))
+
+    def _put(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Add pieces of these lengths; their slots."""
+        slots = np.arange(self.count, self.count + len(lengths))
+        if slots[-1:] >= len(self.begin):
+            more = 2 * (self.count + len(lengths))
+            self.begin, self.length, self.used = np.resize(self.begin, more), np.resize(self.length, more), np.resize(self.used, more)
+        if self.fill + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * (self.fill + len(ids)))
+        self.begin[slots] = self.fill + np.cumsum(lengths) - lengths
+        self.length[slots] = lengths
+        self.used[slots] = False
+        self.flat[self.fill : self.fill + len(ids)] = ids
+        self.count += len(lengths)
+        self.fill += len(ids)
+        return slots
+
+    def _gather(self, slots: np.ndarray) -> np.ndarray:
+        lengths = self.length[slots]
+        shift = self.begin[slots] - (np.cumsum(lengths, dtype=np.int32) - lengths)
+        return self.flat[np.repeat(shift, lengths) + np.arange(int(lengths.sum()), dtype=np.int32)]
+
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text, as uint16; about a million characters are worked on at a time."""
-        some: list[str] = []
-        size = 0
-        for text in texts:
-            some.append(text)
-            size += len(text)
-            if size >= CHUNK:
-                yield from self._encode(some)
-                some, size = [], 0
-        yield from self._encode(some)
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.memo) > MEMO:
-            self.memo, self.old = {}, self.memo
-        memo, old = self.memo, self.old
-        pieces = []
-        new: dict[str, bool] = {}  # pieces not known yet, and whether they are unsafe
-        for text in texts:
-            # white space belongs to the piece after it
-            own = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") if "\0" not in text else [text]
-            ids = [*map(memo.get, own)]
-            at: list[int] = []
-            if None in ids:
-                at = [i for i, x in enumerate(ids) if x is None]
-                miss = []
-                for i in at:
-                    piece = own[i]
-                    if (known := old.get(piece)) is not None:
-                        memo[piece] = known
-                    else:
-                        miss.append(piece)
-                        if piece not in new:
-                            new[piece] = unsafe(piece)
-                if any(map(new.__getitem__, miss)):
-                    own, ids, at = [text], [None], [0]
-                    new[text] = True
-            pieces.append((own, ids, at))
-        self._learn(new)
-        out = []
-        for own, ids, at in pieces:
-            for i in at:
-                ids[i] = memo[own[i]]
-            out.append(np.frombuffer(b"".join(ids), dtype=np.uint16))
-        for piece, bad in new.items():
-            if bad or len(piece) > 64:  # long pieces rarely come again; an unsafe one isn't to be taken for known
-                del memo[piece]
-        return out
-
-    def _learn(self, new: dict[str, bool]) -> None:
-        """Encode pieces, many at a call: safe ones that begin with white space may follow one another, and offsets tell their ids apart."""
-        memo = self.memo
-        follow, alone = [], []
-        for piece, bad in new.items():
-            (alone if bad or piece[0] not in " \n" else follow).append(piece)
-        groups = [follow[i : i + 200] for i in range(0, len(follow), 200)]
-        for group, encoding in zip(groups, self.tokenizer.encode_batch(["".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(encoding.ids, dtype=np.uint16)
-            if self.sizes is not None:  # every byte of a piece is in one token
-                ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in group])) + 1
-            else:
-                starts = np.fromiter((a for a, _ in encoding.offsets), dtype=np.int64, count=len(ids))
-                ends = np.searchsorted(starts, np.cumsum([*map(len, group)]))
-            data, ends = ids.tobytes(), ends * 2
-            begin = 0
-            for piece, end in zip(group, ends.tolist(), strict=True):
-                memo[piece] = data[begin:end]
-                begin = end
-        for piece, encoding in zip(alone, self.tokenizer.encode_batch(alone, add_special_tokens=False), strict=True):
-            memo[piece] = np.array(encoding.ids, dtype=np.uint16).tobytes()
+        """The ids of each text, as uint16."""
+        return self.encode_column(pa.array(texts, type=pa.large_string()))
+
+    def encode_column(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a column of strings without nulls, as uint16."""
+        if not len(texts):
+            return
+        kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+        _, places, values = texts.buffers()
+        ends = np.frombuffer(places, dtype=kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(values, dtype=np.uint8) if values else np.zeros(0, dtype=np.uint8)
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + CHUNK, side="right")) - 1)
+            ids, lengths = self._chunk(data[ends[at] : ends[to]], ends[at : to + 1] - ends[at])
+            yield from np.split(ids, np.cumsum(lengths)[:-1])
+            at = to
+
+    def _chunk(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts that stand one after another, and how many each has."""
+        if self.count > MEMO:
+            self._purge()
+        cut = (data == 0x20) | (data == 0x0A)
+        stops = np.flatnonzero((data[1:] == 0x2E) | (data[1:] == 0x2C))
+        cut[stops[_LETTER[data[stops]]] + 1] = True
+        first = ends[:-1][ends[:-1] < ends[1:]]
+        cut[first] = True
+        starts = np.flatnonzero(cut)
+        bounds = np.append(starts, len(data)).astype(np.int32 if len(data) < 1 << 31 else np.int64)
+        kind = pa.binary() if bounds.dtype == np.int32 else pa.large_binary()
+        pieces = pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        distinct, index = pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), pieces.indices.to_numpy()
+        slots = np.array([*map(self.memo.get, distinct, repeat(-1))], dtype=np.int32)
+        self.used[slots[slots > 0]] = True
+        whole = first[_BREAK[data[first]]]  # texts to be encoded whole, by where they begin
+        new = np.flatnonzero(slots < 0)
+        once = new[:0]
+        if len(new):
+            own = [distinct[i] for i in new.tolist()]
+            sizes = np.array([*map(len, own)])
+            joined = b"".join(own)
+            raw, end = np.frombuffer(joined, dtype=np.uint8), np.cumsum(sizes)
+            spaced = _BREAK[raw[end - sizes]]
+            # a body that begins and ends with other ASCII than white space is safe, others are looked at
+            safe = _PLAIN[raw[np.minimum(end - sizes + spaced, end - 1)]] & _PLAIN[raw[end - 1]]
+            doubtful = {*np.flatnonzero(~safe).tolist()}
+            if b"<" in joined:
+                doubtful |= {i for i, piece in enumerate(own) if b"<" in piece}
+            bad = np.array(sorted(i for i in doubtful if self._unsafe(str(own[i], "utf-8", "replace"))), dtype=np.int64)
+            fine = np.ones(len(new), dtype=bool)
+            fine[bad] = False
+            if len(bad):
+                slots[new[bad]] = 0
+                places = starts[np.isin(index, new[bad])]
+                whole = np.union1d(whole, ends[np.searchsorted(ends, places, side="right") - 1])
+            keep, once = np.flatnonzero(fine & (sizes <= LONG)), new[fine & (sizes > LONG)]
+            if len(keep):
+                own = [own[i] for i in keep.tolist()]
+                slots[new[keep]] = added = self._put(*self._learn(own, spaced[keep]))
+                self.memo.update(zip(own, added.tolist(), strict=True))
+        mark = self.count, self.fill
+        if len(once):
+            own = [distinct[i] for i in once.tolist()]
+            slots[once] = self._put(*self._learn(own, np.array([p[0] in b" \n" for p in own])))
+        which = slots[index]
+        if len(whole):
+            edges = ends[np.searchsorted(ends, whole, side="right")]
+            ids = [np.array(e.ids, dtype=np.uint16) for e in self.tokenizer.encode_batch([str(data[a:b], "utf-8", "replace") for a, b in zip(whole.tolist(), edges.tolist(), strict=True)], add_special_tokens=False)]
+            own = self._put(np.concatenate(ids), np.array([len(x) for x in ids]))
+            low, high = np.searchsorted(starts, whole), np.searchsorted(starts, edges)
+            for a, b in zip(low.tolist(), high.tolist(), strict=True):
+                which[a:b] = 0
+            which[low] = own
+        ids = self._gather(which)
+        before = np.concatenate([[0], np.cumsum(self.length[which], dtype=np.int64)])
+        self.count, self.fill = mark
+        return ids, np.diff(before[np.searchsorted(starts, ends)])
+
+    def _unsafe(self, piece: str) -> bool:
+        """Whether more white space meets that before a piece, or that after it, or it may hold a special token."""
+        body = piece[1:] if piece[0] in " \n" else piece
+        return not body or body[0].isspace() or body[-1].isspace() or ("<" in body and any(s in body.lower() for s in self.special))
+
+    def _learn(self, pieces: list[bytes], spaced: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, and how many each has.
+
+        Those that begin with white space may follow one another in a call: the sizes of tokens, or else their offsets, tell their ids apart.
+        """
+        sized = spaced
+        if not self.plain:  # only ASCII keeps its size, and white space inside has none
+            sized = spaced & np.array([p.isascii() and len(p.split()) == 1 for p in pieces])
+        ways = [np.flatnonzero(own).tolist() for own in (sized, spaced & ~sized, ~spaced)]
+        ids, lengths = [], np.zeros(len(pieces), dtype=np.int64)
+        for own, way in zip(ways, (self._sized, self._offset, self._alone), strict=True):
+            if own:
+                some, lengths[own] = way([pieces[i] for i in own])
+                ids.append(some)
+        order = np.concatenate([np.array(own, dtype=np.int64) for own in ways])
+        if not (np.diff(order) > 0).all():  # back into the order of pieces
+            flat, own = np.concatenate(ids), lengths[order]
+            begin = np.empty(len(pieces), dtype=np.int64)
+            begin[order] = np.cumsum(own) - own
+            return flat[np.repeat(begin - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(flat))], lengths
+        return np.concatenate(ids), lengths
+
+    def _alone(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [np.array(e.ids, dtype=np.uint16) for e in self.tokenizer.encode_batch_fast([str(p, "utf-8", "replace") for p in pieces], add_special_tokens=False)]
+        return np.concatenate(ids), np.array([len(x) for x in ids])
+
+    def _sized(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        groups = [str(b"".join(pieces[i : i + TOGETHER]), "utf-8", "replace") for i in range(0, len(pieces), TOGETHER)]
+        ids = np.concatenate([np.array(e.ids, dtype=np.uint16) for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)])
+        ends, need = np.cumsum(self.sizes[ids]), np.cumsum([len(p) - (not self.plain) for p in pieces])
+        if ends[-1] != need[-1]:  # bytes that aren't UTF-8
+            return self._alone(pieces)
+        return ids, np.diff(np.searchsorted(ends, need) + 1, prepend=0)
+
+    def _offset(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [str(p, "utf-8", "replace") for p in pieces]
+        ids, starts, base = [], [], 0
+        groups = ["".join(texts[i : i + TOGETHER]) for i in range(0, len(texts), TOGETHER)]
+        for group, e in zip(groups, self.tokenizer.encode_batch(groups, add_special_tokens=False), strict=True):
+            ids.append(np.array(e.ids, dtype=np.uint16))
+            starts += [base + a for a, _ in e.offsets]
+            base += len(group)
+        return np.concatenate(ids), np.diff(np.searchsorted(np.array(starts, dtype=np.int64), np.cumsum([*map(len, texts)])), prepend=0)
 
     def sentence_ends(self) -> np.ndarray:
         """True at ids that end a sentence: tokens of closing punctuation with a full stop, ! or ?."""

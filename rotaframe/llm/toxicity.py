@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, trimmed
 
 # Letters of other scripts, digits and signs, each with the Latin letter it is read as.
 HOMOGLYPHS = {"а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "ɡ": "g", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "ѵ": "v", "х": "x", "у": "y", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i"}
@@ -205,9 +205,9 @@ def toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col
     """doc_id, score, weight (the sum of matched weights), n_words for each row of docs."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("_text"))
-    return rows.mapInArrow(_scored(lexicon, None), f"doc_id {kind}, score double, weight double, n_words long")
+    return rows.mapInArrow(trimmed(_scored(lexicon, None)), f"doc_id {kind}, score double, weight double, n_words long")
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows of docs that score under the threshold, with all their columns; one pass, no join."""
-    return docs.withColumn("_text", text_or_empty(text_col)).mapInArrow(_scored(lexicon, threshold), docs.schema)
+    return docs.withColumn("_text", text_or_empty(text_col)).mapInArrow(trimmed(_scored(lexicon, threshold)), docs.schema)

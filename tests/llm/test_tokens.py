@@ -4,7 +4,9 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 import rotaframe.llm.tokens as tokens
 from rotaframe.llm.coder import decode_block, encode_block
@@ -20,13 +22,26 @@ VOCABULARIES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 @pytest.mark.parametrize("name", VOCABULARIES)
 def test_memo_gives_the_ids_of_whole_texts(name, monkeypatch):
     monkeypatch.setattr(tokens, "MEMO", 500)
+    monkeypatch.setattr(tokens, "CHUNK", 2000)
+    monkeypatch.setattr(tokens, "LONG", 12)
     rng = random.Random(1)
-    parts = ["a", "B", "é", " ", "  ", "\n", "\t", ".", "!", "'s", "1", "23", "ß", "<|endoftext|>", " ", " ", "́", "日本", "\0", "\r", "😀", "İ", "’"]
+    parts = ["a", "B", "é", " ", "  ", "\n", "\t", ".", "!", "'s", "1", "23", "ß", "<|endoftext|>", " ", " ", "́", "日本", "\0", "\r", "😀", "İ", "’", ",", "ab", "x.y", "<|endoftext|>", "\x1c", "longpiece" * 3]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(3000)]
-    encoder = Encoder(vocabulary(name))
-    for _ in range(2):
-        for text, ids in zip(texts, encoder.encode(texts), strict=True):
-            assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    texts += ["a <|endoftext|> b", "a<|ENDOFTEXT|> b", "<|startoftext|>", "", "", " ".join(texts[:50])]
+    encoder, plain = Encoder(vocabulary(name)), Tokenizer.from_file(vocabulary(name))
+    for part in (texts, texts[::-1], [f"{a}. {b} {c}," for a, b, c in zip(texts, texts[1:], texts[2:], strict=False)]):
+        got = list(encoder.encode(part))
+        assert len(got) == len(part)
+        for text, ids in zip(part, got, strict=True):
+            assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    column = pa.array(["skipped", *texts[:40]])[1:]  # a slice, with places of 32 bits
+    assert [x.tolist() for x in encoder.encode_column(column)] == [plain.encode(t, add_special_tokens=False).ids for t in texts[:40]]
+    assert list(encoder.encode([])) == []
+
+
+def test_special_strings_are_what_the_library_takes_them_for():
+    assert next(Encoder(vocabulary("byte_bpe_50k.json")).encode(["a <|endoftext|> b"])).tolist().count(50256) == 1
+    assert next(Encoder(vocabulary("word_bpe_49k.json")).encode(["a <|endoftext|> b"])).tolist().count(49407) == 1
 
 
 def test_blocks_round_trip():
