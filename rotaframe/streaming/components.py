@@ -1,13 +1,13 @@
 """Components of signal pixels from frames that arrive in order, as a stateful stream.
 
 The state of a sweep is its open components alone: those with a pixel on the last frame. A component is
-put out as soon as no later pixel can touch it. A missing frame closes all; a frame that comes late or twice
-is an error, not late data, since components are already out by then.
+put out as soon as no later pixel can touch it. A missing frame closes all, and so does a row without a value,
+which ends its sweep; a frame that comes late or twice is an error, not late data, since components are
+already out by then. The state is a typed, versioned row of the open pixels, so it grows with them alone.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SPOTS = "sweep long, n_signal long, total long, x0 int, x1 int, y0 int, y1 int, z0 int, z1 int, c_x double, c_y double, c_z double"
+#: The state: the last frame, and of each open pixel its component and place.
+STATE = "version int, frame int, component array<int>, z array<int>, y array<int>, x array<int>, value array<long>"
+VERSION = 1
 NAMES = ["sweep", "n_signal", "total", "x0", "x1", "y0", "y1", "z0", "z1", "c_x", "c_y", "c_z"]
 
 
@@ -53,6 +56,24 @@ class Open:
         self.frame, self.last = frame, now
         return done
 
+    def packed(self) -> tuple:
+        pixels = [(number, *p) for number, part in enumerate(self.parts.values()) for p in part]
+        return (VERSION, self.frame, *([p[i] for p in pixels] for i in range(5)))
+
+    @classmethod
+    def unpacked(cls, state: tuple) -> Open:
+        version, frame, *columns = state
+        if version != VERSION:
+            raise ValueError(f"state of version {version}, not {VERSION}")
+        own = cls()
+        own.frame = frame
+        for component, *pixel in zip(*columns, strict=True):
+            own.parts.setdefault(component, []).append(tuple(pixel))
+            if pixel[0] == frame:
+                own.last[pixel[1], pixel[2]] = component
+        own.next = len(own.parts)
+        return own
+
     def close(self) -> list[list[tuple[int, int, int, int]]]:
         done, self.parts, self.last = list(self.parts.values()), {}, {}
         return done
@@ -65,24 +86,34 @@ def measured(sweep: int, pixels: list[tuple[int, int, int, int]]) -> tuple:
     return (sweep, len(pixels), total, min(x), max(x) + 1, min(y), max(y) + 1, min(z) - 1, max(z), centre[0], centre[1], sum(p[3] * (p[0] - 0.5) for p in pixels) / total)
 
 
-def stream_spots(pixels: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
-    """Spots of a streaming DataFrame (sweep, frame, y, x, value); a sweep with no frame for the timeout is closed.
+def stream_spots(pixels: DataFrame, timeout_ms: int | None = None) -> DataFrame:
+    """Spots of a streaming DataFrame (sweep, frame, y, x, value).
 
     Frames of a sweep must arrive in order over micro-batches; within a batch they are put in order here.
+    A row with a null value ends its sweep. With timeout_ms, a sweep with no frame for so long is closed too;
+    that is for streams that run on, as Spark then tries a batch again and again (a trigger availableNow wouldn't end).
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = pickle.loads(state.get[0]) if state.exists else Open()
+        held = Open.unpacked(state.get) if state.exists else Open()
         out = []
         if state.hasTimedOut:
             out = held.close()
             state.remove()
         else:
             rows = pd.concat(list(batches)).sort_values(["frame", "y", "x"])
-            for frame, own in rows.groupby("frame", sort=True):
+            ended = bool(rows["value"].isna().any())
+            for frame, own in rows.dropna(subset=["value"]).groupby("frame", sort=True):
                 out += held.add(int(frame), [(int(a), int(b), int(c)) for a, b, c in zip(own.y, own.x, own.value, strict=True)])
-            state.update((pickle.dumps(held),))
-            state.setTimeoutDuration(timeout_ms)
+            if ended:
+                out += held.close()
+                if state.exists:
+                    state.remove()
+            else:
+                state.update(held.packed())
+                if timeout_ms is not None:
+                    state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame([measured(int(key[0]), p) for p in out], columns=NAMES)
 
-    return pixels.groupBy("sweep").applyInPandasWithState(run, SPOTS, "open binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    waits = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return pixels.groupBy("sweep").applyInPandasWithState(run, SPOTS, STATE, "append", waits)

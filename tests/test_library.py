@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import os
 import random
+import shutil
 
 import numpy as np
 import pytest
@@ -158,23 +160,27 @@ def test_spots_of_a_sweep(spark):
     assert hot.count() >= 10
 
 
-def test_streamed_spots_are_those_of_the_batch(spark, tmp_path):
+@pytest.mark.parametrize("ending", ["a gap", "a row without a value"])
+def test_streamed_spots_are_those_of_the_batch(spark, tmp_path, ending):
     rng = random.Random(6)
     rows = [(0, f, y, x, rng.randrange(1, 9)) for f in range(1, 7) for y in range(6) for x in range(6) if rng.random() < 0.25 and f != 4]
     schema = "sweep long, frame int, y int, x int, value long"
-    for f in range(1, 7):
-        own = [r for r in rows if r[1] == f]
-        if own:
-            spark.createDataFrame(own, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-            import time
-
-            time.sleep(1.1)  # files are taken in order of their time, in seconds
-    end = spark.createDataFrame([(0, 99, 50, 50, 1)], schema)
-    end.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    parts = [[r for r in rows if r[1] == f] for f in range(1, 7)]
+    parts.append([(0, 99, 50, 50, 1)] if ending == "a gap" else [(0, None, None, None, None)])
+    at = 1_700_000_000
+    for i, own in enumerate(p for p in parts if p):
+        spark.createDataFrame(own, schema).coalesce(1).write.parquet(str(tmp_path / f"part-{i}"))
+        (file,) = (tmp_path / f"part-{i}").glob("*.parquet")
+        (tmp_path / "in").mkdir(exist_ok=True)
+        os.utime(shutil.move(file, tmp_path / "in" / f"{i}.parquet"), (at + 10 * i, at + 10 * i))  # files are taken in order of their time
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = stream_spots(stream).writeStream.format("memory").queryName("spots").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = sorted((r.n_signal, r.total, r.x0, r.x1, r.y0, r.y1, r.z0, r.z1) for r in spark.table("spots").collect())
+    name = f"spots_{len(ending)}"
+    q = stream_spots(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    try:
+        assert q.awaitTermination(120)
+    finally:
+        q.stop()
+    got = sorted((r.n_signal, r.total, r.x0, r.x1, r.y0, r.y1, r.z0, r.z1) for r in spark.table(name).collect())
     batch = images.pixel_components(spark.createDataFrame(rows, schema)).groupBy("component").agg(F.count("*").alias("n"), F.sum("value").alias("t"), *(a.alias(n) for n, a in (("x0", F.min("x")), ("x1", F.max("x") + 1), ("y0", F.min("y")), ("y1", F.max("y") + 1), ("z0", F.min("frame") - 1), ("z1", F.max("frame")))))
     assert got == sorted(tuple(r)[1:] for r in batch.collect())
 
