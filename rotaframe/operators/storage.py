@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """A copy of df in the session's spark.checkpoint.dir; only where that is unset, as in tests, in a temporary folder."""
+    """A copy of df in the session's spark.checkpoint.dir; only where that is unset and all runs on one machine, as in tests, in a temporary folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rotaframe-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir isn't set: the executors need a folder that all of them share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rotaframe-"))
     return df.checkpoint(eager=True)
