@@ -75,3 +75,20 @@ def text_or_empty(column: str):
 def partitions_for(rows_or_bytes: int, each: int, least: int = 1) -> int:
     """Partitions so that each gets about `each` units; grows with the input."""
     return max(least, -(-int(rows_or_bytes) // each))
+
+
+def joined_groups(rows: DataFrame, keys: list[str], groups: Callable[[DataFrame], DataFrame], counters: int = 512) -> DataFrame:
+    """rows joined with groups(rows), an aggregate by the (long) keys; a key with a large share of all rows is no burden to one task.
+
+    A Misra-Gries summary names every key that more than one row in `counters` has. Rows of those that prove that
+    frequent, `counters` keys at most, meet their broadcast aggregate on the map side; all others are shuffled.
+    rows are read several times, so they should be stored.
+    """
+    n = rows.count()
+    mark = F.xxhash64(*keys)
+    summary = rows.select(mark.alias("mark")).stat.freqItems(["mark"], 1 / counters)
+    candidates = summary.select(F.explode("mark_freqItems").alias("mark"))
+    counts = rows.select(*keys, mark.alias("mark")).join(F.broadcast(candidates), "mark", "left_semi").groupBy(*keys).agg(F.count("*").alias("met"))
+    heavy = checkpoint(counts.filter((F.col("met") > 1) & (F.col("met") * counters >= n)).select(*keys))
+    frequent, rare = rows.join(F.broadcast(heavy), keys, "left_semi"), rows.join(F.broadcast(heavy), keys, "left_anti")
+    return frequent.join(F.broadcast(groups(frequent)), keys).unionByName(rare.join(groups(rare), keys))

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions_for, text_or_empty, trimmed, written
+from .common import joined_groups, partitions_for, text_or_empty, trimmed, written
 from .quality import nearest_smaller, union_spans
 
 GRAM = 64
@@ -323,15 +323,19 @@ def _narrow(length: int, width: int):
 
 def _several(rows: DataFrame) -> DataFrame:
     """Rows of keys met twice or more, with `mixed`: whether contents differ."""
-    keys = rows.groupBy("key").agg(F.count("*").alias("met"), F.min("content").alias("lo"), F.max("content").alias("hi")).filter("met > 1")
-    return rows.join(keys.select("key", (F.col("lo") != F.col("hi")).alias("mixed")), "key")
+
+    def keys(own: DataFrame) -> DataFrame:
+        found = own.groupBy("key").agg(F.count("*").alias("met"), F.min("content").alias("lo"), F.max("content").alias("hi"))
+        return found.filter("met > 1").select("key", (F.col("lo") != F.col("hi")).alias("mixed"))
+
+    return joined_groups(rows, ["key"], keys)
 
 
 def _whole(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """Spans of records that are copies as a whole."""
     place = F.struct("doc_order", "doc", "start")
-    same = rows.groupBy("key", "content").agg(F.count("*").alias("copies"), F.min(place).alias("first")).filter("copies > 1")
-    out = rows.join(same, ["key", "content"])
+    first = [F.min(place).alias("first")] if keep_first else []
+    out = joined_groups(rows, ["key", "content"], lambda own: own.groupBy("key", "content").agg(F.count("*").alias("copies"), *first).filter("copies > 1"))
     if keep_first:
         out = out.filter(F.col("first") != place)
     return out.select("doc", F.col("start").alias("begin"), (F.col("start") + F.col("windows") - 1 + length).alias("end"))
@@ -339,7 +343,7 @@ def _whole(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
 
 def repeated_spans(texts: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """(doc, begin, end) of bytes to remove, not yet united. texts: doc (a key of the row), doc_order, text (binary)."""
-    found = texts.select("doc", "text").mapInArrow(trimmed(_find_records(length)), RECORD)
+    found = written(texts.select("doc", "text").mapInArrow(trimmed(_find_records(length)), RECORD))
     # ids in the order of documents are needed for the first copy alone
     several = written(_several(found))
     orders = texts.select("doc", "doc_order").filter(F.octet_length("text") >= length) if keep_first else None
@@ -347,9 +351,9 @@ def repeated_spans(texts: DataFrame, length: int, keep_first: bool) -> DataFrame
     several = with_order(several)
     spans = _whole(several, length, keep_first)
     place = F.struct("doc_order", "doc", "start", "windows")
-    contents = several.filter("mixed").groupBy("key", "content").agg(F.min(place).alias("p"))
-    many = contents.groupBy("key").agg(F.count("*").alias("contents"))
-    closer = contents.join(many, "key").select("key", "p.*", (F.col("contents") > HOT).alias("hot"))
+    contents = written(several.filter("mixed").groupBy("key", "content").agg(F.min(place).alias("p")).select("key", "p.*"))
+    many = joined_groups(contents, ["key"], lambda own: own.groupBy("key").agg(F.count("*").alias("contents")))
+    closer = many.withColumn("hot", F.col("contents") > HOT).drop("contents")
     places = closer.groupBy("doc").agg(F.collect_list(F.struct("key", "hot", "start", (F.col("windows") - 1 + length).alias("size"))).alias("places"))
     cut = texts.join(places, "doc").select("doc", "doc_order", "text", "places").mapInArrow(trimmed(_cut), "key long, hot boolean, doc long, doc_order long, start long, bytes binary")
     cut = written(cut.dropDuplicates(["key", "doc", "start"]) if keep_first else cut)
@@ -360,11 +364,11 @@ def repeated_spans(texts: DataFrame, length: int, keep_first: bool) -> DataFrame
     hot = cut.filter("hot").select("doc", "doc_order", "start", "bytes")
     if hot.take(1):
         kind = "key long, content long, doc long, doc_order long, start long, windows int, bytes binary"
-        narrow = written(_several(hot.mapInArrow(_narrow(length, NARROW), kind)))
+        narrow = written(_several(written(hot.mapInArrow(trimmed(_narrow(length, NARROW)), kind))))
         spans = spans.unionByName(_whole(narrow, length, keep_first))
         # one of each content goes on, as before
         mixed = narrow.filter("mixed").groupBy("key", "content").agg(F.min(F.struct("doc_order", "doc", "start", "windows", "bytes")).alias("p")).select("p.*")
-        single = mixed.select("doc", "doc_order", "start", "bytes").mapInArrow(_narrow(length, 1), kind).drop("bytes")
+        single = written(mixed.select("doc", "doc_order", "start", "bytes").mapInArrow(trimmed(_narrow(length, 1)), kind).drop("bytes"))
         spans = spans.unionByName(_whole(single, length, keep_first))
     return spans
 
