@@ -14,8 +14,10 @@
    a group's pairs are taken in rounds, its members against one pivot, and
    pairs already joined through others are left out; what is then left across
    components is compared pair by pair.
-5. Before verification a pair must also share a prefix shingle under orders 2
-   and 3 (two seeded hash orders); then the intersection is counted exactly.
+5. The filters are intersected before any set is fetched: a pair of order 1
+   meets the prefixes of its two sets under orders 2 and 3 (two seeded hash
+   orders) and goes on only if both share a shingle there too. What is left
+   meets the sets themselves, and the intersection is counted exactly.
 6. Links give components by min-label propagation with pointer jumping.
 
 Frequencies only order shingles, and only "one set or more" decides what is
@@ -44,8 +46,10 @@ from .common import checkpoint, partitions_for, text_or_empty, trimmed, written
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 10 << 20
 #: A shingle with more sets than this in one block is known to them as shared at once; its bucket hears of two of them.
 LOCALLY_HOT = 8
-#: Rounds of pivots before the pairs left are compared one by one.
-ROUNDS = 2
+#: Rounds of pivots before the pairs left are compared one by one: this many, and up to MOST_ROUNDS while more than PAIRS pairs a member would be left.
+ROUNDS, MOST_ROUNDS, PAIRS = 2, 8, 16
+#: Seeds of orders 2 and 3.
+SEEDS = (2, 3)
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -253,11 +257,19 @@ def _least_overlap(a: int, b: int, num: int, den: int) -> int:
     return -(-num * (a + b) // (num + den))
 
 
+def seeded(own: np.ndarray, p: int, seed: int) -> np.ndarray:
+    """The p first of a set's shared shingles under a seeded hash order; shingles left out come first in every order."""
+    return own if p >= len(own) else own[np.argpartition(mix64(own ^ np.uint64(seed)), p - 1)[:p]]
+
+
+SETS = "key long, n int, hashes binary, p2 array<long>, p3 array<long>"
+
+
 def _assemble(num: int, den: int, frequent):
-    """SHARED packets of one key bucket in; sets that may have a partner out, their shared shingles in order 1."""
+    """SHARED packets of one key bucket in; sets that may have a partner out, their shared shingles in order 1 and their prefixes in orders 2 and 3."""
 
     def run(table: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"key": [], "n": [], "hashes": []}
+        out: dict[str, list] = {"key": [], "n": [], "hashes": [], "p2": [], "p3": []}
         parts: list[list[np.ndarray]] = [[], [], []]
         for row in table.to_pylist():
             count = np.frombuffer(row["counts"], dtype=np.int32)
@@ -275,7 +287,11 @@ def _assemble(num: int, den: int, frequent):
                 out["key"].append(int(keys[a]))
                 out["n"].append(n)
                 out["hashes"].append(own[_order_1(own, frequent.value)].tobytes())
-        return pa.table({"key": pa.array(out["key"], type=pa.int64()), "n": pa.array(out["n"], type=pa.int32()), "hashes": pa.array(out["hashes"], type=pa.binary())})
+                p = prefix(n, m, -(-num * n // den))
+                for name, seed in zip(("p2", "p3"), SEEDS, strict=True):
+                    out[name].append(seeded(own, p, seed).view(np.int64))
+        kinds = {"key": pa.int64(), "n": pa.int32(), "hashes": pa.binary(), "p2": pa.list_(pa.int64()), "p3": pa.list_(pa.int64())}
+        return pa.table({name: pa.array(out[name], type=kind) for name, kind in kinds.items()})
 
     return run
 
@@ -303,28 +319,16 @@ def _prefix_rows(num: int, den: int):
 def _verify(num: int, den: int):
     """Rows (a, b, na, nb, sa, sb) in; (a, b) of those linked out."""
 
-    def seeded(own: np.ndarray, n: int, needed: int, seed: int) -> np.ndarray:
-        """The prefix under a seeded hash order; shingles left out come first in every order."""
-        p = prefix(n, len(own), needed)
-        if p >= len(own):
-            return own
-        by = np.argpartition(mix64(own ^ np.uint64(seed)), p - 1)[:p] if p else by_none
-        return own[by]
-
-    by_none = np.zeros(0, dtype=np.int64)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.zeros(batch.num_rows, dtype=bool)
-            last, known = None, by_none
+            last, known = None, np.zeros(0, dtype=np.uint64)
             columns = [batch.column(c).to_pylist() for c in ("b", "na", "nb", "sa", "sb")]
             for i, (b, na, nb, sa, sb) in enumerate(zip(*columns, strict=True)):
                 needed = _least_overlap(na, nb, num, den)
                 x, y = np.frombuffer(sa, dtype=np.uint64), np.frombuffer(sb, dtype=np.uint64)
                 if min(len(x), len(y)) < needed:
                     continue
-                if any(not np.isin(seeded(x, na, needed, s), seeded(y, nb, needed, s)).any() for s in (2, 3)):
-                    continue
                 if last != b:
                     last, known = b, np.sort(y)
                 j = np.minimum(np.searchsorted(known, x), len(known) - 1)
@@ -373,7 +377,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def jaccard_sets(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(documents: doc_id, key, n_shingles), (sets that may have a partner: key, n, hashes)."""
+    """(documents: doc_id, key, n_shingles), (sets that may have a partner, as in SETS)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -387,7 +391,7 @@ def jaccard_sets(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_
     klass = np.array([int(r["count"]).bit_length() for r in top], dtype=np.int64)
     by = np.argsort(known)
     frequent = spark.sparkContext.broadcast((known[by], klass[by]))
-    sets = counted.filter(F.col("kind") == SHARED).groupBy("bucket").applyInArrow(_assemble(num, den, frequent), "key long, n int, hashes binary")
+    sets = counted.filter(F.col("kind") == SHARED).groupBy("bucket").applyInArrow(_assemble(num, den, frequent), SETS)
     return documents, written(sets)
 
 
@@ -412,6 +416,13 @@ def _may_link(num: int, den: int):
     return lower & (F.least(F.col("x.m") - F.col("x.pos"), F.col("y.m") - F.col("y.pos")) >= needed)
 
 
+def _in_all_orders(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of order 1 that share a prefix shingle under orders 2 and 3 too."""
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("key").alias(side), F.col("p2").alias(f"{side}2"), F.col("p3").alias(f"{side}3")), side)
+    return pairs.filter(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b")
+
+
 def links(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(node, component) of all sets that are linked with another."""
     spark = sets.sparkSession
@@ -419,7 +430,8 @@ def links(sets: DataFrame, num: int, den: int) -> DataFrame:
     groups = members.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1")
     members = checkpoint(members.join(groups, "token").select("token", "key", "n", "m", "pos"))
     labels, known = spark.createDataFrame([], "node long, component long"), 0
-    for step in range(ROUNDS + 1):
+    step, last = 0, False
+    while not last:
         own = members.withColumn("component", F.col("key"))
         if step:
             own = members.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
@@ -427,7 +439,12 @@ def links(sets: DataFrame, num: int, den: int) -> DataFrame:
             split = own.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
             own = checkpoint(own.join(split, "token"))
             members = own.drop("component")
-        if step < ROUNDS:
+        if step >= ROUNDS:
+            # members outside their group's main component, and the pairs they would make with all of it
+            parts = own.groupBy("token", "component").agg(F.count("*").alias("size")).groupBy("token").agg(F.max("size").alias("main"), F.sum("size").alias("size"))
+            left = parts.agg(F.sum((F.col("size") - F.col("main")) * F.col("size")).alias("pairs"), F.sum("size").alias("members")).first()
+            last = step >= MOST_ROUNDS or (left.pairs or 0) <= PAIRS * (left.members or 0)
+        if not last:
             # the pivot: first the member with the fewest shingles of its own, then any other
             score = F.col("m") / F.col("n") if step == 0 else F.xxhash64(F.lit(step), "key")
             pivots = own.groupBy("token").agg(F.max(F.struct(score.alias("score"), "key", "n", "m", "pos", "component")).alias("p")).select("token", "p.*")
@@ -439,6 +456,7 @@ def links(sets: DataFrame, num: int, den: int) -> DataFrame:
         pairs = pairs.groupBy(F.least("x.key", "y.key").alias("lo"), F.greatest("x.key", "y.key").alias("hi")).agg(F.min("y.key").alias("pivot"))
         # the pivot's set is b, so that one sorted copy serves its pairs
         pairs = pairs.select(F.when(F.col("pivot") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("a"), F.col("pivot").alias("b"))
+        pairs = _in_all_orders(pairs, sets)
         both = pairs.join(sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("sb")), "b")
         found = both.mapInArrow(trimmed(_verify(num, den)), "a long, b long")
         to = labels.withColumnRenamed("node", "a")
@@ -446,6 +464,7 @@ def links(sets: DataFrame, num: int, den: int) -> DataFrame:
         over = components(joined)  # of components so far
         moved = labels.join(over.withColumnRenamed("node", "c").withColumnRenamed("component", "to"), F.col("component") == F.col("c"), "left").select("node", F.coalesce("to", "component").alias("component"))
         known += over.count()  # at least the rows of labels
+        step += 1
         labels = checkpoint(fitting(moved.unionByName(over.join(labels, "node", "left_anti")), known))
     return labels
 
