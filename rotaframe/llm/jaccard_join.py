@@ -32,6 +32,7 @@ table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,8 +47,9 @@ from .common import checkpoint, partitions_for, text_or_empty, trimmed, written
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 10 << 20
 #: A shingle with more sets than this in one block is known to them as shared at once; its bucket hears of two of them.
 LOCALLY_HOT = 8
-#: Rounds of pivots before the pairs left are compared one by one: this many, and up to MOST_ROUNDS while more than PAIRS pairs a member would be left.
-ROUNDS, MOST_ROUNDS, PAIRS = 2, 8, 16
+#: Rounds of pivots before the pairs left are compared one by one: this many, and up to MOST_ROUNDS while more pairs
+#: would be left than PAIRS times the rows of all groups and each round halves them.
+ROUNDS, MOST_ROUNDS, PAIRS = 2, 8, 4
 #: Seeds of orders 2 and 3.
 SEEDS = (2, 3)
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -416,6 +418,11 @@ def _may_link(num: int, den: int):
     return lower & (F.least(F.col("x.m") - F.col("x.pos"), F.col("y.m") - F.col("y.pos")) >= needed)
 
 
+def _size_class(num: int, den: int):
+    """Sets that can be linked are of one class or of neighbouring ones; a little wider than need be, for rounding."""
+    return F.floor(F.log(F.col("n").cast("double")) / max(1e-3, 1.0001 * math.log(den / num))).cast("int")
+
+
 def _in_all_orders(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of order 1 that share a prefix shingle under orders 2 and 3 too."""
     for side in "ab":
@@ -429,8 +436,9 @@ def links(sets: DataFrame, num: int, den: int) -> DataFrame:
     members = sets.mapInArrow(trimmed(_prefix_rows(num, den)), "token long, key long, n int, m int, pos int")
     groups = members.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1")
     members = checkpoint(members.join(groups, "token").select("token", "key", "n", "m", "pos"))
+    rows = members.count()
     labels, known = spark.createDataFrame([], "node long, component long"), 0
-    step, last = 0, False
+    step, last, before = 0, False, float("inf")
     while not last:
         own = members.withColumn("component", F.col("key"))
         if step:
@@ -439,20 +447,24 @@ def links(sets: DataFrame, num: int, den: int) -> DataFrame:
             split = own.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
             own = checkpoint(own.join(split, "token"))
             members = own.drop("component")
-        if step >= ROUNDS:
-            # members outside their group's main component, and the pairs they would make with all of it
-            parts = own.groupBy("token", "component").agg(F.count("*").alias("size")).groupBy("token").agg(F.max("size").alias("main"), F.sum("size").alias("size"))
-            left = parts.agg(F.sum((F.col("size") - F.col("main")) * F.col("size")).alias("pairs"), F.sum("size").alias("members")).first()
-            last = step >= MOST_ROUNDS or (left.pairs or 0) <= PAIRS * (left.members or 0)
+        if step or step >= ROUNDS:
+            # members outside their group's main component, and the pairs they could make with all of it
+            main = own.groupBy("token", "component").agg(F.count("*").alias("size")).groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.sum("size").alias("size"))
+            outside = F.sum((F.col("component") != F.col("main")).cast("long"))
+            left = own.join(main, "token").groupBy("token").agg((outside * F.first("size")).alias("pairs")).agg(F.sum("pairs")).first()[0] or 0
+            last = step >= ROUNDS and (step >= MOST_ROUNDS or left <= PAIRS * rows or left > before / 2)
+            before = left
         if not last:
             # the pivot: first the member with the fewest shingles of its own, then any other
             score = F.col("m") / F.col("n") if step == 0 else F.xxhash64(F.lit(step), "key")
             pivots = own.groupBy("token").agg(F.max(F.struct(score.alias("score"), "key", "n", "m", "pos", "component")).alias("p")).select("token", "p.*")
         else:
-            # what is left: members outside a group's main component against all
-            main = own.groupBy("token", "component").agg(F.count("*").alias("size")).groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
-            pivots = own.join(main, "token").filter("component <> main")
-        pairs = own.alias("x").join(pivots.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & _may_link(num, den))
+            # what is left: members outside a group's main component against all whose size is near enough, by classes of sizes
+            pivots = own.join(main, "token").filter("component <> main").drop("main", "size")
+            own = own.withColumn("class", _size_class(num, den))
+            pivots = pivots.withColumn("class", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: _size_class(num, den) + d)))
+        near = (F.col("x.class") == F.col("y.class")) if last else F.lit(True)
+        pairs = own.alias("x").join(pivots.alias("y"), (F.col("x.token") == F.col("y.token")) & near & (F.col("x.component") != F.col("y.component")) & _may_link(num, den))
         pairs = pairs.groupBy(F.least("x.key", "y.key").alias("lo"), F.greatest("x.key", "y.key").alias("hi")).agg(F.min("y.key").alias("pivot"))
         # the pivot's set is b, so that one sorted copy serves its pairs
         pairs = pairs.select(F.when(F.col("pivot") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("a"), F.col("pivot").alias("b"))

@@ -173,20 +173,22 @@ def learn(texts: list[str], labels: list[int], support: float = 0.012, least: fl
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[int]]:
-    """Texts and labels of at most `sample` rows of either label, those with the smallest hashes of their id."""
-    marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("doc_id IS NOT NULL AND label IN (0, 1)").dropDuplicates(["doc_id"])
+    """Texts and labels of at most `sample` ids of either label, those with the smallest hashes; of an id on several rows, one text."""
+    marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("doc_id IS NOT NULL AND label IN (0, 1)")
+    marked = marked.groupBy("doc_id").agg(F.max("label").alias("label"))
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = marked.filter("label = 0").orderBy(*by_hash).limit(sample).unionByName(marked.filter("label = 1").orderBy(*by_hash).limit(sample))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").limit(4 * sample).collect()
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).orderBy("doc_id").collect()
     return [r.text for r in rows], [r.label for r in rows]
 
 
-def _scored(lexicon: Lexicon, kept_below: float | None):
+def _scored(lexicon: Lexicon, kept_below: float | None, text_col: str = "_text"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = lexicon.automaton()
         for batch in batches:
             scores, totals, lengths = [], [], []
-            for text in batch.column("_text").to_pylist():
+            for text in batch.column(text_col).to_pylist():
                 folded = fold(text)
                 n = max(0, folded.count(" ") - 1) if folded.strip() else 0
                 total = matched(a, folded)
@@ -196,7 +198,7 @@ def _scored(lexicon: Lexicon, kept_below: float | None):
             if kept_below is None:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, type=pa.float64()), pa.array(totals, type=pa.float64()), pa.array(lengths, type=pa.int64())], names=["doc_id", "score", "weight", "n_words"])
             else:
-                yield batch.filter(pa.array([s < kept_below for s in scores], type=pa.bool_())).drop_columns(["_text"])
+                yield batch.filter(pa.array([s < kept_below for s in scores], type=pa.bool_())).drop_columns([text_col])
 
     return run
 
@@ -210,4 +212,7 @@ def toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows of docs that score under the threshold, with all their columns; one pass, no join."""
-    return docs.withColumn("_text", text_or_empty(text_col)).mapInArrow(trimmed(_scored(lexicon, threshold)), docs.schema)
+    own = "_text"
+    while own in docs.columns:
+        own += "_"
+    return docs.withColumn(own, text_or_empty(text_col)).mapInArrow(trimmed(_scored(lexicon, threshold, own)), docs.schema)

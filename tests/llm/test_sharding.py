@@ -44,3 +44,39 @@ def test_rows(spark):
     assert [(r.shard, r.slot) for r in shard(one, 8).collect()] == [(0, 0)]
     first = read_order(frame(spark, rows[:50]), shard(frame(spark, rows[:50]), 8), 8, 3).collect()
     assert len(first) in (6, 7)
+
+
+def scalar_permutation(n: int, seed: int, x: int) -> int:
+    """The network in Python's own integers, a number at a time."""
+    word = (1 << 64) - 1
+    half = 1
+    while 4**half < n:
+        half += 1
+    mask = (1 << half) - 1
+    while True:
+        left, right = divmod(x, 1 << half)
+        for r in range(8):
+            z = (right + seed * 0x2545F4914F6CDD1D + r * 0x9E3779B97F4A7C15) & word
+            z = z * 0x9E3779B97F4A7C15 & word
+            z ^= z >> 29
+            z = z * 0xBF58476D1CE4E5B9 & word
+            left, right = right, left ^ ((z ^ (z >> 32)) & mask)
+        x = (left << half) | right
+        if x < n:
+            return x
+
+
+def test_the_permutation_is_that_of_a_plain_loop():
+    for n, seed in ((1, 5), (2, 1), (7, 3), (16, 2), (17, 2), (300, 11)):
+        assert Permutation(n, seed).of(np.arange(n)).tolist() == [scalar_permutation(n, seed, x) for x in range(n)]
+
+
+def test_shards_are_those_of_a_plain_loop(spark):
+    import inspect
+
+    seed = inspect.signature(shard).parameters["seed"].default
+    rows = [r for r in documents(60) if r[0] is not None]
+    rows = list({r[0]: r for r in rows}.values())  # of one id once: then the order is that of ids
+    order = sorted(r[0] for r in rows)
+    want = {d: divmod(scalar_permutation(len(rows), seed, i), 8)[::-1] for i, d in enumerate(order)}
+    assert {r.doc_id: (r.shard, r.slot) for r in shard(frame(spark, rows), 8).collect()} == want

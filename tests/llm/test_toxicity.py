@@ -81,3 +81,21 @@ def test_rows(spark):
         assert kept.columns == df.columns and kept.count() == sum(s < 0.7 for s in want)
     assert toxicity(frame(spark, []), lexicon).collect() == []
     assert max(r.score for r in toxicity(frame(spark), Lexicon()).collect()) < 1e-9
+
+
+def test_sample_of_repeated_ids_takes_one_text_of_each(spark):
+    from rotaframe.llm.toxicity import training_rows
+
+    docs = spark.createDataFrame([(i, f"text {i} {k}") for i in range(40) for k in range(9)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 2, "doc_id long, toxic int")
+    texts, marks = training_rows(docs, labels, 12)
+    assert len(texts) == 24 and sum(marks) == 12
+    assert len({t.split()[1] for t in texts}) == 24
+    assert training_rows(docs.repartition(3), labels.repartition(2), 12) == (texts, marks)
+
+
+def test_a_column_called_as_the_own_one_stays(spark):
+    docs = spark.createDataFrame([(1, "fine words", "mine"), (2, "idiot", "too")], "doc_id long, text string, _text string")
+    lexicon = Lexicon({" idiot ": 9.0}, frozenset(), (-3.0, 2.0, 9.0))
+    assert [r._text for r in drop_toxic(docs, lexicon, 0.7).collect()] in (["mine"], ["mine", "too"])
+    assert drop_toxic(docs, lexicon, 2.0).columns == ["doc_id", "text", "_text"]
