@@ -120,7 +120,9 @@ def d_spacing(h: Column, k: Column, l: Column, a: Column, b: Column, c: Column,
 
 
 def quantum_efficiency(mu: Column, thickness: Column, cos_angle: Column) -> Column:
-    return 1 - F.exp(-mu * thickness / cos_angle)
+    """1 where the sensor is unknown or the ray runs along it."""
+    known = (mu > 0) & (thickness > 0) & (cos_angle > 0)
+    return F.when(known, 1 - F.exp(-mu * thickness / cos_angle)).otherwise(F.lit(1.0))
 
 
 def lorentz_polarization(s0: Column, s1: Column, axis: Column, pol_normal: Column, fraction: Column) -> Column:
@@ -153,9 +155,11 @@ def erf(x: Column) -> Column:
 
 
 def partiality(phi: Column, phi_low: Column, phi_high: Column, sigma_m: Column, zeta_value: Column) -> Column:
-    """Part of a Gaussian in phi, of width sigma_m / |zeta|, between the ends of the box."""
+    """Part of a Gaussian in phi, of width sigma_m / |zeta|, between the ends of the box, in any order; 1 without a spread."""
     c = F.abs(zeta_value) / (F.sqrt(F.lit(2.0)) * sigma_m)
-    return 0.5 * (erf((phi_high - phi) * c) - erf((phi_low - phi) * c))
+    low, high = F.least(phi_low, phi_high), F.greatest(phi_low, phi_high)
+    part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 * (erf((high - phi) * c) - erf((low - phi) * c))))
+    return F.when((sigma_m > 0) & (zeta_value != 0), part).otherwise(F.lit(1.0))
 
 
 def kabsch_epsilon(s1: Column, s1_pixel: Column, s0: Column) -> tuple[Column, Column]:

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import windows
+
 
 def lookup(rows: DataFrame, models: DataFrame, key: str = "id") -> DataFrame:
     """Rows with their model's columns. An id that names no model is an error, not a dropped row."""
@@ -149,12 +151,18 @@ def symmetry_mates(rows: DataFrame, keys: list[str], operator: list[Column], val
     return moved.join(mates, [f"_{k}" for k in keys]).drop(*(f"_{k}" for k in keys))
 
 
-def best_operator(a: DataFrame, b: DataFrame, keys: list[str], operators: dict[str, list[Column]], value: str, least: int = 10) -> DataFrame:
-    """Correlation of a with b reindexed by each operator, one pass over b: images are exploded from the short list of operators."""
+def best_operator(a: DataFrame, b: DataFrame, keys: list[str], operators: dict[str, list[Column]], value: str, identity: str, least: int = 10) -> DataFrame:
+    """Rank correlation of a with b reindexed by each operator that leaves `least` common keys, and which is best; ties go to the identity.
+
+    One pass over b: images are exploded from the short list of operators. Equal values are ranked in the order of keys.
+    """
     images = F.explode(F.array(*(F.struct(F.lit(name).alias("operator"), *(c.alias(k) for k, c in zip(keys, image, strict=True))) for name, image in operators.items())))
     moved = b.select(images.alias("_i"), F.col(value).alias("_b")).select("_i.*", "_b")
     both = a.select(*keys, F.col(value).alias("_a")).join(moved, keys)
-    return both.groupBy("operator").agg(F.count("*").alias("common"), F.corr("_a", "_b").alias("cc")).filter(F.col("common") >= least)
+    both = windows.ranks(windows.ranks(both, ["operator"], "_a", keys, "_ra"), ["operator"], "_b", keys, "_rb")
+    found = both.groupBy("operator").agg(F.count("*").alias("common"), F.corr("_ra", "_rb").alias("cc")).filter(F.col("common") >= least)
+    best = found.agg(F.max_by("operator", F.struct(F.coalesce("cc", F.lit(-2.0)), F.col("operator") == identity, "operator")).alias("best"))  # one row
+    return found.join(F.broadcast(best)).select("operator", "common", "cc", (F.col("operator") == F.col("best")).alias("chosen"))
 
 
 def explain_unpartnered(rows: DataFrame, partners: DataFrame, keys: list[str], row_id: str, reasons: list[tuple[str, Column]], otherwise: str) -> DataFrame:

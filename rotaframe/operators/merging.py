@@ -12,25 +12,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def combine_partials(rows: DataFrame, keys: list[str], row_id: str = "row_id", partiality: str = "partiality", profile: str = "i_prf", profile_var: str = "v_prf", total: str = "i_sum", total_var: str = "v_sum", full: float = 0.99) -> DataFrame:
-    """Pieces of one reflection split over images, made one row.
+def combine_partials(rows: DataFrame, keys: list[str], row_id: str = "row_id", partiality: str = "partiality", profile: str = "i_prf", profile_var: str = "v_prf", total: str = "i_sum", total_var: str = "v_sum", full: float = 0.99, wanted: Column | None = None) -> DataFrame:
+    """Rows with the pieces of a reflection split over images made one; all other rows stay as they are, with 1 as `pieces`.
 
-    Only incomplete pieces with positive variances take part, and only where a
-    key has two or more; the profile mean is weighted by I^2 / var, sums and
-    partialities are added, and the first row carries the result.
+    Pieces are wanted rows under `full` partiality with positive variances and a key without nulls, and only where a key has
+    two or more. Profile values and their variances are means weighted by I^2 / var (0 and the sum of the variances
+    where nothing weighs); sums, their variances and partialities are added. The row with the least id carries the result.
     """
-    piece = (F.col(partiality) < full) & (F.col(profile_var) > 0) & (F.col(total_var) > 0)
-    weight = F.when(F.col(profile) != 0, F.col(profile) * F.col(profile) / F.col(profile_var)).otherwise(F.lit(0.0))
-    found = rows.filter(piece).groupBy(*keys).agg(
-        F.count("*").alias("pieces"),
-        F.min(row_id).alias(row_id),
-        (F.sum(weight * F.col(profile)) / F.sum(weight)).alias(profile),
-        (F.sum(weight * weight * F.col(profile_var)) / (F.sum(weight) * F.sum(weight))).alias(profile_var),
-        F.sum(total).alias(total),
-        F.sum(total_var).alias(total_var),
-        F.sum(partiality).alias(partiality),
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    piece = F.coalesce((F.lit(True) if wanted is None else wanted) & (F.col(partiality) < full) & (F.col(profile_var) > 0) & (F.col(total_var) > 0) & known, F.lit(False))
+    rows = rows.withColumn("_piece", piece)
+    weight = F.col(profile) * F.col(profile) / F.col(profile_var)
+    sums = rows.filter("_piece").groupBy(*keys).agg(
+        F.count("*").alias("_n"),
+        F.min(row_id).alias("_first"),
+        *(F.sum(v).cast("double").alias(n) for n, v in (("_w", weight), ("_wi", weight * F.col(profile)), ("_wv", weight * F.col(profile_var)), ("_v", F.col(profile_var)))),
+        *(F.sum(c).alias(f"_{c}") for c in (total, total_var, partiality)),
     )
-    return found.filter("pieces >= 2")
+    weighs = F.col("_w") > 0
+    new = {
+        profile: F.when(weighs, F.col("_wi") / F.col("_w")).otherwise(F.lit(0.0)),
+        profile_var: F.when(weighs, F.col("_wv") / F.col("_w")).otherwise(F.col("_v")),
+        **{c: F.col(f"_{c}") for c in (total, total_var, partiality)},
+    }
+    held = rows.join(sums.filter("_n >= 2"), keys, "left")
+    joined = F.col("_piece") & F.col("_n").isNotNull()
+    kept = held.filter(~joined | (F.col(row_id) == F.col("_first")))
+    columns = [(F.when(joined, new[c]).otherwise(F.col(c)) if c in new else F.col(c)).alias(c) for c in rows.columns if c != "_piece"]
+    return kept.select(*columns, F.when(joined, F.col("_n")).otherwise(F.lit(1)).cast("long").alias("pieces"))
 
 
 def correct_intensity(rows: DataFrame) -> DataFrame:
@@ -47,14 +58,16 @@ def merged_scaled(rows: DataFrame, keys: list[str], value: str = "i", variance:
 
 
 def merged_with_sigma(rows: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
-    """Weighted mean with the larger of its internal and external error; a single observation keeps its own."""
-    w, x = F.col(weight), F.col(value)
-    sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), *(F.sum(v).cast("double").alias(n) for v, n in ((w, "sw"), (w * w, "sw2"), (w * x, "swx"), (w * x * x, "swxx"))))
-    mean = F.col("swx") / F.col("sw")
-    spread = F.greatest(F.col("swxx") - F.col("swx") * F.col("swx") / F.col("sw"), F.lit(0.0))
-    scatter = F.col("sw") / (F.col("sw") * F.col("sw") - F.col("sw2")) * spread
+    """Weighted mean with the larger of its internal and external error; a single observation keeps its own.
+
+    Deviations are squared after the mean is known, so values far from 0 lose nothing.
+    """
+    w, x = F.col(weight).cast("double"), F.col(value)
+    means = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(w).alias("sw"), F.sum(w * w).alias("sw2"), (F.sum(w * x) / F.sum(w)).alias("mean"))
+    off = rows.join(means.select(*keys, "mean"), keys).groupBy(*keys).agg(F.sum(w * (x - F.col("mean")) * (x - F.col("mean"))).alias("spread"))
+    scatter = F.col("sw") / (F.col("sw") * F.col("sw") - F.col("sw2")) * F.col("spread")
     sigma = F.when(F.col("n") == 1, F.sqrt(1 / F.col("sw"))).otherwise(F.sqrt(F.greatest(scatter / F.col("n"), 1 / F.col("sw"))))
-    return sums.select(*keys, "n", mean.alias("mean"), sigma.alias("sigma"))
+    return means.join(off, keys).select(*keys, "n", "mean", sigma.alias("sigma"))
 
 
 def agreement(rows: DataFrame, keys: list[str], value: str, by: list[str], absolute_denominator: bool = False) -> DataFrame:
@@ -99,16 +112,44 @@ def resolution_shell(d: Column, d_min: float, d_max: float, shells: int) -> Colu
 
 
 def equal_count_bins(rows: DataFrame, order: list[Column], least: int = 10, bins: int = 50) -> DataFrame:
-    """Bins of max(least, n / bins) rows in the given order; the remainder joins the last bin.
+    """Bins of max(least, n / bins) rows in the given order; a remainder of under half a bin joins the last one.
 
     Numbers rows by a range partitioning with running offsets, not in one task.
     """
     numbered = number_rows(rows, order)
     size = F.greatest(F.lit(least), F.floor(F.col("n_rows") / bins))
-    last = F.greatest(F.floor(F.col("n_rows") / size) - 1, F.lit(0))
+    whole = F.floor(F.col("n_rows") / size)
+    last = F.greatest(F.when(F.col("n_rows") - whole * size < F.floor(size / 2), whole - 1).otherwise(whole), F.lit(0))
     return numbered.withColumn("bin", F.least(F.floor(F.col("row_number") / size), last).cast("int"))
 
 
+def edge_bins(rows: DataFrame, order: list[Column], bins: int) -> DataFrame:
+    """Bins whose edges are the integers n * b / bins."""
+    at = F.expr(f"((row_number + 1) * {bins} - 1) DIV n_rows")
+    return number_rows(rows, order).withColumn("bin", at.cast("int"))
+
+
+def without_wilson_outliers(unique: DataFrame, order: list[Column], value: str = "mean", shell: int = 500, limit: float = 16.0) -> DataFrame:
+    """Rows whose value is under `limit` times the mean of their run of `shell` rows in the given order; all of a run whose mean isn't positive."""
+    numbered = number_rows(unique, order).withColumn("_run", F.expr(f"row_number DIV {shell}"))
+    means = numbered.groupBy("_run").agg(F.avg(value).alias("_mean"))
+    keep = ~((F.col("_mean") > 0) & (F.col(value) / F.col("_mean") >= limit))
+    return numbered.join(means, "_run").filter(keep).drop("_run", "_mean", "row_number", "n_rows")
+
+
+def group_medians(rows: DataFrame, by: str, value: str, upper: bool = False) -> DataFrame:
+    """(by, median): exact, by numbering rows in the order of group and value and taking the middle ones of each group.
+
+    upper: the upper of two middle values, else their mean. No task holds a group's values, so few large groups are no burden. Null values are left out.
+    """
+    numbered = number_rows(rows.select(by, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL"), [F.asc(by), F.asc("_v")])
+    sizes = numbered.groupBy(by).agg(F.min("row_number").alias("_from"), F.count("*").alias("_n"))
+    at = F.col("row_number") - F.col("_from")
+    lower = F.lit(False) if upper else at == F.expr("(_n - 1) DIV 2")
+    middle = numbered.join(sizes, by).filter(lower | (at == F.expr("_n DIV 2")))
+    return middle.groupBy(by).agg(F.avg("_v").alias("median"))
+
+
 def number_rows(rows: DataFrame, order: list[Column]) -> DataFrame:
     """row_number from 0 in the given total order, and n_rows; slices are sorted apart and counted."""
     from .storage import checkpoint
@@ -121,11 +162,25 @@ def number_rows(rows: DataFrame, order: list[Column]) -> DataFrame:
     return held.join(F.broadcast(starts), "_slice").withColumn("row_number", F.col("_start") + F.col("_in")).drop("_at", "_slice", "_in", "_start")
 
 
+def running_sums(rows: DataFrame, order: list[Column], weight: str) -> DataFrame:
+    """rows with `before`: the sum of weight over all rows before it in the given total order; slices are summed apart."""
+    numbered = number_rows(rows, order)
+    # slices of the number of rows, some thousands in all
+    held = numbered.withColumn("_slice", F.expr("row_number DIV greatest(4096, n_rows DIV 4096 + 1)"))
+    sums = held.groupBy("_slice").agg(F.sum(weight).alias("_sum"))
+    starts = sums.select("_slice", F.coalesce(F.sum("_sum").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    own = Window.partitionBy("_slice").orderBy("row_number").rowsBetween(Window.unboundedPreceding, -1)
+    return held.join(F.broadcast(starts), "_slice").withColumn("before", F.col("_start") + F.coalesce(F.sum(weight).over(own), F.lit(0))).drop("_slice", "_start", "row_number", "n_rows")
+
+
 def pair_correlations(sets: DataFrame, dataset: str, keys: list[str], value: str, variance: str, least: int = 3) -> DataFrame:
     """Weighted correlation of every two data sets over their common keys, and the effective number of pairs.
 
     Weights are 1 / (var_a + var_b); n_eff = (sum w)^2 / sum w^2. One join on the keys and one aggregation by pair.
     """
+    # a shift changes no correlation, and values far from 0 lose nothing
+    means = sets.groupBy(dataset).agg(F.avg(value).alias("_mean"))
+    sets = sets.join(means, dataset).withColumn(value, F.col(value) - F.col("_mean"))
     side = lambda s: sets.select(*keys, *(F.col(c).alias(f"{n}_{s}") for c, n in ((dataset, "ds"), (value, "x"), (variance, "v"))))
     both = side("a").join(side("b"), keys).filter("ds_a < ds_b").withColumn("w", 1 / (F.col("v_a") + F.col("v_b")))
     w, x, y = F.col("w"), F.col("x_a"), F.col("x_b")
@@ -135,13 +190,44 @@ def pair_correlations(sets: DataFrame, dataset: str, keys: list[str], value: str
     return s.filter(F.col("n") >= least).select("ds_a", "ds_b", "n", F.when(norm > 0, cov / norm).otherwise(F.lit(0.0)).alias("cc"), (F.col("sw") * F.col("sw") / F.col("sw2")).alias("n_eff"))
 
 
-def combination_choice(rows: DataFrame, keys: list[str], candidates: list[float], profile: str = "i_prf", total: str = "i_sum") -> DataFrame:
-    """Rmeas of I = w I_prf + (1 - w) I_sum, w = 1 / (1 + (I_sum / I_mid)^3), for each I_mid (0: sums alone, inf: profiles alone)."""
+def weighted_rmeas(rows: DataFrame, keys: list[str], value: str = "i", variance: str = "v", scale: str = "g", by: list[str] | None = None) -> DataFrame:
+    """Rmeas about the weighted mean of each group, over groups of two or more; by: columns that are constant in a group."""
+    by = by or []
+    own = [*keys, *by]
+    g, w, x = F.col(scale), F.col(scale) * F.col(scale) / F.col(variance), F.col(value) / F.col(scale)
+    sums = rows.groupBy(*own).agg(F.count("*").alias("_n"), F.sum(w).alias("_den"), F.sum(g * F.col(value) / F.col(variance)).alias("_num")).filter("_n >= 2 AND _den > 0")
+    off = F.sqrt(F.col("_n") / (F.col("_n") - 1)) * F.abs(x - F.col("_num") / F.col("_den"))
+    out = rows.join(sums, own).groupBy(*by).agg(F.sum(off).alias("_top"), F.sum(x).alias("_bottom"))
+    return out.select(*by, F.when(F.col("_bottom") > 0, F.col("_top") / F.col("_bottom")).otherwise(F.lit(0.0)).alias("r_meas"))
+
+
+def combined_intensity(rows: DataFrame, mid: Column) -> DataFrame:
+    """i and v from profile (i_prf, v_prf) and sum (i_sum, v_sum): w = 1 / (1 + (I_sum / I_mid)^3) of the profile.
+
+    I_mid 0: profiles alone; infinite: sums alone; a row without a sum keeps its profile. Sigmas are mixed as values are.
+    """
+    w = F.when(F.col("i_sum").isNull() | (mid == 0), F.lit(1.0)).when(mid == float("inf"), F.lit(0.0)).otherwise(1 / (1 + F.pow(F.greatest(F.col("i_sum"), F.lit(0.0)) / mid, F.lit(3.0))))
+    sigma = F.col("_w") * F.sqrt("v_prf") + (1 - F.col("_w")) * F.sqrt(F.coalesce("v_sum", "v_prf"))
+    out = rows.withColumn("_w", w)
+    return out.withColumns({"i": F.col("_w") * F.col("i_prf") + (1 - F.col("_w")) * F.coalesce("i_sum", F.lit(0.0)), "v": sigma * sigma}).drop("_w")
+
+
+def combination_choice(rows: DataFrame, keys: list[str], candidates: list[float] | None = None, scale: str | None = None) -> DataFrame:
+    """Weighted Rmeas of combined intensities for each I_mid, and which is best: the least, the first of equal ones.
+
+    candidates: 0, infinity and the powers of ten from 10 to under the largest sum, unless given.
+    """
     spark = rows.sparkSession
-    mids = F.broadcast(spark.createDataFrame([(float(c),) for c in candidates], "mid double"))  # as long as the list given
-    w = F.when(F.col("mid") == 0, F.lit(0.0)).when(F.col("mid") == float("inf"), F.lit(1.0)).otherwise(1 / (1 + F.pow(F.greatest(F.col(total), F.lit(0.0)) / F.col("mid"), F.lit(3.0))))
-    mixed = rows.join(mids).withColumn("x", w * F.col(profile) + (1 - w) * F.col(total))
-    return agreement(mixed, [*keys, "mid"], "x", ["mid"]).filter("mid IS NOT NULL").select("mid", "r_meas")
+    if candidates is None:
+        biggest = max(1.0, rows.agg(F.max("i_sum")).first()[0] or 1.0)
+        candidates = [0.0, float("inf")]
+        while (power := 10.0 ** (len(candidates) - 1)) < biggest:
+            candidates.append(power)
+    mids = F.broadcast(spark.createDataFrame([(float(c), i) for i, c in enumerate(candidates)], "mid double, nth int"))  # as long as the list
+    scaled = rows.withColumn("_g", F.col(scale) if scale else F.lit(1.0))
+    found = weighted_rmeas(combined_intensity(scaled.join(mids), F.col("mid")), keys, "i", "v", "_g", ["mid", "nth"])
+    best = found.agg(F.min_by("mid", F.struct("r_meas", "nth")).alias("best"))  # one row
+    return found.join(F.broadcast(best)).select("mid", "r_meas", (F.col("mid") == F.col("best")).alias("chosen"))
 
 
 def completeness(unique: DataFrame, possible: DataFrame, shell: str) -> DataFrame:
@@ -155,6 +241,6 @@ def intensity_moments(rows: DataFrame, shell: str, value: str) -> DataFrame:
     """Mean |E^2 - 1|, second moment and N(z) at z = 0.1 ... 1 of values normalised in their shell."""
     z = F.col(value) / F.col("shell_mean")
     means = rows.groupBy(shell).agg(F.avg(value).alias("shell_mean"))
-    normal = rows.join(F.broadcast(means), shell).filter("shell_mean > 0").withColumn("z", z)
+    normal = rows.join(means, shell).filter("shell_mean > 0").withColumn("z", z)
     below = [F.avg((F.col("z") <= k / 10).cast("double")).alias(f"n_{k}") for k in range(1, 11)]
     return normal.agg(F.count("*").alias("n"), F.avg(F.abs(F.col("z") - 1)).alias("mean_abs_e2"), F.avg(F.col("z") * F.col("z")).alias("moment_2"), *below)

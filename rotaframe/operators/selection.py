@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .merging import group_medians, number_rows
+
 # Bits of the flags column.
 FLAGS = {
     "predicted": 0, "observed": 1, "indexed": 2, "used_in_refinement": 3, "strong": 5, "integrated_sum": 8, "integrated_prf": 9, "overlapped_bg": 11, "overlapped_fg": 12,
@@ -37,7 +39,7 @@ def for_scaling(rows: DataFrame, d_min: float, d_max: float, least_partiality: f
 
 def strong_half(rows: DataFrame, value: str) -> DataFrame:
     """Rows at or above the median."""
-    middle = rows.agg(F.percentile(value, 0.5).alias("_median"))
+    middle = group_medians(rows.withColumn("_all", F.lit(0)), "_all", value).select(F.col("median").alias("_median"))  # one row
     return rows.join(F.broadcast(middle), F.col(value) >= F.col("_median")).drop("_median")
 
 
@@ -85,3 +87,55 @@ def histogram(rows: DataFrame, at: str, low: float, high: float, columns: int) -
     found = rows.filter((F.col(at) >= low) & (F.col(at) <= high)).groupBy(bin_of.alias("column")).agg(F.count("*").alias("n"))
     every = rows.sparkSession.range(columns).withColumnRenamed("id", "column")
     return every.join(found, "column", "left").select("column", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def at_positions(rows: DataFrame, positions: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """The rows of a table at the given positions, as often as each is given; a position that no row has is an error.
+
+    The error is raised by the task that meets it, so no job runs before the result is used.
+    """
+    wanted = positions.select(F.col(positions.columns[0]).alias("_at"))
+    found = wanted.join(rows.withColumn("_known", F.lit(True)), F.col("_at") == F.col(row_id), "left")
+    checked = F.when(F.col("_known"), F.col("_at")).otherwise(F.raise_error(F.concat(F.lit("no row at position "), F.col("_at").cast("string"))).cast("long"))
+    return found.withColumn(row_id, checked.cast(rows.schema[row_id].dataType)).select(*rows.columns)
+
+
+def for_postrefinement(rows: DataFrame, residuals: tuple[str, str, str] = ("xres", "yres", "zres")) -> DataFrame:
+    """Rows summed in integration with finite residuals on all three axes and an index."""
+    finite = F.lit(True)
+    for c in residuals:
+        finite = finite & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+    return rows.filter(has_flag("integrated_sum") & finite & ~((F.col("h") == 0) & (F.col("k") == 0) & (F.col("l") == 0)))
+
+
+def held_out(rows: DataFrame, excluded: DataFrame, row_id: str, part: float, seed: int = 0) -> DataFrame:
+    """Rows that aren't excluded, with `held_out`: a hashed share of them, the same in every run."""
+    share = (F.xxhash64(F.lit(seed), row_id).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)) < part
+    return rows.join(excluded.select(row_id).distinct(), row_id, "left_anti").withColumn("held_out", share)
+
+
+def joined_experiments(lists: list[DataFrame], models: list[str]) -> DataFrame:
+    """Experiment lists made one: ids follow on in the order of the lists, and a model met in several is kept once, by its content.
+
+    Each list has id (from 0) and models as strings. Columns `<model>_id` name the distinct models, numbered by content.
+    """
+    out = None
+    for n, own in enumerate(lists):
+        own = own.withColumn("_list", F.lit(n))
+        out = own if out is None else out.unionByName(own)
+    sizes = out.groupBy("_list").agg((F.max("id") + 1).alias("_size"))  # a row a list
+    before = Window.orderBy("_list").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_list", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    out = out.join(F.broadcast(starts), "_list").withColumn("id", F.col("id") + F.col("_start")).drop("_list", "_start")
+    for m in models:
+        numbered = number_rows(out.select(m).filter(F.col(m).isNotNull()).distinct(), [F.asc(m)]).select(m, F.col("row_number").alias(f"{m}_id"))
+        out = out.join(numbered, m, "left")
+    return out
+
+
+def sliced_experiments(experiments: DataFrame, first: int, last: int) -> DataFrame:
+    """Experiments whose scan meets images first to last, cut to them; ids stay. Columns first_image, last_image, start (degrees), width."""
+    low, high = F.greatest("first_image", F.lit(first)), F.least("last_image", F.lit(last))
+    cut = experiments.withColumns({"_low": low, "_high": high}).filter("_low <= _high")
+    cut = cut.withColumns({"start": F.col("start") + (F.col("_low") - F.col("first_image")) * F.col("width"), "first_image": F.col("_low"), "last_image": F.col("_high")})
+    return cut.drop("_low", "_high")

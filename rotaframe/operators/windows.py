@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .merging import group_medians, number_rows, running_sums
+
 
 def leave_one_out(rows: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
     """Each row with the (weighted) mean of the others in its group; null where it is alone."""
@@ -17,15 +19,25 @@ def leave_one_out(rows: DataFrame, keys: list[str], value: str, weight: str | No
     return rows.join(sums, keys).withColumn("others", rest).drop("_sw", "_swx")
 
 
-def average_rank(column: str, keys: list[str]) -> tuple:
-    """Ranks from 1, equal values sharing their mean rank, as a column over a window."""
-    own = Window.partitionBy(*keys)
-    return F.rank().over(own.orderBy(column)) + (F.count("*").over(Window.partitionBy(*keys, column)) - 1) / 2
+def ranks(rows: DataFrame, by: list[str], value: str, ties: list[str], name: str) -> DataFrame:
+    """rows with the rank from 0 of their value in its group; equal values are ranked by `ties`. No task holds a group."""
+    numbered = number_rows(rows, [F.asc(c) for c in (*by, value, *ties)])
+    first = numbered.groupBy(*by).agg(F.min("row_number").alias("_first"))
+    return numbered.join(first, by).withColumn(name, F.col("row_number") - F.col("_first")).drop("row_number", "n_rows", "_first")
+
+
+def average_ranks(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """rows with the rank from 1 of their value in its group, equal values sharing their mean rank."""
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("_equal"))
+    placed = running_sums(counts, [F.asc(c) for c in (*by, value)], "_equal").withColumnRenamed("before", "_before")
+    first = placed.groupBy(*by).agg(F.min("_before").alias("_first"))
+    shared = placed.join(first, by).select(*by, value, (F.col("_before") - F.col("_first") + (F.col("_equal") + 1) / 2).alias(name))
+    return rows.join(shared, [*by, value])
 
 
 def spearman(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation by group, ties averaged."""
-    ranked = rows.withColumns({"_rx": average_rank(x, keys), "_ry": average_rank(y, keys)})
+    ranked = average_ranks(average_ranks(rows, keys, x, "_rx"), keys, y, "_ry")
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho"))
 
 
@@ -54,15 +66,18 @@ def reject_outliers(rows: DataFrame, keys: list[str], row_id: str, value: str, v
 
 
 def trend_table(binned: DataFrame, x: str, y: str) -> DataFrame:
-    """By bin: count, median of x and of y / x, correlation, robust spread, and outliers beyond max(5 spread, 5 per cent)."""
-    ratio = F.col(y) / F.col(x)
-    rows = binned.filter(F.col(x) != 0).withColumn("_ratio", ratio)
-    middle = rows.groupBy("bin").agg(F.count("*").alias("n"), F.percentile(x, 0.5).alias("median_x"), F.percentile("_ratio", 0.5).alias("median_ratio"), F.corr(x, y).alias("pearson"))
-    off = rows.join(F.broadcast(middle.select("bin", "median_ratio")), "bin").withColumn("_off", F.abs(F.col("_ratio") - F.col("median_ratio")))
-    spread = off.groupBy("bin").agg((F.percentile("_off", 0.5) * 1.4826).alias("spread"))
+    """By bin: count, median of x and of y / x, correlation, robust spread, and outliers beyond max(5 spread, 5 per cent).
+
+    Medians are found by numbering rows, so a bin may be as large as it likes.
+    """
+    rows = binned.filter(F.col(x) != 0).select("bin", F.col(x).alias("_x"), F.col(y).alias("_y"), (F.col(y) / F.col(x)).alias("_ratio"))
+    counts = rows.groupBy("bin").agg(F.count("*").alias("n"), F.corr("_x", "_y").alias("pearson"))
+    ratios = group_medians(rows, "bin", "_ratio").withColumnRenamed("median", "median_ratio")
+    off = rows.join(ratios, "bin").withColumn("_off", F.abs(F.col("_ratio") - F.col("median_ratio")))
+    spread = group_medians(off, "bin", "_off").select("bin", (F.col("median") * 1.4826).alias("spread"))
     limit = F.greatest(5 * F.col("spread"), F.lit(0.05))
-    outliers = off.join(F.broadcast(spread), "bin").groupBy("bin").agg(F.sum((F.col("_off") > limit).cast("long")).alias("outliers"))
-    return middle.join(spread, "bin").join(outliers, "bin")
+    outliers = off.join(spread, "bin").groupBy("bin").agg(F.sum((F.col("_off") > limit).cast("long")).alias("outliers"))
+    return counts.join(group_medians(rows, "bin", "_x").withColumnRenamed("median", "median_x"), "bin").join(ratios, "bin").join(spread, "bin").join(outliers, "bin")
 
 
 def gaps(rows: DataFrame, keys: list[str], at: str, row_id: str) -> DataFrame:

@@ -55,9 +55,9 @@ def merging_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH li AS ({LINES}), s AS (SELECT part, count(*) AS n, CAST(sum(w) AS DOUBLE) AS sw, CAST(sum(w * w) AS DOUBLE) AS sw2, CAST(sum(w * x) AS DOUBLE) AS swx, CAST(sum(w * x * x) AS DOUBLE) AS swxx FROM li GROUP BY 1)
-SELECT part, n, round(swx / sw, 4) AS mean,
-  round(CASE WHEN n = 1 THEN sqrt(1 / sw) ELSE sqrt(greatest(sw / (sw * sw - sw2) * greatest(swxx - swx * swx / sw, 0) / n, 1 / sw)) END, 2) AS sigma FROM s
+WITH li AS ({LINES}), s AS (SELECT part, count(*) AS n, CAST(sum(w) AS DOUBLE) AS sw, CAST(sum(w * w) AS DOUBLE) AS sw2, CAST(sum(w * x) AS DOUBLE) / CAST(sum(w) AS DOUBLE) AS mean FROM li GROUP BY 1),
+o AS (SELECT li.part, sum(w * (x - mean) * (x - mean)) AS off FROM li JOIN s ON li.part = s.part GROUP BY 1)
+SELECT part, n, round(mean, 4) AS mean, round(CASE WHEN n = 1 THEN sqrt(1 / sw) ELSE sqrt(greatest(sw / (sw * sw - sw2) * off / n, 1 / sw)) END, 2) AS sigma FROM s JOIN o USING (part)
 """)
 def merged_with_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lineitem(spark, sf_dir)
@@ -86,7 +86,7 @@ def cc_half(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH n AS (SELECT o_totalprice AS x, o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS rn, count(*) OVER () AS nr FROM orders),
-b AS (SELECT x, least(rn // greatest(10, nr // 50), greatest(nr // greatest(10, nr // 50) - 1, 0)) AS bin FROM n)
+s AS (SELECT *, greatest(10, nr // 50) AS size FROM n), b AS (SELECT x, least(rn // size, greatest(nr // size - CASE WHEN nr % size < size // 2 THEN 1 ELSE 0 END, 0)) AS bin FROM s)
 SELECT CAST(bin AS INTEGER) AS bin, count(*) AS n, min(x) AS low, max(x) AS high FROM b GROUP BY 1
 """)
 def equal_count_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,13 +111,18 @@ def reject_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH li AS ({LINES}), p AS (SELECT ord AS id, supp % 3 AS partial_id, part AS row_id, w * 0.02::DOUBLE AS p, x, w FROM li)
-SELECT id, partial_id, count(*) AS pieces, min(row_id) AS row_id, CAST(sum(x) AS BIGINT) AS i_sum, CAST(sum(w) AS BIGINT) AS v_sum, round(sum(p), 6) AS partiality FROM p WHERE p < 0.99 GROUP BY 1, 2 HAVING count(*) >= 2
+WITH li AS ({LINES}), p AS (SELECT ord AS id, supp % 3 AS partial_id, part * 64 + line * 8 + supp % 8 AS row_id, w * 0.02::DOUBLE AS p, CAST(CASE WHEN disc = 0 THEN 0 ELSE x END AS DOUBLE) AS i, CAST(w AS DOUBLE) AS v, CAST(x AS DOUBLE) AS s, l_returnflag <> 'R' AS wanted FROM li),
+q AS (SELECT *, wanted AND p < 0.99 AS piece FROM p), g AS (SELECT id, partial_id, count(*) AS n, min(row_id) AS first, sum(i * i / v) AS wt, sum(i * i / v * i) AS wi, sum(i * i / v * v) AS wv, sum(v) AS v, sum(s) AS s, sum(p) AS p FROM q WHERE piece GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT id, partial_id, row_id, 1 AS pieces, i AS i_prf, v AS v_prf, s AS i_sum, v AS v_sum, round(p, 6) AS partiality FROM q WHERE NOT piece OR NOT EXISTS (SELECT 1 FROM g WHERE g.id = q.id AND g.partial_id = q.partial_id)
+UNION ALL SELECT id, partial_id, first, n, round(CASE WHEN wt > 0 THEN wi / wt ELSE 0 END, 4), round(CASE WHEN wt > 0 THEN wv / wt ELSE v END, 6), s, v, round(p, 6) FROM g
 """)
 def combine_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lineitem(spark, sf_dir).select(F.col("ord").alias("id"), (F.col("supp") % 3).alias("partial_id"), F.col("part").alias("row_id"), (F.col("w") * 0.02).alias("partiality"), F.col("x").alias("i_prf"), F.col("w").alias("v_prf"), F.col("x").alias("i_sum"), F.col("w").alias("v_sum"))
-    out = merging.combine_partials(rows, ["id", "partial_id"])
-    return out.select("id", "partial_id", "pieces", "row_id", "i_sum", "v_sum", F.round("partiality", 6).alias("partiality"))
+    rows = lineitem(spark, sf_dir).select(
+        F.col("ord").alias("id"), (F.col("supp") % 3).alias("partial_id"), (F.col("part") * 64 + F.col("line") * 8 + F.col("supp") % 8).alias("row_id"), (F.col("w") * 0.02).alias("partiality"),
+        F.when(F.col("disc") == 0, 0).otherwise(F.col("x")).cast("double").alias("i_prf"), F.col("w").cast("double").alias("v_prf"), F.col("x").cast("double").alias("i_sum"), F.col("w").cast("double").alias("v_sum"), (F.col("l_returnflag") != "R").alias("wanted"),
+    )
+    out = merging.combine_partials(rows, ["id", "partial_id"], wanted=F.col("wanted"))
+    return out.select("id", "partial_id", "row_id", "pieces", F.round("i_prf", 4).alias("i_prf"), F.round("v_prf", 6).alias("v_prf"), "i_sum", "v_sum", F.round("partiality", 6).alias("partiality"))
 
 
 @query("""
@@ -351,14 +356,16 @@ def intensity_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH li AS ({LINES}), m AS (SELECT part % 30 AS h, supp % 30 AS k, CAST(sum(x) AS DOUBLE) AS x FROM li GROUP BY 1, 2), f AS (SELECT h, k, x FROM m WHERE (h + k) % 2 = 0),
-i AS (SELECT 'h,k' AS operator, h, k, x FROM m UNION ALL SELECT 'k,h', k, h, x FROM m UNION ALL SELECT '29-h,k', 29 - h, k, x FROM m)
-SELECT operator, count(*) AS common, round(corr(f.x, i.x), 7) AS cc FROM f JOIN i ON f.h = i.h AND f.k = i.k GROUP BY 1 HAVING count(*) >= 10
+i AS (SELECT 'h,k' AS operator, h, k, x FROM m UNION ALL SELECT 'k,h', k, h, x FROM m UNION ALL SELECT '29-h,k', 29 - h, k, x FROM m),
+r AS (SELECT operator, row_number() OVER (PARTITION BY operator ORDER BY f.x, f.h, f.k) AS a, row_number() OVER (PARTITION BY operator ORDER BY i.x, f.h, f.k) AS b FROM f JOIN i ON f.h = i.h AND f.k = i.k),
+c AS (SELECT operator, count(*) AS common, corr(a, b) AS cc FROM r GROUP BY 1 HAVING count(*) >= 10)
+SELECT operator, common, round(cc, 7) AS cc, operator = (SELECT operator FROM c ORDER BY coalesce(cc, -2) DESC, operator = 'h,k' DESC, operator DESC LIMIT 1) AS chosen FROM c
 """)
 def best_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = lineitem(spark, sf_dir).groupBy((F.col("part") % 30).alias("h"), (F.col("supp") % 30).alias("k")).agg(F.sum("x").cast("double").alias("x"))
     h, k = F.col("h"), F.col("k")
-    out = joins.best_operator(m.filter((h + k) % 2 == 0), m, ["h", "k"], {"h,k": [h, k], "k,h": [k, h], "29-h,k": [29 - h, k]}, "x")
-    return out.select("operator", "common", F.round("cc", 7).alias("cc"))
+    out = joins.best_operator(m.filter((h + k) % 2 == 0), m, ["h", "k"], {"h,k": [h, k], "k,h": [k, h], "29-h,k": [29 - h, k]}, "x", "h,k")
+    return out.select("operator", "common", F.round("cc", 7).alias("cc"), "chosen")
 
 
 @query("SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity > 48 INTERSECT SELECT DISTINCT l_partkey FROM lineitem WHERE l_discount > 0.08")
@@ -474,14 +481,16 @@ def scan_and_parallax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH m AS (SELECT part, count(*) AS n FROM (SELECT l_partkey AS part FROM lineitem) GROUP BY 1), x AS (SELECT l_partkey AS part, CAST(l_quantity AS BIGINT) AS a, CAST(round(l_extendedprice * 100) AS BIGINT) AS b FROM lineitem)
-SELECT mid, round(sum(CASE WHEN n > 1 THEN off END) / sum(CASE WHEN n > 1 THEN total END), 6) AS r_meas FROM (
-  SELECT mid, part, n, sum(abs(v - mean)) * sqrt(n / greatest(n - 1.0::DOUBLE, 1)) AS off, sum(v) AS total FROM (
-    SELECT mid, x.part, m.n, v, avg(v) OVER (PARTITION BY mid, x.part) AS mean FROM (SELECT 0.0::DOUBLE AS mid, part, CAST(b AS DOUBLE) AS v FROM x UNION ALL SELECT 'inf'::DOUBLE, part, a * 100000.0::DOUBLE FROM x) x JOIN m ON x.part = m.part) GROUP BY 1, 2, 3) GROUP BY 1
+WITH x AS (SELECT l_partkey AS part, l_quantity * 100000 AS prf, round(l_extendedprice * 100) AS s, l_quantity * 1000000 AS vp, l_linenumber * 9000000.0::DOUBLE AS vs FROM lineitem),
+m AS (SELECT * FROM (VALUES (0.0::DOUBLE), (1e5::DOUBLE), (1e6::DOUBLE), (1e7::DOUBLE), ('inf'::DOUBLE)) t(mid)),
+c AS (SELECT part, mid, prf, s, vp, vs, CASE WHEN mid = 0 THEN 1.0::DOUBLE WHEN isinf(mid) THEN 0 ELSE 1 / (1 + pow(greatest(s, 0) / mid, 3)) END AS w FROM x, m),
+i AS (SELECT part, mid, w * prf + (1 - w) * s AS i, pow(w * sqrt(vp) + (1 - w) * sqrt(vs), 2) AS v FROM c), g AS (SELECT part, mid, count(*) AS n, sum(i / v) / sum(1 / v) AS mean FROM i GROUP BY 1, 2 HAVING count(*) > 1),
+r AS (SELECT mid, sum(sqrt(n / (n - 1.0::DOUBLE)) * abs(i - mean)) / sum(i) AS r FROM i JOIN g USING (part, mid) GROUP BY 1)
+SELECT mid, round(r, 7) AS r_meas, r = (SELECT min(r) FROM r) AS chosen FROM r
 """)
 def combination_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), (F.col("l_quantity").cast("long") * 100000.0).alias("i_prf"), cents("l_extendedprice").cast("double").alias("i_sum"))
-    return merging.combination_choice(rows, ["part"], [0.0, float("inf")]).select("mid", F.round("r_meas", 6).alias("r_meas"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), (F.col("l_quantity") * 100000).alias("i_prf"), F.round(F.col("l_extendedprice") * 100).alias("i_sum"), (F.col("l_quantity") * 1000000).alias("v_prf"), (F.col("l_linenumber") * 9000000.0).alias("v_sum"))
+    return merging.combination_choice(rows, ["part"], [0.0, 1e5, 1e6, 1e7, float("inf")]).withColumn("r_meas", F.round("r_meas", 7))
 
 
 @query()

@@ -238,5 +238,6 @@ def test_flags_and_samples(spark):
     got = selection.sample_groups(rows, ["g"], "row_id", 40, 60)
     sizes = {r.g: r["count"] for r in got.groupBy("g").count().collect()}
     assert len(sizes) == 40 and all(n == g % 4 and n > 1 for g, n in sizes.items())
-    chosen = merging.combination_choice(spark.createDataFrame([(g, 100.0 + i, 100.0 + 9 * i) for g in range(20) for i in range(4)], "g long, i_prf double, i_sum double"), ["g"], [0.0, 100.0, float("inf")])
-    assert min(chosen.collect(), key=lambda r: r.r_meas).mid == float("inf")
+    pieces = [(g, 100.0 + i, 100.0 + 9 * i, 4.0, 4.0) for g in range(20) for i in range(4)]
+    chosen = merging.combination_choice(spark.createDataFrame(pieces, "g long, i_prf double, i_sum double, v_prf double, v_sum double"), ["g"])
+    assert [(r.mid, r.chosen) for r in chosen.orderBy("mid").collect()] == [(0.0, True), (10.0, False), (100.0, False), (float("inf"), False)]  # profiles agree best
