@@ -87,6 +87,55 @@ def mm_to_px(x: Column, y: Column, pixel: Column, ray: Column, fast: Column, slo
     return (x + dot(ray, fast) * depth) / pixel, (y + dot(ray, slow) * depth) / pixel
 
 
+def mm_to_px_jacobian(x: Column, y: Column, pixel: Column, origin: Column, fast: Column, slow: Column, mu: Column, thickness: Column) -> Column:
+    """Derivatives of mm_to_px by millimetres on a panel: a struct of xx, xy, yx, yy, where xy is that of the pixel's x by y.
+
+    With the ray of unit length r through the point at distance L, r changes by (e - r (r.e)) / L along an axis e, and the depth by mu path exp(-mu path) d(path).
+    """
+
+    def own(ray: Column, length: Column, f: Column, s: Column, n: Column, p: Column, mu: Column, t: Column) -> Column:
+        along = _dot(ray, n)
+        path = t / F.abs(along)
+        depth = 1 / mu - (path + 1 / mu) * F.exp(-mu * path)
+        by_path = mu * path * F.exp(-mu * path)
+
+        def one(axis: Column, e: Column, same: float) -> Column:
+            turn = lambda u: (_dot(e, u) - _dot(ray, e) * _dot(ray, u)) / length
+            longer = -path / F.abs(along) * F.signum(along) * turn(n)
+            return (same + turn(axis) * depth + _dot(ray, axis) * by_path * longer) / p
+
+        return F.struct(one(f, f, 1.0).alias("xx"), one(f, s, 0.0).alias("xy"), one(s, f, 0.0).alias("yx"), one(s, s, 1.0).alias("yy"))
+
+    lab = lab_position(x, y, origin, fast, slow)
+    return let([unit(lab), norm(lab), fast, slow, cross(fast, slow), pixel, mu, thickness], own)
+
+
+def goniometer(axes: list[list[float]], angles: list[float], scan_axis: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fixed rotation, scan axis, setting rotation) of a goniometer's axes, from the one next to the crystal outwards; angles in degrees.
+
+    The axes before the scan axis make the fixed rotation, those after it the setting; a vector goes through fixed, scan and setting in turn.
+    """
+
+    def turn(axis: list[float], degrees: float) -> np.ndarray:
+        u = np.array(axis, dtype=float) / np.linalg.norm(axis)
+        k = np.array([[0, -u[2], u[1]], [u[2], 0, -u[0]], [-u[1], u[0], 0]])
+        a = math.radians(degrees)
+        return np.eye(3) + math.sin(a) * k + (1 - math.cos(a)) * (k @ k)
+
+    fixed, setting = np.eye(3), np.eye(3)
+    for i, (axis, angle) in enumerate(zip(axes, angles, strict=True)):
+        if i < scan_axis:
+            fixed = turn(axis, angle) @ fixed
+        elif i > scan_axis:
+            setting = turn(axis, angle) @ setting
+    return fixed, np.array(axes[scan_axis], dtype=float) / np.linalg.norm(axes[scan_axis]), setting
+
+
+def matrix_times(m: np.ndarray, v: Column) -> Column:
+    """A matrix known beforehand times a vector."""
+    return let([v], lambda v: vec(*(sum((v[k] * float(row[j]) for j, k in enumerate("xyz")), F.lit(0.0)) for row in m)))
+
+
 def lab_position(x_mm: Column, y_mm: Column, origin: Column, fast: Column, slow: Column) -> Column:
     return plus(origin, plus(scaled(fast, x_mm), scaled(slow, y_mm)))
 

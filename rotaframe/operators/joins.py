@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rotaframe.functions import geometry
+
 from . import windows
 
 
@@ -57,8 +59,13 @@ def nearest_by_key(left: DataFrame, right: DataFrame, keys: list[str], at: str,
 def greedy_pairs(left: DataFrame, right: DataFrame, keys: list[str], at: str, row_id: str, radius: float) -> DataFrame:
     """Within a key, both sides walk in order of `at`: a pair within the radius is taken, else the lower one is passed over.
 
-    Order dependent by definition, so each key is walked in Arrow batches by one function; keys are spread over tasks.
+    Order dependent by definition. No pair crosses a gap of more than the radius, so a key is cut there first, and each run is
+    walked by one function; runs are spread over tasks.
     """
+    sides = [df.select(*keys, at, row_id, F.lit(n).alias("_side")) for n, df in enumerate((left, right))]
+    cut = windows.chains(sides[0].unionByName(sides[1]), keys, at, row_id, radius)
+    runs = cut.groupBy(*keys, "chain").agg(F.min("_side").alias("_lo"), F.max("_side").alias("_hi")).filter("_lo <> _hi")
+    cut = cut.join(runs.select(*keys, "chain"), [*keys, "chain"], "left_semi")
 
     def walk(a: pa.Table, b: pa.Table) -> pa.Table:
         a, b = a.sort_by([(at, "ascending"), (row_id, "ascending")]), b.sort_by([(at, "ascending"), (row_id, "ascending")])
@@ -76,7 +83,9 @@ def greedy_pairs(left: DataFrame, right: DataFrame, keys: list[str], at: str, ro
                 j += 1
         return pa.table({"left_id": a.column(row_id).take(pa.array(left_ids, type=pa.int64())), "right_id": b.column(row_id).take(pa.array(right_ids, type=pa.int64()))})
 
-    return left.select(*keys, at, row_id).groupBy(*keys).cogroup(right.select(*keys, at, row_id).groupBy(*keys)).applyInArrow(walk, "left_id long, right_id long")
+    columns = [*keys, "chain", at, row_id]
+    a, b = (cut.filter(F.col("_side") == n).select(*(F.col(c).alias(c) for c in columns)).groupBy(*keys, "chain") for n in (0, 1))
+    return a.cogroup(b).applyInArrow(walk, "left_id long, right_id long")
 
 
 def _cells(df: DataFrame, axes: list[str], size: float, spread: int) -> DataFrame:
@@ -226,3 +235,16 @@ def map_batches(function, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         columns = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}
         out = function(**columns)
         yield pa.RecordBatch.from_arrays([pa.array(np.asarray(v)) for v in out.values()], names=list(out))
+
+
+def first_panel(rays: DataFrame, panels: DataFrame, detector: str, ray: str = "s1") -> DataFrame:
+    """Rays with the first panel, in their order, that they meet in front of them, and the place there in millimetres; others are left out.
+
+    panels: detector, panel, origin, fast, slow, width, height (mm), a row a panel of each detector.
+    """
+    own = rays.withColumn("_ray", F.monotonically_increasing_id())
+    x, y, front = geometry.panel_hit(F.col(ray), F.col("origin"), F.col("fast"), F.col("slow"))
+    met = own.join(panels, detector).withColumns({"_x": x, "_y": y, "_front": front})
+    met = met.filter(F.col("_front") & F.col("_x").between(F.lit(0.0), F.col("width")) & F.col("_y").between(F.lit(0.0), F.col("height")))
+    first = met.groupBy(*rays.columns, "_ray").agg(F.min(F.struct("panel", F.col("_x").alias("x_mm"), F.col("_y").alias("y_mm"))).alias("_hit"))
+    return first.select(*rays.columns, "_hit.*")

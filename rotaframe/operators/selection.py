@@ -48,8 +48,8 @@ def sample_groups(rows: DataFrame, keys: list[str], row_id: str, groups: int, ob
 
     Groups before the end are found by running sums over hash bins, then within one bin; no global order is made in a task.
     """
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1").withColumn("_h", F.xxhash64(*keys).bitwiseAND(F.lit((1 << 62) - 1)))
-    sizes = sizes.withColumn("_bin", F.shiftright("_h", 50))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1").withColumn("_h", F.conv(F.substring(F.md5(F.concat_ws("|", *keys).cast("binary")), 1, 15), 16, 10).cast("long"))
+    sizes = sizes.withColumn("_bin", F.shiftright("_h", 48))
     bins = sizes.groupBy("_bin").agg(F.count("*").alias("_g"), F.sum("_n").alias("_o"))  # 4096 rows at most
     w = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumns({"_g0": F.coalesce(F.sum("_g").over(w), F.lit(0)), "_o0": F.coalesce(F.sum("_o").over(w), F.lit(0))})

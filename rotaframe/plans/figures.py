@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rotaframe.operators import merging, selection, statistics
+from rotaframe.functions import geometry
+from rotaframe.operators import joins, merging, selection, statistics
 from rotaframe.operators.statistics import QUANTILE_BOTTOM, QUANTILE_TOP
 
 from .queries import cents, micros, table
@@ -274,3 +275,55 @@ def attenuated(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = observations(spark, sf_dir).join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), F.year("o_orderdate").alias("year")), "ord")
     rows = rows.select(F.xxhash64(*IN_ORDER).alias("row_id"), "part", "i", "v", (5.0 + F.col("line")).alias("background"), (F.col("year") - 1985.0).alias("expected"))
     return statistics.judge_attenuation(rows, ["part"], "row_id").select("row_id", F.round("ratio", 6).alias("ratio"), "judged", "flagged")
+
+
+# A beam of 0.9 Angstrom along -z, an axis along x, a panel of 200 x 150 mm at 250 mm. u: the unit ray, e1 and e2: the reflection's own frame.
+RAYS = """p AS (SELECT l_orderkey AS ord, l_linenumber AS line, l_partkey AS part, l_partkey % 200 + 0.25::DOUBLE AS x, l_suppkey % 150 + 0.5::DOUBLE AS y, l_linenumber * 0.3::DOUBLE AS phi FROM lineitem),
+l AS (SELECT *, sqrt((x - 100) ** 2 + (75 - y) ** 2 + 62500) AS len FROM p), u AS (SELECT *, (x - 100) / len AS ux, (75 - y) / len AS uy, -250 / len AS uz, 1 / 0.9::DOUBLE AS k FROM l)"""
+
+
+def rays(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict]:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ord"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), (F.col("l_partkey") % 200 + 0.25).alias("x"), (F.col("l_suppkey") % 150 + 0.5).alias("y"), (F.col("l_linenumber") * 0.3).alias("phi"))
+    v = geometry.vec
+    return rows, {"origin": v(-100, 75, -250), "fast": v(1, 0, 0), "slow": v(0, -1, 0), "s0": v(0, 0, -1 / 0.9), "axis": v(1, 0, 0)}
+
+
+@query(f"""
+WITH {RAYS}, e AS (SELECT *, -uy / sqrt(ux * ux + uy * uy) AS e1x, ux / sqrt(ux * ux + uy * uy) AS e1y FROM u), n AS (SELECT *, sqrt((x - 99) ** 2 + (75 - y - 0.5) ** 2 + 62500) AS nlen FROM e),
+q AS (SELECT *, (x - 99) / nlen - ux AS ox, (75 - y - 0.5) / nlen - uy AS oy, -250 / nlen - uz AS oz FROM n)
+SELECT ord, line, part, round(ux * k, 9) AS qx, round(uy * k * cos(phi) + (uz * k + k) * sin(phi), 9) AS qy, round(-uy * k * sin(phi) + (uz * k + k) * cos(phi), 9) AS qz, round(abs(uy) / ((1 - 1.98::DOUBLE) * (1 - uy * uy) + 0.99::DOUBLE * (1 + uz * uz)), 9) AS lp,
+  round(-uy / sqrt(ux * ux + uy * uy), 9) AS zeta, round(e1x * ox + e1y * oy, 9) AS eps1, round(-uz * e1y * ox + uz * e1x * oy + (ux * e1y - uy * e1x) * oz, 9) AS eps2 FROM q
+""")
+def ray_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, g = rays(spark, sf_dir)
+    lab = geometry.lab_position(F.col("x"), F.col("y"), g["origin"], g["fast"], g["slow"])
+    near = geometry.lab_position(F.col("x") + 1, F.col("y") + 0.5, g["origin"], g["fast"], g["slow"])
+    rows = rows.withColumns({"q": geometry.reciprocal_point(lab, g["s0"], g["axis"], F.col("phi")), "s1": geometry.scaled(geometry.unit(lab), F.lit(1 / 0.9)), "near": geometry.scaled(geometry.unit(near), F.lit(1 / 0.9))})
+    a, b = geometry.kabsch_epsilon(F.col("s1"), F.col("near"), g["s0"])
+    out = rows.select("ord", "line", "part", F.col("q.x").alias("qx"), F.col("q.y").alias("qy"), F.col("q.z").alias("qz"), geometry.lorentz_polarization(g["s0"], F.col("s1"), g["axis"], geometry.vec(0, 1, 0), F.lit(0.99)).alias("lp"), geometry.zeta(g["s0"], F.col("s1"), g["axis"]).alias("zeta"), a.alias("eps1"), b.alias("eps2"))
+    return rounded(out, dict.fromkeys(("qx", "qy", "qz", "lp", "zeta", "eps1", "eps2"), 9))
+
+
+@query(f"""
+WITH {RAYS}, d AS (SELECT *, 0.45 / -uz AS path FROM u), m AS (SELECT *, 1 / 2.5::DOUBLE - (path + 1 / 2.5::DOUBLE) * exp(-2.5 * path) AS depth, 2.5 * path * exp(-2.5 * path) * path / uz AS slope FROM d)
+SELECT ord, line, part, round((1 + (1 - ux * ux) / len * depth + ux * slope * (ux * uz) / len) / 0.172, 8) AS xx, round((ux * uy / len * depth + ux * slope * -(uy * uz) / len) / 0.172, 8) AS xy,
+  round((ux * uy / len * depth + -uy * slope * (ux * uz) / len) / 0.172, 8) AS yx, round((1 + (1 - uy * uy) / len * depth + -uy * slope * -(uy * uz) / len) / 0.172, 8) AS yy FROM m
+""")
+def pixel_jacobian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, g = rays(spark, sf_dir)
+    j = geometry.mm_to_px_jacobian(F.col("x"), F.col("y"), F.lit(0.172), g["origin"], g["fast"], g["slow"], F.lit(2.5), F.lit(0.45))
+    return rounded(rows.withColumn("j", j).select("ord", "line", "part", "j.*"), dict.fromkeys(("xx", "xy", "yx", "yy"), 8))
+
+
+@query(f"""
+WITH {RAYS}, g AS (SELECT i AS panel, -90.1 + 60 * (i % 3) AS ox, 70.0 - 75 * (i // 3) AS oy, -240.0::DOUBLE - i AS oz FROM range(6) t(i)),
+r AS (SELECT DISTINCT ord, line, part, ux, uy, uz FROM u), h AS (SELECT ord, line, part, ux, uy, panel, ux * oz / uz - ox AS xm, oy - uy * oz / uz AS ym FROM r, g), f AS (SELECT *, row_number() OVER (PARTITION BY ord, line, part, ux, uy ORDER BY panel) AS nth FROM h WHERE xm BETWEEN 0 AND 62 AND ym BETWEEN 0 AND 70)
+SELECT panel, count(*) AS n, round(sum(xm), 3) AS x_mm, round(sum(ym), 3) AS y_mm FROM f WHERE nth = 1 GROUP BY 1
+""")
+def first_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, g = rays(spark, sf_dir)
+    lab = geometry.lab_position(F.col("x"), F.col("y"), g["origin"], g["fast"], g["slow"])
+    i = F.col("id")
+    panels = spark.range(6).select(F.lit(0).alias("detector"), i.alias("panel"), F.struct((-90.1 + 60 * (i % 3)).alias("x"), (70.0 - 75 * F.floor(i / 3)).alias("y"), (-240.0 - i).alias("z")).alias("origin"), g["fast"].alias("fast"), g["slow"].alias("slow"), F.lit(62.0).alias("width"), F.lit(70.0).alias("height"))
+    hits = joins.first_panel(rows.select("ord", "line", "part", F.lit(0).alias("detector"), geometry.unit(lab).alias("s1")).distinct(), panels, "detector")
+    return hits.groupBy("panel").agg(F.count("*").alias("n"), F.round(F.sum("x_mm"), 3).alias("x_mm"), F.round(F.sum("y_mm"), 3).alias("y_mm"))

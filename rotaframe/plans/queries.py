@@ -326,7 +326,11 @@ def worst_offenders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.worst(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), F.abs(F.col("o_totalprice") - 250000), "o_orderkey", 25).select("o_orderkey", "badness")
 
 
-@query()
+@query("""
+WITH s AS (SELECT l_partkey AS part, count(*) AS n, ('0x' || substr(md5(CAST(l_partkey AS VARCHAR)), 1, 15))::BIGINT AS h FROM lineitem GROUP BY 1 HAVING count(*) > 1),
+b AS (SELECT *, count(*) OVER w - 1 AS g, sum(n) OVER w - n AS o FROM s WINDOW w AS (ORDER BY h, part))
+SELECT l_partkey AS part, l_orderkey, l_linenumber FROM lineitem JOIN b ON part = l_partkey WHERE g < 100 OR o < 2000
+""")
 def sample_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), "l_orderkey", "l_linenumber")
     return selection.sample_groups(rows, ["part"], "l_orderkey", 100, 2000)
@@ -500,7 +504,7 @@ def scaled_lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("row_id"), F.col("l_partkey").alias("part"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("i"), F.lit(90000.0).alias("v"),
         (micros("l_shipdate") / 86400e6 - 8000).alias("z"), (2.0 + F.col("l_linenumber") / 4).alias("d"),
     )
-    kept, _ = scaling.scale(rows, ["part"], "row_id", scaling.Model(0.0, 3500.0, 6, 2), buckets=16)
+    kept, _ = scaling.scale(rows, ["part"], "row_id", scaling.Model(0.0, 3500.0, 6, 2))
     return kept.select("row_id", "part", F.round("scale", 4).alias("scale"), F.round("i_scaled", 1).alias("i_scaled"))
 
 

@@ -56,8 +56,17 @@ class Model:
         return g, np.concatenate([a * decay[:, None], b * (g * half)[:, None]], axis=1)
 
 
-def packed(rows: DataFrame, keys: list[str], buckets: int) -> DataFrame:
-    """One row for each bucket of groups: columns group, i, v, z, d as binary, in group order. rows need i, v, z and d."""
+#: Observations of a bucket, about: 4 MB of a packed row.
+BUCKET = 100_000
+
+
+def packed(rows: DataFrame, keys: list[str], buckets: int | None = None) -> DataFrame:
+    """One row for each bucket of groups: columns group, i, v, z, d as binary, in group order. rows need i, v, z and d.
+
+    There are as many buckets as the rows call for, unless their number is given. A bucket holds whole groups, so it grows with
+    the multiplicity of its largest one alone.
+    """
+    buckets = buckets or 1 + rows.count() // BUCKET
     own = rows.select(F.xxhash64(*keys).alias("g"), *(F.col(c).cast("double") for c in COLUMNS[1:])).withColumn("bucket", F.pmod(F.col("g"), F.lit(buckets)))
 
     def run(table: pa.Table) -> pa.Table:
@@ -172,7 +181,7 @@ def error_model(rows: DataFrame, keys: list[str], value: str, variance: str, can
     return best[1], best[2]
 
 
-def scale(rows: DataFrame, keys: list[str], row_id: str, model: Model, buckets: int = 64) -> tuple[DataFrame, dict]:
+def scale(rows: DataFrame, keys: list[str], row_id: str, model: Model, buckets: int | None = None) -> tuple[DataFrame, dict]:
     """Fit, reject outliers, fit again, error model. rows need i, v, z and d; (rows that stay with scaled values, figures)."""
     live, figures = rows, {}
     for turn in range(2):

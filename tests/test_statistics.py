@@ -175,3 +175,39 @@ def test_rows_and_experiments(spark):
     assert got == [(0, "b1", 0, None), (1, "b2", 1, 0), (2, "b1", 0, 0)]
     held = selection.held_out(df, df.filter("x > 60"), "row_id", 0.5).collect()
     assert len(held) == 8 and 0 < sum(r.held_out for r in held) < 8
+
+
+def test_jacobian_is_that_of_small_steps(spark):
+    from rotaframe.functions import geometry
+
+    v = geometry.vec
+    origin, fast, slow = v(-90, 60, -200), v(1, 0, 0), v(0, -1, 0)
+    normal = geometry.cross(fast, slow)
+    x, y, step = F.col("x"), F.col("y"), 1e-4
+
+    def place(dx, dy):
+        ray = geometry.unit(geometry.lab_position(x + dx, y + dy, origin, fast, slow))
+        return geometry.mm_to_px(x + dx, y + dy, F.lit(0.075), ray, fast, slow, normal, F.lit(1.9), F.lit(0.45))
+
+    j = geometry.mm_to_px_jacobian(x, y, F.lit(0.075), origin, fast, slow, F.lit(1.9), F.lit(0.45))
+    (ax, ay), (bx, by), (cx, cy), (dx, dy) = place(step, 0.0), place(-step, 0.0), place(0.0, step), place(0.0, -step)
+    half = 2 * step
+    for r in spark.createDataFrame([(3.0, 7.0), (150.0, 20.0), (88.0, 110.0)], "x double, y double").select(j.alias("j"), F.struct(((ax - bx) / half).alias("xx"), ((cx - dx) / half).alias("xy"), ((ay - by) / half).alias("yx"), ((cy - dy) / half).alias("yy")).alias("n")).collect():
+        assert tuple(r.j) == pytest.approx(tuple(r.n), abs=1e-6)
+
+
+def test_goniometer_and_panels(spark):
+    import numpy as np
+
+    from rotaframe.functions import geometry
+    from rotaframe.operators import joins
+
+    fixed, axis, setting = geometry.goniometer([[1, 0, 0], [0, 0, 1], [0, 1, 0]], [90, 12, 90], 1)
+    assert np.allclose(fixed @ [0, 1, 0], [0, 0, 1]) and axis.tolist() == [0, 0, 1] and np.allclose(setting @ [0, 0, 1], [1, 0, 0])
+    (r,) = spark.range(1).select(geometry.matrix_times(fixed, geometry.vec(0, 1, 0)).alias("v")).collect()
+    assert tuple(r.v) == pytest.approx((0, 0, 1))
+    at = "struct<x: double, y: double, z: double>"
+    panels = spark.createDataFrame([(0, 1, (-5.0, -5.0, 10.0), (1.0, 0.0, 0.0), (0.0, 1.0, 0.0), 10.0, 10.0), (0, 0, (-5.0, -5.0, 20.0), (1.0, 0.0, 0.0), (0.0, 1.0, 0.0), 8.0, 10.0)], f"detector int, panel int, origin {at}, fast {at}, slow {at}, width double, height double")
+    rays = spark.createDataFrame([(1, 0, (0.0, 0.0, 1.0)), (2, 0, (0.2, 0.0, 1.0)), (3, 0, (0.0, 0.0, -1.0)), (4, 0, (9.0, 0.0, 1.0))], f"ray int, detector int, s1 {at}")
+    got = {r.ray: (r.panel, r.x_mm, r.y_mm) for r in joins.first_panel(rays, panels, "detector").collect()}
+    assert got == {1: (0, 5.0, 5.0), 2: (1, 7.0, 5.0)}
