@@ -85,10 +85,9 @@ def joined_groups(rows: DataFrame, keys: list[str], groups: Callable[[DataFrame]
     rows are read several times, so they should be stored.
     """
     n = rows.count()
-    mark = F.xxhash64(*keys)
-    summary = rows.select(mark.alias("mark")).stat.freqItems(["mark"], 1 / counters)
-    candidates = summary.select(F.explode("mark_freqItems").alias("mark"))
-    counts = rows.select(*keys, mark.alias("mark")).join(F.broadcast(candidates), "mark", "left_semi").groupBy(*keys).agg(F.count("*").alias("met"))
-    heavy = checkpoint(counts.filter((F.col("met") > 1) & (F.col("met") * counters >= n)).select(*keys))
-    frequent, rare = rows.join(F.broadcast(heavy), keys, "left_semi"), rows.join(F.broadcast(heavy), keys, "left_anti")
+    mark = F.xxhash64(*keys)  # two keys with one mark go the same way, and are told apart there
+    named = rows.select(mark.alias("mark")).stat.freqItems(["mark"], 1 / counters).first()[0]
+    counts = rows.select(mark.alias("mark")).filter(F.col("mark").isin(named)).groupBy("mark").agg(F.count("*").alias("met"))
+    heavy = [r.mark for r in counts.filter((F.col("met") > 1) & (F.col("met") * counters >= n)).collect()]  # counters at most
+    frequent, rare = rows.filter(mark.isin(heavy)), rows.filter(~mark.isin(heavy))
     return frequent.join(F.broadcast(groups(frequent)), keys).unionByName(rare.join(groups(rare), keys))
