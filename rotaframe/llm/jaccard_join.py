@@ -44,7 +44,7 @@ from pyspark.sql.window import Window
 from .common import checkpoint, partitions_for, text_or_empty, trimmed, written
 
 #: Bytes of text whose shingles make up a packet's block, and of text for each bucket.
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 10 << 20
+BLOCK_BYTES, BUCKET_BYTES = 2 << 20, 10 << 20
 #: A shingle with more sets than this in one block is known to them as shared at once; its bucket hears of two of them.
 LOCALLY_HOT = 8
 #: Rounds of pivots before the pairs left are compared one by one: this many, and up to MOST_ROUNDS while more pairs
