@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import functools
+import inspect
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,6 +37,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def with_own_names(operator: Callable) -> Callable:
+    """An operator on docs that returns its columns, run with columns named by their place, so that none can clash with its own."""
+    signature = inspect.signature(operator)
+
+    @functools.wraps(operator)
+    def own(docs: DataFrame, *args, **options) -> DataFrame:
+        bound = signature.bind(docs, *args, **options)
+        bound.apply_defaults()
+        places = {c: f"column{i}" for i, c in enumerate(docs.columns)}
+        bound.arguments["docs"] = docs.toDF(*places.values())
+        for name in ("id_col", "text_col", "source_col"):
+            if name in bound.arguments:
+                bound.arguments[name] = places[bound.arguments[name]]
+        return operator(*bound.args, **bound.kwargs).toDF(*docs.columns)
+
+    return own
+
+
 def trimmed(run: Callable) -> Callable:
     """A function for mapInArrow that gives its worker's freed memory back to the system when a task ends; workers live on."""
 

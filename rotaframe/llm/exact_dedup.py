@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, text_or_empty
+from .common import checkpoint, text_or_empty, with_own_names
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 512) -> DataFrame:
@@ -61,6 +61,7 @@ def _winners(rows: DataFrame, counters: int) -> DataFrame:
     return checkpoint(verified.filter((F.col("group_size") > 1) & (F.col("group_size") * counters >= n)))
 
 
+@with_own_names
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns."""
     verdict = exact_dedup(docs, id_col, text_col)

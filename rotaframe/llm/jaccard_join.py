@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint, partitions_for, text_or_empty, trimmed, written
+from .common import checkpoint, partitions_for, text_or_empty, trimmed, with_own_names, written
 
 #: Bytes of text whose shingles make up a packet's block, and of text for each bucket.
 BLOCK_BYTES, BUCKET_BYTES = 2 << 20, 10 << 20
@@ -502,6 +502,7 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
     return documents.join(named, "key", "left").select("doc_id", "n_shingles", F.col("key").alias("set_key"), F.when(F.col("key") != 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component")
 
 
+@with_own_names
 def keep_one_of_each(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs less those linked, over any number of links, with one of a smaller id or with another row of the same id.
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, checkpoint, text_or_empty
+from .common import WORD, checkpoint, text_or_empty, with_own_names
 
 #: Bins of the seeded order: this many, and as many again within one of them.
 BINS = 4096
@@ -232,6 +232,7 @@ def _select(rows: DataFrame) -> DataFrame:
     return chosen.join(filled, "row", "left").select("doc_id", "row", "sources", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
+@with_own_names
 def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixture itself: each row of docs as often as it is taken, with all its columns.
 

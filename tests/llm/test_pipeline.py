@@ -62,3 +62,21 @@ def test_run(spark, folder):
     rows = corpus_pipeline.run(spark, path).collect()
     assert rows and {"doc_id", "start", "length", "sequence_id", "offset"} <= set(rows[0].asDict())
     assert len(corpus_pipeline.STAGES) == 5 and learn([], []).weights == {}
+
+
+def test_clashing_columns_and_empty_tables(spark, folder):
+    from pyspark.sql import functions as F
+
+    path, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    own = ["_text", "_drop_id", "_drops", "_keep_id", "_keep_sha", "_id", "_rows", "_least", "_key", "_set", "_component", "_mix_id", "_copies", "_times", "_nth", "_copy", "key", "size", "row"]
+    clashing = docs.withColumns({c: F.lit("own") for c in own})
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs, clashing = stage(spark, docs, path), stage(spark, clashing, path)
+        assert clashing.columns[5:] == own
+        assert sorted(map(str, clashing.select(docs.columns).collect())) == sorted(map(str, docs.collect()))
+        assert clashing.filter("_key <> 'own' OR size <> 'own'").count() == 0
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, path)
+        assert empty.collect() == []
