@@ -1,4 +1,11 @@
-"""The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input.
+
+Defined cases: a null text counts as empty in every stage and stays null in its row; empty texts are copies of one
+another in exact dedup, linked with nothing in near dedup and never needed by the mixture; rows with a null id are
+kept by toxicity and near dedup like others; of repeated rows one stays in exact dedup; an empty table gives an empty
+result after every stage; columns beyond doc_id, text and source may have any name and go through unchanged up to
+the mixture, and packing returns pieces instead.
+"""
 
 from __future__ import annotations
 
