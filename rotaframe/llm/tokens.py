@@ -80,9 +80,9 @@ class Encoder:
         self.flat = np.zeros(1 << 14, dtype=np.uint16)
 
     def _purge(self) -> None:
-        """Keep the pieces met again since the last time, unless those are most of the memo."""
+        """Keep the pieces met again since the last time, unless there are none or those are most of the memo."""
         kept = [p for p, s in self.memo.items() if self.used[s]]
-        if len(kept) > MEMO // 2:
+        if not 0 < len(kept) <= MEMO // 2:
             self.clear()
             return
         slots = np.array([self.memo[p] for p in kept], dtype=np.int64)
