@@ -1,60 +1,157 @@
-"""Geometry of a rotation experiment as column expressions, all of it in the JVM.
+"""Geometry of a rotation experiment as column expressions, all of it in generated code.
 
-Vectors are structs with x, y and z. Every function that uses an argument more than once binds it first (let), so
-that nested calls give trees that grow with their number and not exponentially.
+Vectors are Vec, three columns of doubles, or struct columns with x, y and z. Functions of plain columns give plain
+expressions. Those that use a value many times take `bind`: a Steps of the DataFrame they are for, which adds the value
+as columns, so that it is reckoned once and expressions stay as short as they are written. Without it all is one
+expression, which is fine for literals and short arguments.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def vec(x, y, z) -> Column:
-    as_col = lambda v: v if isinstance(v, Column) else F.lit(float(v))
-    return F.struct(as_col(x).alias("x"), as_col(y).alias("y"), as_col(z).alias("z"))
+Number = Column | float
 
 
-def let(arguments: list, f) -> Column:
-    """f of the arguments, each evaluated once."""
-    bound = F.struct(*((a if isinstance(a, Column) else F.lit(a)).alias(f"_{i}") for i, a in enumerate(arguments)))
-    return F.transform(F.array(bound), lambda s: f(*(s[f"_{i}"] for i in range(len(arguments)))))[0]
+def _times(a: Number, b: Number) -> Number:
+    if isinstance(b, float):
+        a, b = b, a
+    if isinstance(a, float):
+        return a * b if isinstance(b, float) else 0.0 if a == 0 else b if a == 1 else -b if a == -1 else b * a
+    return a * b
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"]
+def _plus(a: Number, b: Number) -> Number:
+    if isinstance(a, float) and isinstance(b, float):
+        return a + b
+    return b if isinstance(a, float) and a == 0 else a if isinstance(b, float) and b == 0 else a + b
 
 
-def dot(a: Column, b: Column) -> Column:
-    return let([a, b], _dot)
+def _minus(a: Number, b: Number) -> Number:
+    return _plus(a, _times(-1.0, b))
 
 
-def cross(a: Column, b: Column) -> Column:
-    return let([a, b], lambda a, b: vec(a["y"] * b["z"] - a["z"] * b["y"], a["z"] * b["x"] - a["x"] * b["z"], a["x"] * b["y"] - a["y"] * b["x"]))
+def _column(a: Number) -> Column:
+    return F.lit(a) if isinstance(a, float) else a
 
 
-def scaled(a: Column, f: Column) -> Column:
-    return let([a, f], lambda a, f: vec(a["x"] * f, a["y"] * f, a["z"] * f))
+def _root(a: Number) -> Number:
+    return math.sqrt(a) if isinstance(a, float) else F.sqrt(a)
 
 
-def plus(a: Column, b: Column) -> Column:
-    return let([a, b], lambda a, b: vec(a["x"] + b["x"], a["y"] + b["y"], a["z"] + b["z"]))
+def _inverse(a: Number) -> Number:
+    return 1 / a
 
 
-def norm(a: Column) -> Column:
-    return let([a], lambda a: F.sqrt(_dot(a, a)))
+@dataclass(frozen=True)
+class Vec:
+    """Three columns or numbers; what numbers settle (a 0, a 1, the length of a constant beam) never reaches the plan."""
 
+    x: Number
+    y: Number
+    z: Number
 
-def unit(a: Column) -> Column:
-    return let([a], lambda a: scaled(a, 1 / norm(a)))
+    def __getitem__(self, k: str) -> Number:
+        return getattr(self, k)
 
+    def struct(self) -> Column:
+        return F.struct(*(_column(self[k]).alias(k) for k in "xyz"))
 
-def rotated(v: Column, axis: Column, angle: Column) -> Column:
+    def alias(self, name: str) -> Column:
+        return self.struct().alias(name)
+
+    @classmethod
+    def of(cls, name: str) -> Vec:
+        """The columns name_x, name_y and name_z."""
+        return cls(*(F.col(f"{name}_{k}") for k in "xyz"))
+
+
+Vector = Vec | Column
+
+
+class Steps:
+    """A DataFrame that grows by the values bound to it; `df` has them as columns of names that begin with an underscore."""
+
+    def __init__(self, df: DataFrame) -> None:
+        self.df, self.columns, self.n = df, df.columns, 0
+
+    def __call__(self, value: Vector | float):
+        name, self.n = f"_step{self.n}", self.n + 1
+        if isinstance(value, float):
+            return value
+        if isinstance(value, Vec):
+            made = {k: f"{name}_{k}" for k in "xyz" if not isinstance(value[k], float)}
+            self.df = self.df.withColumns({c: value[k] for k, c in made.items()})
+            return Vec(*(F.col(made[k]) if k in made else value[k] for k in "xyz"))
+        self.df = self.df.withColumn(name, value)
+        return F.col(name)
+
+    def done(self, *columns: Column | str) -> DataFrame:
+        """The DataFrame's own columns and these."""
+        return self.df.select(*self.columns, *columns)
+
+
+Bind = Callable[[Vector], Vector]
+
+
+def inline(value: Vector) -> Vector:
+    return value
+
+
+def vec(x, y, z) -> Vec:
+    return Vec(*(v if isinstance(v, Column) else float(v) for v in (x, y, z)))
+
+
+def _dot(a: Vector, b: Vector) -> Number:
+    return _plus(_plus(_times(a["x"], b["x"]), _times(a["y"], b["y"])), _times(a["z"], b["z"]))
+
+
+def dot(a: Vector, b: Vector) -> Column:
+    return _column(_dot(a, b))
+
+
+def cross(a: Vector, b: Vector) -> Vec:
+    one = lambda i, j: _minus(_times(a[i], b[j]), _times(a[j], b[i]))
+    return Vec(one("y", "z"), one("z", "x"), one("x", "y"))
+
+
+def scaled(a: Vector, f: Number) -> Vec:
+    return Vec(*(_times(a[k], f) for k in "xyz"))
+
+
+def plus(a: Vector, b: Vector) -> Vec:
+    return Vec(*(_plus(a[k], b[k]) for k in "xyz"))
+
+
+def minus(a: Vector, b: Vector) -> Vec:
+    return Vec(*(_minus(a[k], b[k]) for k in "xyz"))
+
+
+def _norm(a: Vector) -> Number:
+    return _root(_dot(a, a))
+
+
+def norm(a: Vector) -> Column:
+    return _column(_norm(a))
+
+
+def unit(a: Vector, bind: Bind = inline) -> Vec:
+    a = bind(a)
+    return scaled(a, bind(_inverse(_norm(a))))
+
+
+def rotated(v: Vector, axis: Vector, angle: Column, bind: Bind = inline) -> Vec:
     """Rodrigues' formula; axis of unit length, angle in radians."""
-    return let([v, axis, F.cos(angle), F.sin(angle)], lambda v, u, c, s: plus(plus(scaled(v, c), scaled(cross(u, v), s)), scaled(u, _dot(u, v) * (1 - c))))
+    v, c, s = bind(v), bind(F.cos(angle)), bind(F.sin(angle))
+    along = bind(_times(_dot(axis, v), 1 - c))
+    return plus(plus(scaled(v, c), scaled(cross(axis, v), s)), scaled(axis, along))
 
 
 def z_to_phi(z: Column, first_image: Column, start: Column, width: Column) -> Column:
@@ -72,42 +169,42 @@ def fraction_of_scan(z: Column, first_image: Column, last_image: Column) -> Colu
 
 def parallax(cos_angle: Column, mu: Column, thickness: Column) -> Column:
     """Mean depth at which a ray is absorbed, along the ray."""
-    return let([thickness / cos_angle, mu], lambda path, mu: 1 / mu - (path + 1 / mu) * F.exp(-mu * path))
+    path = thickness / cos_angle
+    return 1 / mu - (path + 1 / mu) * F.exp(-mu * path)
 
 
-def px_to_mm(x: Column, y: Column, pixel: Column, ray: Column, fast: Column, slow: Column, normal: Column, mu: Column, thickness: Column) -> tuple[Column, Column]:
+def px_to_mm(x: Column, y: Column, pixel: Column, ray: Vector, fast: Vector, slow: Vector, normal: Vector, mu: Column, thickness: Column, bind: Bind = inline) -> tuple[Column, Column]:
     """Pixels to millimetres: the depth of absorption shifts the spot along the ray's projection."""
-    depth = parallax(F.abs(dot(ray, normal)), mu, thickness)
+    depth = bind(parallax(F.abs(dot(ray, normal)), mu, thickness))
     return x * pixel - dot(ray, fast) * depth, y * pixel - dot(ray, slow) * depth
 
 
-def mm_to_px(x: Column, y: Column, pixel: Column, ray: Column, fast: Column, slow: Column, normal: Column, mu: Column, thickness: Column) -> tuple[Column, Column]:
+def mm_to_px(x: Column, y: Column, pixel: Column, ray: Vector, fast: Vector, slow: Vector, normal: Vector, mu: Column, thickness: Column, bind: Bind = inline) -> tuple[Column, Column]:
     """Millimetres to pixels. Not the exact inverse of px_to_mm: each takes the ray through the point it is given."""
-    depth = parallax(F.abs(dot(ray, normal)), mu, thickness)
+    depth = bind(parallax(F.abs(dot(ray, normal)), mu, thickness))
     return (x + dot(ray, fast) * depth) / pixel, (y + dot(ray, slow) * depth) / pixel
 
 
-def mm_to_px_jacobian(x: Column, y: Column, pixel: Column, origin: Column, fast: Column, slow: Column, mu: Column, thickness: Column) -> Column:
-    """Derivatives of mm_to_px by millimetres on a panel: a struct of xx, xy, yx, yy, where xy is that of the pixel's x by y.
+def mm_to_px_jacobian(x: Column, y: Column, pixel: Column, origin: Vector, fast: Vector, slow: Vector, mu: Column, thickness: Column, bind: Bind = inline) -> dict[str, Column]:
+    """Derivatives of mm_to_px by millimetres on a panel: xx, xy, yx, yy, where xy is that of the pixel's x by y.
 
     With the ray of unit length r through the point at distance L, r changes by (e - r (r.e)) / L along an axis e, and the depth by mu path exp(-mu path) d(path).
     """
+    lab = bind(lab_position(x, y, origin, fast, slow))
+    length = bind(_norm(lab))
+    ray, normal = bind(scaled(lab, _inverse(length))), cross(fast, slow)
+    on = {a: bind(dot(ray, v)) for a, v in (("fast", fast), ("slow", slow), ("normal", normal))}
+    path = bind(thickness / F.abs(on["normal"]))
+    fade = bind(F.exp(-mu * path))
+    depth = bind(1 / mu - (path + 1 / mu) * fade)
+    by_path = bind(mu * path * fade * -path / on["normal"])
+    axes = {"fast": fast, "slow": slow}
 
-    def own(ray: Column, length: Column, f: Column, s: Column, n: Column, p: Column, mu: Column, t: Column) -> Column:
-        along = _dot(ray, n)
-        path = t / F.abs(along)
-        depth = 1 / mu - (path + 1 / mu) * F.exp(-mu * path)
-        by_path = mu * path * F.exp(-mu * path)
-
-        def one(axis: Column, e: Column, same: float) -> Column:
-            turn = lambda u: (_dot(e, u) - _dot(ray, e) * _dot(ray, u)) / length
-            longer = -path / F.abs(along) * F.signum(along) * turn(n)
-            return (same + turn(axis) * depth + _dot(ray, axis) * by_path * longer) / p
+    def one(axis: str, e: str) -> Column:
+        turn = lambda a, v: _minus(_dot(axes[e], v), on[e] * on[a]) / length
+        return ((1.0 if axis == e else 0.0) + turn(axis, axes[axis]) * depth + on[axis] * by_path * turn("normal", normal)) / pixel
 
-        return F.struct(one(f, f, 1.0).alias("xx"), one(f, s, 0.0).alias("xy"), one(s, f, 0.0).alias("yx"), one(s, s, 1.0).alias("yy"))
-
-    lab = lab_position(x, y, origin, fast, slow)
-    return let([unit(lab), norm(lab), fast, slow, cross(fast, slow), pixel, mu, thickness], own)
+    return {"xx": one("fast", "fast"), "xy": one("fast", "slow"), "yx": one("slow", "fast"), "yy": one("slow", "slow")}
 
 
 def goniometer(axes: list[list[float]], angles: list[float], scan_axis: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,25 +228,27 @@ def goniometer(axes: list[list[float]], angles: list[float], scan_axis: int) ->
     return fixed, np.array(axes[scan_axis], dtype=float) / np.linalg.norm(axes[scan_axis]), setting
 
 
-def matrix_times(m: np.ndarray, v: Column) -> Column:
+def matrix_times(m: np.ndarray, v: Vector) -> Vec:
     """A matrix known beforehand times a vector."""
-    return let([v], lambda v: vec(*(sum((v[k] * float(row[j]) for j, k in enumerate("xyz")), F.lit(0.0)) for row in m)))
+    return Vec(*(_dot(vec(*row), v) for row in m))
 
 
-def lab_position(x_mm: Column, y_mm: Column, origin: Column, fast: Column, slow: Column) -> Column:
+def lab_position(x_mm: Column, y_mm: Column, origin: Vector, fast: Vector, slow: Vector) -> Vec:
     return plus(origin, plus(scaled(fast, x_mm), scaled(slow, y_mm)))
 
 
-def reciprocal_point(lab: Column, beam: Column, axis: Column, phi: Column) -> Column:
+def reciprocal_point(lab: Vector, beam: Vector, axis: Vector, phi: Column, bind: Bind = inline) -> Vec:
     """The point of the crystal's reciprocal lattice, at phi = 0, that a spot came from; beam: s0 of length 1 / wavelength."""
-    s1 = scaled(unit(lab), norm(beam))
-    return rotated(plus(s1, scaled(beam, F.lit(-1.0))), axis, -phi)
+    s1 = scaled(unit(lab, bind), _norm(beam))
+    return rotated(minus(s1, beam), axis, -phi, bind)
 
 
-def panel_hit(s1: Column, origin: Column, fast: Column, slow: Column) -> tuple[Column, Column, Column]:
+def panel_hit(s1: Vector, origin: Vector, fast: Vector, slow: Vector, bind: Bind = inline) -> tuple[Column, Column, Column]:
     """(x mm, y mm, whether the ray meets the plane in front of it)."""
-    hit = let([s1, origin, fast, slow, cross(fast, slow)], lambda s1, o, f, s, n: let([scaled(s1, _dot(o, n) / _dot(s1, n))], lambda at: let([plus(at, scaled(o, F.lit(-1.0)))], lambda off: F.struct(_dot(off, f).alias("x"), _dot(off, s).alias("y"), (_dot(o, n) / _dot(s1, n) > 0).alias("front")))))
-    return hit["x"], hit["y"], hit["front"]
+    normal = bind(cross(fast, slow))
+    far = bind(dot(origin, normal) / _dot(s1, normal))
+    off = bind(minus(scaled(s1, far), origin))
+    return dot(off, fast), dot(off, slow), far > 0
 
 
 def cell_volume(a: Column, b: Column, c: Column, alpha: Column, beta: Column, gamma: Column) -> Column:
@@ -174,47 +273,53 @@ def quantum_efficiency(mu: Column, thickness: Column, cos_angle: Column) -> Colu
     return F.when(known, 1 - F.exp(-mu * thickness / cos_angle)).otherwise(F.lit(1.0))
 
 
-def lorentz_polarization(s0: Column, s1: Column, axis: Column, pol_normal: Column, fraction: Column) -> Column:
+def lorentz_polarization(s0: Vector, s1: Vector, axis: Vector, pol_normal: Vector, fraction: Column, bind: Bind = inline) -> Column:
     """L / P, the factor that corrects an intensity."""
-    def p(u: Column, v: Column, n: Column) -> Column:
-        return (1 - 2 * fraction) * (1 - _dot(n, v) * _dot(n, v)) + fraction * (1 + _dot(u, v) * _dot(u, v))
-
-    return let([s0, s1, cross(axis, s0), pol_normal], lambda s0, s1, c, n: F.abs(_dot(s1, c)) / (norm(s0) * norm(s1)) / let([unit(s0), unit(s1), n], p))
+    both, long1 = bind(_times(_norm(s0), _norm(s1))), bind(_norm(s1))
+    along_beam, along_normal = bind(dot(s0, s1) / both), bind(dot(pol_normal, s1) / _times(long1, _norm(pol_normal)))
+    p = (1 - 2 * fraction) * (1 - along_normal * along_normal) + fraction * (1 + along_beam * along_beam)
+    return F.abs(dot(s1, cross(axis, s0))) / both / p
 
 
-def zeta(s0: Column, s1: Column, axis: Column) -> Column:
+def zeta(s0: Vector, s1: Vector, axis: Vector, bind: Bind = inline) -> Column:
     """How fast a reflection crosses the sphere: axis times the normal of the plane of s1 and s0."""
-    return dot(axis, unit(cross(s1, s0)))
+    normal = bind(cross(s1, s0))
+    return dot(axis, normal) / _norm(normal)
 
 
-_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(28)
+# Numerator and denominator of the upper tail of the normal distribution over its density (Hart's rational function, 1968), highest power first.
+TAIL_TOP = (3.52624965998911e-2, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+TAIL_BOTTOM = (8.83883476483184e-2, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
 
 
-def erf(x: Column) -> Column:
-    """The error function, to about 1e-12, by Gauss-Legendre quadrature: Spark SQL has none."""
-    def total(x: Column) -> Column:
-        t = F.least(F.abs(x), F.lit(6.0))
-        out = F.lit(0.0)
-        for node, weight in zip(_NODES, _WEIGHTS, strict=True):
-            u = t * float((node + 1) / 2)
-            out = out + F.exp(-u * u) * float(weight / 2)
-        return F.signum(x) * out * t * (2 / math.sqrt(math.pi))
+def normal_cdf(x: Column, bind: Bind = inline) -> Column:
+    """The normal distribution function, to about 1e-13: Spark SQL has none."""
+    far = bind(F.least(F.abs(x), F.lit(38.0)))
+    near, top, bottom = F.least(far, F.lit(7.07)), F.lit(0.0), F.lit(0.0)
+    for c in TAIL_TOP:
+        top = top * near + c
+    for c in TAIL_BOTTOM:
+        bottom = bottom * near + c
+    tail = bind(F.exp(far * far / -2) * top / bottom)
+    return F.when(x > 0, 1 - tail).otherwise(tail)
 
-    return let([x], total)
 
+def erf(x: Column, bind: Bind = inline) -> Column:
+    """The error function, to about 1e-13."""
+    return 2 * normal_cdf(x * math.sqrt(2.0), bind) - 1
 
-def partiality(phi: Column, phi_low: Column, phi_high: Column, sigma_m: Column, zeta_value: Column) -> Column:
+
+def partiality(phi: Column, phi_low: Column, phi_high: Column, sigma_m: Column, zeta_value: Column, bind: Bind = inline) -> Column:
     """Part of a Gaussian in phi, of width sigma_m / |zeta|, between the ends of the box, in any order; 1 without a spread."""
     c = F.abs(zeta_value) / (F.sqrt(F.lit(2.0)) * sigma_m)
     low, high = F.least(phi_low, phi_high), F.greatest(phi_low, phi_high)
-    part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 * (erf((high - phi) * c) - erf((low - phi) * c))))
+    part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 * (erf((high - phi) * c, bind) - erf((low - phi) * c, bind))))
     return F.when((sigma_m > 0) & (zeta_value != 0), part).otherwise(F.lit(1.0))
 
 
-def kabsch_epsilon(s1: Column, s1_pixel: Column, s0: Column) -> tuple[Column, Column]:
+def kabsch_epsilon(s1: Vector, s1_pixel: Vector, s0: Vector, bind: Bind = inline) -> tuple[Column, Column]:
     """Coordinates of a pixel in a reflection's own frame, in radians."""
-    def frame(s1: Column, pixel: Column, e1: Column) -> Column:
-        return let([unit(cross(s1, e1)), plus(pixel, scaled(s1, F.lit(-1.0))), norm(s1), e1], lambda e2, off, n, e1: F.struct((_dot(e1, off) / n).alias("a"), (_dot(e2, off) / n).alias("b")))
-
-    out = let([s1, s1_pixel, unit(cross(s1, s0))], frame)
-    return out["a"], out["b"]
+    e1 = bind(unit(cross(s1, s0), bind))
+    e2 = bind(unit(cross(s1, e1), bind))
+    off, long = bind(minus(s1_pixel, s1)), bind(_norm(s1))
+    return dot(e1, off) / long, dot(e2, off) / long

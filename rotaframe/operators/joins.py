@@ -237,14 +237,32 @@ def map_batches(function, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(np.asarray(v)) for v in out.values()], names=list(out))
 
 
+#: Panels of all detectors that are written into a projection, at most; a detector has some tens, and experiments share detectors.
+PANELS = 1024
+
+
 def first_panel(rays: DataFrame, panels: DataFrame, detector: str, ray: str = "s1") -> DataFrame:
     """Rays with the first panel, in their order, that they meet in front of them, and the place there in millimetres; others are left out.
 
-    panels: detector, panel, origin, fast, slow, width, height (mm), a row a panel of each detector.
+    panels: detector, panel, origin, fast, slow, width, height (mm), a row a panel of each detector. They are constants
+    of a projection, so no ray is shuffled or made more than one row; more than PANELS are an error.
     """
-    own = rays.withColumn("_ray", F.monotonically_increasing_id())
-    x, y, front = geometry.panel_hit(F.col(ray), F.col("origin"), F.col("fast"), F.col("slow"))
-    met = own.join(panels, detector).withColumns({"_x": x, "_y": y, "_front": front})
-    met = met.filter(F.col("_front") & F.col("_x").between(F.lit(0.0), F.col("width")) & F.col("_y").between(F.lit(0.0), F.col("height")))
-    first = met.groupBy(*rays.columns, "_ray").agg(F.min(F.struct("panel", F.col("_x").alias("x_mm"), F.col("_y").alias("y_mm"))).alias("_hit"))
-    return first.select(*rays.columns, "_hit.*")
+    known = panels.orderBy(detector, "panel").limit(PANELS + 1).collect()
+    if len(known) > PANELS:
+        raise ValueError(f"more than {PANELS} panels")
+    s1, own = F.col(ray), rays
+    found = []
+    for n, p in enumerate(known):
+        # the ray in the panel's own frame: s1 = x fast + y slow + w origin, up to a factor
+        to_panel = np.linalg.inv(np.array([[p.fast[k], p.slow[k], p.origin[k]] for k in "xyz"], dtype=float))
+        along = geometry.matrix_times(to_panel, s1)
+        own = own.withColumns({f"_{k}{n}": along[k] for k in "xyz"})
+        x, y, far = F.col(f"_x{n}"), F.col(f"_y{n}"), F.col(f"_z{n}")
+        met = (F.col(detector) == F.lit(p[detector])) & (far > 0) & (x >= 0) & (x <= far * p.width) & (y >= 0) & (y <= far * p.height)
+        found.append(F.when(met, F.struct(F.lit(p.panel).alias("panel"), (x / far).alias("x_mm"), (y / far).alias("y_mm"))))
+    if not found:
+        kind = panels.select("panel").schema[0].dataType
+        return rays.select("*", F.lit(None).cast(kind).alias("panel"), *(F.lit(None).cast("double").alias(c) for c in ("x_mm", "y_mm"))).limit(0)
+    # a filter on the row's number can't be moved below the steps, where each of them would be written out again and again
+    hit = own.withColumns({"_hit": F.coalesce(*found), "_row": F.monotonically_increasing_id()}).filter(F.col("_hit").isNotNull() & (F.col("_row") >= 0))
+    return hit.select(*rays.columns, "_hit.*")

@@ -7,6 +7,10 @@ come as columns. Names of value columns are parameters; results have fixed names
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -137,21 +141,56 @@ def without_wilson_outliers(unique: DataFrame, order: list[Column], value: str =
     return numbered.join(means, "_run").filter(keep).drop("_run", "_mean", "row_number", "n_rows")
 
 
-def group_medians(rows: DataFrame, by: str, value: str, upper: bool = False) -> DataFrame:
-    """(by, median): exact, by numbering rows in the order of group and value and taking the middle ones of each group.
+def order_statistics(rows: DataFrame, by: list[str], value: str, around: float, at: dict[str, str]) -> DataFrame:
+    """(by, n, a column for each name of at): the exact values at ranks of each group, ascending from 0, as values_at_ranks finds them."""
+    return values_at_ranks(rows, by, value, around, at).groupBy(*by, "n").agg(*(F.max(F.when(F.col("name") == k, F.col("_v"))).alias(k) for k in at))
+
+
+def values_at_ranks(rows: DataFrame, by: list[str], value: str, around: float, at: dict[str, str]) -> DataFrame:
+    """(by, n, name, _v): the exact values at ranks of each group, ascending from 0.
 
-    upper: the upper of two middle values, else their mean. No task holds a group's values, so few large groups are no burden. Null values are left out.
+    at: the rank of each name as SQL of the group's size n; around: about where they lie, as a share of the group.
+    Nothing is sorted: an approximate bracket cuts each group in three, all parts are counted, and in the part that a rank
+    lies in rows are counted by value, so equal values are one row however many they are. The bracket only says how
+    much is left to place, not what comes out. rows are read three times, so a costly input should be stored first.
+    Null values are left out.
     """
-    numbered = number_rows(rows.select(by, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL"), [F.asc(by), F.asc("_v")])
-    sizes = numbered.groupBy(by).agg(F.min("row_number").alias("_from"), F.count("*").alias("_n"))
-    at = F.col("row_number") - F.col("_from")
-    lower = F.lit(False) if upper else at == F.expr("(_n - 1) DIV 2")
-    middle = numbered.join(sizes, by).filter(lower | (at == F.expr("_n DIV 2")))
-    return middle.groupBy(by).agg(F.avg("_v").alias("median"))
+    own = rows.select(*by, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    low, high = max(0.0, around - 0.005), min(1.0, around + 0.005)
+    bounds = own.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("_v", [low, high], 1000).alias("_b"))
+    parted = own.join(bounds.select(*by, F.col("_b")[0].alias("_low"), F.col("_b")[1].alias("_high")), by)
+    parted = parted.select(*by, "_v", F.when(F.col("_v") < F.col("_low"), 0).when(F.col("_v") <= F.col("_high"), 1).otherwise(2).alias("_part"))
+    counts = parted.groupBy(*by).agg(F.count("*").alias("n"), *(F.sum((F.col("_part") == i).cast("long")).alias(f"_n{i}") for i in range(2)))
+    ranks = counts.select(*by, "n", "_n0", "_n1", F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.expr(v).cast("long").alias("rank")) for k, v in at.items()))).alias("_r")).select(*by, "n", "_n0", "_n1", "_r.*")
+    first = F.when(F.col("rank") < F.col("_n0"), F.lit(0)).when(F.col("rank") < F.col("_n0") + F.col("_n1"), F.lit(1)).otherwise(F.lit(2))
+    wanted = ranks.withColumn("_part", first)
+    wanted = wanted.withColumn("_rest", F.col("rank") - F.when(F.col("_part") == 0, F.lit(0)).when(F.col("_part") == 1, F.col("_n0")).otherwise(F.col("_n0") + F.col("_n1")))
+    cells = parted.join(wanted, [*by, "_part"], "left_semi").groupBy(*by, "_part", "_v").agg(F.count("*").alias("_k"))
+    upto = F.sum("_k").over(Window.partitionBy(*by, "_part").orderBy("_v"))
+    met = cells.withColumn("_upto", upto).join(wanted.select(*by, "n", "name", "_part", "_rest"), [*by, "_part"])
+    return met.filter((F.col("_upto") > F.col("_rest")) & (F.col("_upto") - F.col("_k") <= F.col("_rest"))).select(*by, "n", "name", "_v")
+
+
+def medians(rows: DataFrame, by: str, values: list[str], upper: bool = False) -> DataFrame:
+    """(by, a column for each value): exact medians of each group, of all values in one go.
+
+    upper: the upper of two middle values, else their mean. No task holds a group's values, so few large groups and many equal values are no burden. Null values are left out.
+    """
+    each = F.explode(F.array(*(F.struct(F.lit(v).alias("_which"), F.col(v).cast("double").alias("_value")) for v in values))).alias("_e")
+    found = values_at_ranks(rows.select(by, each).select(by, "_e.*"), [by, "_which"], "_value", 0.5, {"upper": "n DIV 2"} if upper else {"lower": "(n - 1) DIV 2", "upper": "n DIV 2"})
+    return found.groupBy(by).agg(*(F.avg(F.when(F.col("_which") == v, F.col("_v"))).alias(v) for v in values))
+
+
+def group_medians(rows: DataFrame, by: str, value: str, upper: bool = False) -> DataFrame:
+    """(by, median) of one value, as medians."""
+    return medians(rows.select(by, F.col(value).alias("median")), by, ["median"], upper).filter("median IS NOT NULL")
 
 
 def number_rows(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """row_number from 0 in the given total order, and n_rows; slices are sorted apart and counted."""
+    """row_number from 0 in the given total order, and n_rows; slices are sorted apart and counted.
+
+    Finding the ranges evaluates what comes after the last shuffle of rows once more.
+    """
     from .storage import checkpoint
 
     held = checkpoint(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
@@ -163,14 +202,25 @@ def number_rows(rows: DataFrame, order: list[Column]) -> DataFrame:
 
 
 def running_sums(rows: DataFrame, order: list[Column], weight: str) -> DataFrame:
-    """rows with `before`: the sum of weight over all rows before it in the given total order; slices are summed apart."""
-    numbered = number_rows(rows, order)
-    # slices of the number of rows, some thousands in all
-    held = numbered.withColumn("_slice", F.expr("row_number DIV greatest(4096, n_rows DIV 4096 + 1)"))
-    sums = held.groupBy("_slice").agg(F.sum(weight).alias("_sum"))
+    """rows with `before`: the sum of weight over all rows before it in the given total order; slices are summed apart, in Arrow batches."""
+    from .storage import checkpoint
+
+    whole = rows.schema[weight].dataType.typeName() in ("byte", "short", "integer", "long")
+    kind, array = ("long", pa.int64()) if whole else ("double", pa.float64())
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_slice": F.spark_partition_id(), "before": F.col(weight).cast(kind)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:
+            own = np.nan_to_num(batch.column("before").to_numpy(zero_copy_only=False)).astype(array.to_pandas_dtype())
+            upto = np.cumsum(own) + total
+            total = upto[-1] if len(upto) else total
+            yield batch.set_column(batch.schema.get_field_index("before"), "before", pa.array(upto - own, type=array))
+
+    held = checkpoint(ranged.mapInArrow(run, ranged.schema))
+    sums = held.groupBy("_slice").agg(F.sum(F.col(weight).cast(kind)).alias("_sum"))  # one row a slice
     starts = sums.select("_slice", F.coalesce(F.sum("_sum").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    own = Window.partitionBy("_slice").orderBy("row_number").rowsBetween(Window.unboundedPreceding, -1)
-    return held.join(F.broadcast(starts), "_slice").withColumn("before", F.col("_start") + F.coalesce(F.sum(weight).over(own), F.lit(0))).drop("_slice", "_start", "row_number", "n_rows")
+    return held.join(F.broadcast(starts), "_slice").withColumn("before", F.col("_start") + F.col("before")).drop("_slice", "_start")
 
 
 def pair_correlations(sets: DataFrame, dataset: str, keys: list[str], value: str, variance: str, least: int = 3) -> DataFrame:

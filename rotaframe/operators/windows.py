@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .merging import group_medians, number_rows, running_sums
+from .merging import medians, number_rows, running_sums
 
 
 def leave_one_out(rows: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
@@ -28,17 +28,33 @@ def ranks(rows: DataFrame, by: list[str], value: str, ties: list[str], name: str
 
 def average_ranks(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     """rows with the rank from 1 of their value in its group, equal values sharing their mean rank."""
-    counts = rows.groupBy(*by, value).agg(F.count("*").alias("_equal"))
-    placed = running_sums(counts, [F.asc(c) for c in (*by, value)], "_equal").withColumnRenamed("before", "_before")
-    first = placed.groupBy(*by).agg(F.min("_before").alias("_first"))
-    shared = placed.join(first, by).select(*by, value, (F.col("_before") - F.col("_first") + (F.col("_equal") + 1) / 2).alias(name))
+    shared = _mean_ranks(rows, by, [value]).select(*by, F.col("_v").alias(value), F.col("_rank").alias(name))
     return rows.join(shared, [*by, value])
 
 
+def _mean_ranks(rows: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """(by, _which, _v, _rank) of the distinct values of several columns of one type, all placed in one go."""
+    each = F.explode(F.array(*(F.struct(F.lit(v).alias("_which"), F.col(v).alias("_v")) for v in values))).alias("_e")
+    counts = rows.select(*by, each).groupBy(*by, "_e._which", "_e._v").agg(F.count("*").alias("_equal"))
+    placed = running_sums(counts, [F.asc(c) for c in (*by, "_which", "_v")], "_equal")
+    first = placed.groupBy(*by, "_which").agg(F.min("before").alias("_first"))
+    return placed.join(first, [*by, "_which"]).select(*by, "_which", "_v", (F.col("before") - F.col("_first") + (F.col("_equal") + 1) / 2).alias("_rank"))
+
+
 def spearman(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation by group, ties averaged."""
-    ranked = average_ranks(average_ranks(rows, keys, x, "_rx"), keys, y, "_ry")
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho"))
+    own = rows.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    # rows that are equal in both are one with their number
+    pairs = own.groupBy(*keys, "_x", "_y").agg(F.count("*").alias("_n"))
+    ranks = _mean_ranks(own, keys, ["_x", "_y"])
+    for name, v in (("_rx", "_x"), ("_ry", "_y")):
+        pairs = pairs.join(ranks.filter(F.col("_which") == v).select(*keys, F.col("_v").alias(v), F.col("_rank").alias(name)), [*keys, v])
+    n, a, b = F.col("_n"), F.col("_rx"), F.col("_ry")
+    # ranks are about the group's middle, so that squares lose nothing
+    middle = pairs.groupBy(*keys).agg(((F.sum(n) + 1) / 2).alias("_middle"))
+    pairs = pairs.join(middle, keys).withColumns({"_rx": a - F.col("_middle"), "_ry": b - F.col("_middle")})
+    sums = pairs.groupBy(*keys).agg(F.sum(n).alias("n"), F.sum(n * a * a).alias("_aa"), F.sum(n * b * b).alias("_bb"), F.sum(n * a * b).alias("_ab"))
+    return sums.select(*keys, "n", F.when((F.col("_aa") > 0) & (F.col("_bb") > 0), F.col("_ab") / F.sqrt(F.col("_aa") * F.col("_bb"))).alias("rho"))
 
 
 def reject_outliers(rows: DataFrame, keys: list[str], row_id: str, value: str, variance: str, limit: float = 6.0, least: int = 3) -> DataFrame:
@@ -66,18 +82,22 @@ def reject_outliers(rows: DataFrame, keys: list[str], row_id: str, value: str, v
 
 
 def trend_table(binned: DataFrame, x: str, y: str) -> DataFrame:
-    """By bin: count, median of x and of y / x, correlation, robust spread, and outliers beyond max(5 spread, 5 per cent).
+    """By bin: count, median of x and of y / x, Pearson's and Spearman's correlation, robust spread, and outliers beyond max(5 spread, 5 per cent).
 
-    Medians are found by numbering rows, so a bin may be as large as it likes.
+    A bin may be as large as it likes; rows are read several times, so a costly input should be stored first.
     """
+    from .storage import checkpoint
+
     rows = binned.filter(F.col(x) != 0).select("bin", F.col(x).alias("_x"), F.col(y).alias("_y"), (F.col(y) / F.col(x)).alias("_ratio"))
     counts = rows.groupBy("bin").agg(F.count("*").alias("n"), F.corr("_x", "_y").alias("pearson"))
-    ratios = group_medians(rows, "bin", "_ratio").withColumnRenamed("median", "median_ratio")
-    off = rows.join(ratios, "bin").withColumn("_off", F.abs(F.col("_ratio") - F.col("median_ratio")))
-    spread = group_medians(off, "bin", "_off").select("bin", (F.col("median") * 1.4826).alias("spread"))
+    # a row a bin, used more than once
+    middle = checkpoint(medians(rows, "bin", ["_x", "_ratio"])).withColumnsRenamed({"_x": "median_x", "_ratio": "median_ratio"})
+    off = rows.join(middle, "bin").select("bin", F.abs(F.col("_ratio") - F.col("median_ratio")).alias("_off"))
+    spread = checkpoint(medians(off, "bin", ["_off"])).select("bin", (F.col("_off") * 1.4826).alias("spread"))
     limit = F.greatest(5 * F.col("spread"), F.lit(0.05))
     outliers = off.join(spread, "bin").groupBy("bin").agg(F.sum((F.col("_off") > limit).cast("long")).alias("outliers"))
-    return counts.join(group_medians(rows, "bin", "_x").withColumnRenamed("median", "median_x"), "bin").join(ratios, "bin").join(spread, "bin").join(outliers, "bin")
+    ranked = spearman(rows, ["bin"], "_x", "_y").select("bin", F.col("rho").alias("spearman"))
+    return counts.join(middle, "bin").join(spread, "bin").join(outliers, "bin").join(ranked, "bin")
 
 
 def gaps(rows: DataFrame, keys: list[str], at: str, row_id: str) -> DataFrame:

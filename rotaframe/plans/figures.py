@@ -28,6 +28,11 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def near(value, places: int):
+    """value to so many places, reckoned as doubles: for many values Spark's round, which goes by decimals, takes longer than what they come from."""
+    return F.rint(value * 10.0**places) / 10.0**places
+
+
 def rounded(df: DataFrame, places: dict[str, int]) -> DataFrame:
     return df.withColumns({c: F.round(c, n) for c, n in places.items()})
 
@@ -269,12 +274,48 @@ def edge_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binned.groupBy("bin").agg(F.count("*").alias("n"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
 
 
-@query()
-def attenuated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines judged as attenuated by their tax as a background."""
+LOSSES = f"""o AS (SELECT ord, line, supp, part, day, i, v, (5.0::DOUBLE + line) / (year(o_orderdate) - 1985) AS level FROM ({OBSERVATIONS}) JOIN orders ON o_orderkey = ord),
+u AS (SELECT part, count(*) AS n, list_sort(list(level))[CAST((3 * (count(*) - 1)) // 4 + 1 AS BIGINT)] AS upper FROM o GROUP BY 1),
+t AS (SELECT o.*, n, least(greatest(CASE WHEN n >= 3 THEN level / upper ELSE level END, 0), 10) AS ratio FROM o JOIN u USING (part)),
+p AS (SELECT *, least(greatest(1 / (1 + exp((ratio - 0.6) / 0.1)), 0.01), 0.99) AS prior FROM t)"""
+
+
+def chance(rows: str) -> str:
+    """Rows with mean: the spread about it and the chance of a loss."""
+    close = lambda x: f"least(abs({x}), 7.07::DOUBLE)"
+    tail = lambda x: f"(exp(least(abs({x}), 38) ** 2 / -2) * {horner(geometry.TAIL_TOP, close(x))} / {horner(geometry.TAIL_BOTTOM, close(x))})"
+    below = lambda x: f"CASE WHEN {x} > 0 THEN 1 - {tail(x)} ELSE {tail(x)} END"
+    return f"""SELECT *, CASE WHEN good + bad > 0 THEN bad / (good + bad) ELSE prior END AS chance FROM (SELECT *, (1 - prior) * exp(-0.5 * (i - mean) * (i - mean) / spread) / sqrt(2 * pi() * spread) AS good,
+      CASE WHEN mean > 0 THEN prior * ({below("hi")} - {below("lo")}) / mean ELSE 0 END AS bad FROM (SELECT *, v * greatest(1, greatest(mean, 0) / greatest(i, sqrt(v))) AS spread, (mean - i) / sqrt(v) AS hi, -i / sqrt(v) AS lo FROM ({rows})))"""
+
+
+def lines_with_backgrounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with a background by their number and an expected one by the year of their order."""
     rows = observations(spark, sf_dir).join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), F.year("o_orderdate").alias("year")), "ord")
-    rows = rows.select(F.xxhash64(*IN_ORDER).alias("row_id"), "part", "i", "v", (5.0 + F.col("line")).alias("background"), (F.col("year") - 1985.0).alias("expected"))
-    return statistics.judge_attenuation(rows, ["part"], "row_id").select("row_id", F.round("ratio", 6).alias("ratio"), "judged", "flagged")
+    return rows.select(F.struct(*IN_ORDER).alias("row_id"), "part", "i", "v", (5.0 + F.col("line")).alias("background"), (F.col("year") - 1985.0).alias("expected"))
+
+
+@query(f"""
+WITH {LOSSES} SELECT ord, line, supp, part, n, round(ratio, 8) AS ratio, round(prior, 8) AS prior FROM p
+""")
+def attenuation_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = statistics.attenuation_priors(lines_with_backgrounds(spark, sf_dir), ["part"], "row_id")
+    return out.select("row_id.ord", "row_id.line", "row_id.supp", "part", "n", F.round("ratio", 8).alias("ratio"), F.round("prior", 8).alias("prior"))
+
+
+@query(f"""
+WITH RECURSIVE {LOSSES}, g AS (SELECT part, sum((1 - prior) / v * i) / sum((1 - prior) / v) AS mean FROM p WHERE n >= 3 GROUP BY 1),
+r(k, part, mean, moves) AS (SELECT 0, part, mean, true FROM g UNION ALL
+  SELECT k + 1, part, new, abs(new - mean) > 1e-9 + 1e-6 * abs(mean) FROM (SELECT part, any_value(k) AS k, any_value(mean) AS mean, sum((1 - chance) / spread * i) / sum((1 - chance) / spread) AS new FROM ({chance("SELECT p.*, k, mean FROM p JOIN r ON p.part = r.part WHERE moves AND k < 30")}) GROUP BY part)),
+m AS (SELECT part, arg_max(mean, k) AS mean FROM r GROUP BY 1), c AS ({chance("SELECT p.*, mean FROM p JOIN m ON p.part = m.part")}),
+j AS (SELECT part, any_value(mean) * sqrt(sum((1 - chance) / v)) >= 3 AS judged FROM c GROUP BY 1)
+SELECT ord, line, supp, i, round(ratio, 6) AS ratio, judged, round(CASE WHEN judged THEN chance ELSE prior END, 4) AS probability FROM c JOIN j ON c.part = j.part
+UNION ALL SELECT ord, line, supp, i, round(ratio, 6), false, round(prior, 4) FROM p WHERE n < 3
+""")
+def attenuated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines judged as attenuated by their number as a background."""
+    out = statistics.judge_attenuation(lines_with_backgrounds(spark, sf_dir), ["part"], "row_id")
+    return out.select("row_id.ord", "row_id.line", "row_id.supp", "row_id.i", F.round("ratio", 6).alias("ratio"), "judged", F.round("probability", 4).alias("probability"))
 
 
 # A beam of 0.9 Angstrom along -z, an axis along x, a panel of 200 x 150 mm at 250 mm. u: the unit ray, e1 and e2: the reflection's own frame.
@@ -296,12 +337,16 @@ SELECT ord, line, part, round(ux * k, 9) AS qx, round(uy * k * cos(phi) + (uz *
 """)
 def ray_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, g = rays(spark, sf_dir)
-    lab = geometry.lab_position(F.col("x"), F.col("y"), g["origin"], g["fast"], g["slow"])
-    near = geometry.lab_position(F.col("x") + 1, F.col("y") + 0.5, g["origin"], g["fast"], g["slow"])
-    rows = rows.withColumns({"q": geometry.reciprocal_point(lab, g["s0"], g["axis"], F.col("phi")), "s1": geometry.scaled(geometry.unit(lab), F.lit(1 / 0.9)), "near": geometry.scaled(geometry.unit(near), F.lit(1 / 0.9))})
-    a, b = geometry.kabsch_epsilon(F.col("s1"), F.col("near"), g["s0"])
-    out = rows.select("ord", "line", "part", F.col("q.x").alias("qx"), F.col("q.y").alias("qy"), F.col("q.z").alias("qz"), geometry.lorentz_polarization(g["s0"], F.col("s1"), g["axis"], geometry.vec(0, 1, 0), F.lit(0.99)).alias("lp"), geometry.zeta(g["s0"], F.col("s1"), g["axis"]).alias("zeta"), a.alias("eps1"), b.alias("eps2"))
-    return rounded(out, dict.fromkeys(("qx", "qy", "qz", "lp", "zeta", "eps1", "eps2"), 9))
+    bind = geometry.Steps(rows)
+    lab = bind(geometry.lab_position(F.col("x"), F.col("y"), g["origin"], g["fast"], g["slow"]))
+    beside = geometry.lab_position(F.col("x") + 1, F.col("y") + 0.5, g["origin"], g["fast"], g["slow"])
+    q = bind(geometry.reciprocal_point(lab, g["s0"], g["axis"], F.col("phi"), bind))
+    s1, other = (bind(geometry.scaled(geometry.unit(v, bind), F.lit(1 / 0.9))) for v in (lab, beside))
+    lp = geometry.lorentz_polarization(g["s0"], s1, g["axis"], geometry.vec(0, 1, 0), F.lit(0.99), bind)
+    a, b = geometry.kabsch_epsilon(s1, other, g["s0"], bind)
+    zeta = geometry.zeta(g["s0"], s1, g["axis"], bind)
+    values = {"qx": q.x, "qy": q.y, "qz": q.z, "lp": lp, "zeta": zeta, "eps1": a, "eps2": b}
+    return bind.df.select("ord", "line", "part", *(near(v, 9).alias(k) for k, v in values.items()))
 
 
 @query(f"""
@@ -311,19 +356,21 @@ SELECT ord, line, part, round((1 + (1 - ux * ux) / len * depth + ux * slope * (u
 """)
 def pixel_jacobian(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, g = rays(spark, sf_dir)
-    j = geometry.mm_to_px_jacobian(F.col("x"), F.col("y"), F.lit(0.172), g["origin"], g["fast"], g["slow"], F.lit(2.5), F.lit(0.45))
-    return rounded(rows.withColumn("j", j).select("ord", "line", "part", "j.*"), dict.fromkeys(("xx", "xy", "yx", "yy"), 8))
+    bind = geometry.Steps(rows)
+    j = geometry.mm_to_px_jacobian(F.col("x"), F.col("y"), F.lit(0.172), g["origin"], g["fast"], g["slow"], F.lit(2.5), F.lit(0.45), bind)
+    return bind.df.select("ord", "line", "part", *(near(v, 8).alias(k) for k, v in j.items()))
 
 
 @query(f"""
 WITH {RAYS}, g AS (SELECT i AS panel, -90.1 + 60 * (i % 3) AS ox, 70.0 - 75 * (i // 3) AS oy, -240.0::DOUBLE - i AS oz FROM range(6) t(i)),
 r AS (SELECT DISTINCT ord, line, part, ux, uy, uz FROM u), h AS (SELECT ord, line, part, ux, uy, panel, ux * oz / uz - ox AS xm, oy - uy * oz / uz AS ym FROM r, g), f AS (SELECT *, row_number() OVER (PARTITION BY ord, line, part, ux, uy ORDER BY panel) AS nth FROM h WHERE xm BETWEEN 0 AND 62 AND ym BETWEEN 0 AND 70)
-SELECT panel, count(*) AS n, round(sum(xm), 3) AS x_mm, round(sum(ym), 3) AS y_mm FROM f WHERE nth = 1 GROUP BY 1
+SELECT ord, line, part, panel, round(xm, 8) AS x_mm, round(ym, 8) AS y_mm FROM f WHERE nth = 1
 """)
 def first_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, g = rays(spark, sf_dir)
-    lab = geometry.lab_position(F.col("x"), F.col("y"), g["origin"], g["fast"], g["slow"])
+    bind = geometry.Steps(rows)
+    ray = geometry.unit(geometry.lab_position(F.col("x"), F.col("y"), g["origin"], g["fast"], g["slow"]), bind)
+    own = bind.df.select("ord", "line", "part", F.lit(0).alias("detector"), ray.alias("s1")).distinct()
     i = F.col("id")
     panels = spark.range(6).select(F.lit(0).alias("detector"), i.alias("panel"), F.struct((-90.1 + 60 * (i % 3)).alias("x"), (70.0 - 75 * F.floor(i / 3)).alias("y"), (-240.0 - i).alias("z")).alias("origin"), g["fast"].alias("fast"), g["slow"].alias("slow"), F.lit(62.0).alias("width"), F.lit(70.0).alias("height"))
-    hits = joins.first_panel(rows.select("ord", "line", "part", F.lit(0).alias("detector"), geometry.unit(lab).alias("s1")).distinct(), panels, "detector")
-    return hits.groupBy("panel").agg(F.count("*").alias("n"), F.round(F.sum("x_mm"), 3).alias("x_mm"), F.round(F.sum("y_mm"), 3).alias("y_mm"))
+    return joins.first_panel(own, panels, "detector").select("ord", "line", "part", "panel", near(F.col("x_mm"), 8).alias("x_mm"), near(F.col("y_mm"), 8).alias("y_mm"))

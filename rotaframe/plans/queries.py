@@ -271,13 +271,15 @@ def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH li AS ({LINES}), r AS (SELECT disc AS bin, CAST(w AS DOUBLE) AS a, CAST(x AS DOUBLE) AS b, x / CAST(w AS DOUBLE) AS ratio FROM li),
 m AS (SELECT bin, count(*) AS n, quantile_cont(a, 0.5) AS median_x, quantile_cont(ratio, 0.5) AS median_ratio, corr(a, b) AS pearson FROM r GROUP BY 1),
 o AS (SELECT r.bin, abs(ratio - median_ratio) AS d FROM r JOIN m ON r.bin = m.bin), s AS (SELECT bin, quantile_cont(d, 0.5) * 1.4826::DOUBLE AS spread FROM o GROUP BY 1),
-c AS (SELECT o.bin, sum(CASE WHEN d > greatest(5 * spread, 0.05) THEN 1 ELSE 0 END) AS outliers FROM o JOIN s ON o.bin = s.bin GROUP BY 1)
-SELECT m.bin, n, median_x, round(median_ratio, 5) AS median_ratio, round(pearson, 8) AS pearson, round(spread, 4) AS spread, CAST(outliers AS BIGINT) AS outliers FROM m JOIN s ON m.bin = s.bin JOIN c ON m.bin = c.bin
+c AS (SELECT o.bin, sum(CASE WHEN d > greatest(5 * spread, 0.05) THEN 1 ELSE 0 END) AS outliers FROM o JOIN s ON o.bin = s.bin GROUP BY 1),
+k AS (SELECT bin, rank() OVER (PARTITION BY bin ORDER BY a) + (count(*) OVER (PARTITION BY bin, a) - 1) / 2.0::DOUBLE AS ra, rank() OVER (PARTITION BY bin ORDER BY b) + (count(*) OVER (PARTITION BY bin, b) - 1) / 2.0::DOUBLE AS rb FROM r),
+p AS (SELECT bin, corr(ra, rb) AS spearman FROM k GROUP BY 1)
+SELECT m.bin, round(spearman, 8) AS spearman, n, median_x, round(median_ratio, 5) AS median_ratio, round(pearson, 8) AS pearson, round(spread, 4) AS spread, CAST(outliers AS BIGINT) AS outliers FROM m JOIN s ON m.bin = s.bin JOIN c ON m.bin = c.bin JOIN p ON m.bin = p.bin
 """)
 def trend_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lineitem(spark, sf_dir).select(F.col("disc").alias("bin"), F.col("w").cast("double").alias("a"), F.col("x").cast("double").alias("b"))
     out = windows.trend_table(rows, "a", "b")
-    return out.select("bin", "n", "median_x", F.round("median_ratio", 5).alias("median_ratio"), F.round("pearson", 8).alias("pearson"), F.round("spread", 4).alias("spread"), "outliers")
+    return out.select("bin", "n", "median_x", F.round("median_ratio", 5).alias("median_ratio"), F.round("pearson", 8).alias("pearson"), F.round("spearman", 8).alias("spearman"), F.round("spread", 4).alias("spread"), "outliers")
 
 
 FLAG_SQL = "(CASE WHEN l_returnflag = 'R' THEN 32 ELSE 0 END + CASE WHEN l_linestatus = 'F' THEN 4 ELSE 0 END + CASE WHEN l_quantity > 25 THEN 512 ELSE 0 END)"
