@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """A copy of df in the session's spark.checkpoint.dir; only where that is unset and all runs on one machine, as in tests, in a temporary folder."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; only where that is unset and all runs on one machine, as in tests, a temporary folder."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not (context.master == "local" or context.master.startswith("local[")):
             raise RuntimeError("spark.checkpoint.dir isn't set: the executors need a folder that all of them share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rotaframe-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """A copy of df in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
