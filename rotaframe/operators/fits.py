@@ -5,8 +5,9 @@ and a mask as shoeboxes.masks gives it). Both ways find the scale of the profile
 model expects of each pixel, in a few rounds: an intensity is the scale times the profile's sum over the whole
 foreground, measured or not, so a reflection half in a gap isn't made half as strong.
 
-Reflections that touch are solved together. Where their boxes meet, voxels become rows; a round adds up the products
-of all pairs that share a voxel, and only these sums, a block for each set of touching reflections, are solved by tasks.
+Reflections that touch are solved together. Where their boxes meet, voxels become rows, and Spark finds the sets of
+reflections that touch and deals whole sets to tasks. A task takes many sets at once: products of all pairs that share
+a voxel are summed to a block for each set, and blocks of one size are solved as one array.
 
 Failures are named: a foreground without a measured voxel, a profile that has nothing on the foreground, a singular system.
 """
@@ -117,78 +118,144 @@ def touching(voxels: DataFrame, keys: list[str]) -> DataFrame:
     return connected_components(edges, "row_id", "other").withColumnRenamed("node", "row_id")
 
 
-def _solved(entries: DataFrame) -> DataFrame:
-    """(row_id, scale, variance, from_background, singular) from the sums of pairs (component, a, b, n, s, g, r, noise)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        a, b = (table.column(c).to_numpy() for c in "ab")
-        rows, of = np.unique(np.concatenate([a, b]), return_inverse=True)
-        size, i, j = len(rows), of[: len(a)], of[len(a) :]
-        if size > MOST:
-            raise ValueError(f"{size} reflections touch one another: more than {MOST}")
-        n, s, g = (np.zeros((size, size)) for _ in range(3))
-        for matrix, c in ((n, "n"), (s, "s"), (g, "g")):
-            matrix[i, j] = table.column(c).to_numpy()
-        own = i == j
-        r, noise = np.zeros(size), np.zeros(size)
-        r[i[own]], noise[i[own]] = table.column("r").to_numpy()[own], table.column("noise").to_numpy()[own]
-        scales = np.sqrt(np.maximum(np.diag(n), 1e-300))
-        unit = n / np.outer(scales, scales)
-        singular = not (np.diag(n) > 0).all() or np.linalg.matrix_rank(unit, tol=1e-10) < size
-        inverse = np.zeros((size, size)) if singular else np.linalg.inv(unit) / np.outer(scales, scales)
-        moved = inverse @ g
-        return pa.table({"row_id": rows, "scale": inverse @ r, "variance": np.einsum("ij,jk,ik->i", inverse, s, inverse), "from_background": (moved * moved) @ noise, "singular": np.full(size, singular)})
-
-    kind = entries.select("a").schema[0].dataType.simpleString()
-    return entries.groupBy("component").applyInArrow(run, f"row_id {kind}, scale double, variance double, from_background double, singular boolean")
-
-
-def fitted_together(voxels: DataFrame, components: DataFrame, keys: list[str], gain: float = 1.0, rounds: int = 3) -> DataFrame:
-    """(row_id, intensity, variance, correlation, measured, failure) of boxes that touch, from their voxels and components as touching() finds them."""
-    from .storage import checkpoint
+class _Touching:
+    """Whole sets of touching boxes, worked on at once: their voxels as arrays, sums of pairs that share a voxel, and a block for each set."""
+
+    def __init__(self, columns: dict[str, np.ndarray]) -> None:
+        self.rows, self.box = np.unique(columns["row_id"], return_inverse=True)
+        self.set = np.zeros(len(self.rows), dtype=np.int64)
+        _, sets = np.unique(columns["component"], return_inverse=True)
+        self.set[self.box] = sets
+        self.data, self.back, self.profile = (columns[c] for c in ("data", "background", "profile"))
+        bits = columns["bits"]
+        self.front, self.use = (bits & FOREGROUND) > 0, (bits & (FOREGROUND | VALID)) == (FOREGROUND | VALID)
+        self.empty = ((bits & (BACKGROUND | VALID)) == (BACKGROUND | VALID)) & ~self.front
+        place = sets  # boxes of one set share their keys
+        for c in "zyx":
+            at = columns[c].astype(np.int64)
+            place = place * (int(at.max() - at.min()) + 1) + (at - at.min())
+        _, self.voxel = np.unique(place, return_inverse=True)
+
+    def _of_boxes(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.box, weights=values, minlength=len(self.rows))
+
+    def _pairs(self, voxel: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all ordered pairs of rows that share a voxel; rows are in the order of voxels."""
+        size = np.bincount(voxel)
+        many = size[voxel]
+        first = (np.cumsum(size) - size)[voxel]
+        a = np.repeat(np.arange(len(voxel)), many)
+        return a, first[a] + np.arange(len(a)) - (np.cumsum(many) - many)[a]
+
+    def _blocks(self, box_a: np.ndarray, box_b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For sets of each size: the boxes of each, and where the entries of pairs go: which of them, their set, row and column."""
+        order = np.argsort(self.set, kind="stable")
+        size = np.bincount(self.set)
+        if size.max() > MOST:
+            raise ValueError(f"{size.max()} reflections touch one another: more than {MOST}")
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order)) - (np.cumsum(size) - size)[self.set[order]]
+        for n in np.unique(size).tolist():
+            sets = np.flatnonzero(size == n)
+            boxes = order[np.isin(self.set[order], sets)].reshape(len(sets), n)
+            which = np.flatnonzero(size[self.set[box_a]] == n)
+            yield boxes, which, np.searchsorted(sets, self.set[box_a[which]]), rank[box_a[which]] * n + rank[box_b[which]]
+
+    def fit(self, gain: float, rounds: int) -> dict[str, np.ndarray]:
+        of = self._of_boxes
+        whole, seen, n_use, n_back = of(self.profile * self.front), of(self.profile * self.use), of(self.use), of(self.empty)
+        residual = (self.data - self.back) * self.use
+        # one box that can't be fitted takes its whole set with it
+        own = np.select([n_use == 0, whole <= 0, seen <= 0], [2, 1, 2], 0)
+        worst = np.zeros(self.set.max() + 1, dtype=np.int64)
+        np.maximum.at(worst, self.set, own)
+        failure = np.array(["", OFF_PROFILE, MASKED], dtype=object)[worst[self.set]]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            noise = np.where(n_back > 0, gain * of(self.back * self.use) / n_use / np.maximum(n_back, 1), 0.0)
+            scale = np.nan_to_num(of(residual) / whole)
+        # the voxels that some member measured in its foreground, with all boxes that hold them
+        held = np.flatnonzero(np.bincount(self.voxel, weights=self.use)[self.voxel] > 0)
+        held = held[np.argsort(self.voxel[held], kind="stable")]
+        _, voxel = np.unique(self.voxel[held], return_inverse=True)
+        share = 1 / np.bincount(voxel)
+        data, back = (np.bincount(voxel, weights=v[held]) * share for v in (self.data, self.back))
+        q, box = self.profile[held], self.box[held]
+        a, b = self._pairs(voxel)
+        keys, entry = np.unique(box[a] * len(self.rows) + box[b], return_inverse=True)
+        box_a, box_b = keys // len(self.rows), keys % len(self.rows)
+        variance, from_back = np.zeros(len(self.rows)), np.zeros(len(self.rows))
+        for _ in range(max(rounds, 1)):
+            expected = back + np.bincount(voxel, weights=np.maximum(scale, 0)[box] * q)
+            w = 1 / np.maximum(gain * expected, gain * WEIGHT_FLOOR)
+            v = np.maximum(gain * expected, gain * LEAST_VARIANCE)
+            right = np.bincount(box, weights=q * (data - back)[voxel] * w[voxel], minlength=len(self.rows))
+            sums = [np.bincount(entry, weights=x) for x in (q[a] * q[b] * w[voxel[a]], q[a] * q[b] * (w * w * v)[voxel[a]], q[a] * (w * share)[voxel[a]])]
+            for boxes, which, at, cell in self._blocks(box_a, box_b):
+                count, n = boxes.shape
+                normal, noisy, moved = (np.zeros((count, n * n)) for _ in range(3))
+                for matrix, values in zip((normal, noisy, moved), sums, strict=True):
+                    matrix[at, cell] = values[which]
+                normal, noisy, moved = (m.reshape(count, n, n) for m in (normal, noisy, moved))
+                root = np.sqrt(np.maximum(normal.diagonal(axis1=1, axis2=2), 1e-300))
+                unit = normal / (root[:, :, None] * root[:, None, :])
+                bad = (normal.diagonal(axis1=1, axis2=2) <= 0).any(axis=1) | (np.linalg.matrix_rank(unit, tol=1e-10) < n)
+                unit[bad] = np.eye(n)
+                failure[boxes[bad].ravel()] = np.where(failure[boxes[bad].ravel()] == "", SINGULAR, failure[boxes[bad].ravel()])
+                inverse = np.linalg.inv(unit) / (root[:, :, None] * root[:, None, :])
+                scale[boxes] = np.einsum("sij,sj->si", inverse, right[boxes])
+                variance[boxes] = np.einsum("sij,sjk,sik->si", inverse, noisy, inverse, optimize=True)
+                from_back[boxes] = np.einsum("sij,sj->si", (inverse @ moved) ** 2, noise[boxes])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            means = seen / n_use, of(residual) / n_use
+            p = self.profile * self.use
+            spread = (of(p * p) / n_use - means[0] ** 2) * (of(residual * residual) / n_use - means[1] ** 2)
+            correlation = np.where(spread > 0, (of(p * residual) / n_use - means[0] * means[1]) / np.sqrt(np.maximum(spread, 1e-300)), 0.0)
+            measured = np.where(whole > 0, seen / whole, 0.0)
+        return {"intensity": scale * whole, "variance": (variance + from_back) * whole * whole, "correlation": correlation, "measured": measured, "failure": failure}
+
+
+VOXEL_COLUMNS = ["component", "row_id", "x", "y", "z", "data", "background", "profile", "bits"]
+#: Voxels of whole sets worked on at a time, or one set's.
+AT_ONCE = 1 << 19
+
+
+def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of some whole sets at a time, from rows in the order of sets."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n >= AT_ONCE:
+            table = pa.Table.from_batches(held)
+            last = table.column("component").to_numpy()
+            cut = int(np.searchsorted(last, last[-1], side="left"))
+            if cut:
+                yield {c: table.column(c).slice(0, cut).to_numpy() for c in VOXEL_COLUMNS}
+                held, n = table.slice(cut).to_batches(), len(table) - cut
+    if held:
+        table = pa.Table.from_batches(held)
+        yield {c: table.column(c).to_numpy() for c in VOXEL_COLUMNS}
+
+
+def fitted_together(voxels: DataFrame, components: DataFrame, gain: float = 1.0, rounds: int = 3) -> DataFrame:
+    """(row_id, intensity, variance, correlation, measured, failure) of boxes that touch, from their voxels and components as touching() finds them.
+
+    Whole sets go to a task, one after another; a set is held whole, and is bounded by MOST. Row ids and components are whole numbers.
+    """
+    own = voxels.join(components, "row_id").select(*(F.col(c).cast("long") if c in ("component", "row_id") else c for c in VOXEL_COLUMNS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _whole_sets(batches):
+            work = _Touching(columns)
+            found = work.fit(gain, rounds)
+            bad = found["failure"] != ""
+            values = [pa.array(found[c], mask=bad) for c in OUT_NAMES[:3]]
+            yield pa.RecordBatch.from_arrays([pa.array(work.rows), *values, pa.array(found["measured"]), pa.array(found["failure"], type=pa.string(), mask=~bad)], names=["row_id", *OUT_NAMES])
 
-    place = ["component", *keys, "x", "y", "z"]
-    own = voxels.join(components, "row_id")
-    front, use = _bit("bits", FOREGROUND), _bit("bits", FOREGROUND | VALID)
-    empty = _bit("bits", VALID | BACKGROUND) & ~front
-    when = lambda c, v: F.sum(F.when(c, v).otherwise(F.lit(0.0)))
-    residual, p = F.col("data") - F.col("background"), F.col("profile")
-    sums = checkpoint(own.groupBy("component", "row_id").agg(
-        when(front, p).alias("whole"), when(use, p).alias("seen"), when(use, F.lit(1.0)).alias("n_use"), when(empty, F.lit(1.0)).alias("n_back"), when(use, F.col("background")).alias("sum_back"),
-        when(use, residual).alias("sum_r"), when(use, p * p).alias("pp"), when(use, residual * residual).alias("rr"), when(use, p * residual).alias("pr"),
-    ))
-    # one box that can't be fitted takes its whole set with it, and the least reason of the set is told
-    why = F.when(F.col("n_use") == 0, MASKED).when(F.col("whole") <= 0, OFF_PROFILE).when(F.col("seen") <= 0, MASKED)
-    bad = sums.groupBy("component").agg(F.min(why).alias("_why"))
-    members = sums.join(bad, "component")
-    noise = F.when(F.col("n_back") > 0, gain * F.col("sum_back") / F.col("n_use") / F.col("n_back")).otherwise(F.lit(0.0))
-    scales = members.filter("_why IS NULL").select("row_id", (F.col("sum_r") / F.col("whole")).alias("scale"), noise.alias("noise"))
-    # the voxels that some member measured in its foreground, each with all boxes that hold it
-    held = own.groupBy(*place).agg(F.max(use.cast("int")).alias("_any"), F.avg("data").alias("data"), F.avg("background").alias("background"), F.count("*").alias("n_boxes"), F.collect_list(F.struct("row_id", "profile")).alias("boxes"))
-    held = checkpoint(held.filter("_any = 1").drop("_any"))
-    solved = None
-    for _ in range(max(rounds, 1)):
-        each = held.select(*place, "data", "background", "n_boxes", F.explode("boxes").alias("_b")).select(*place, "data", "background", "n_boxes", "_b.*").join(scales, "row_id")
-        met = each.groupBy(*place, "data", "background", "n_boxes").agg((F.col("background") + F.sum(F.greatest("scale", F.lit(0.0)) * p)).alias("expected"), F.collect_list(F.struct("row_id", "profile", "noise")).alias("boxes"))
-        met = met.withColumns({"w": 1 / F.greatest(gain * F.col("expected"), F.lit(gain * WEIGHT_FLOOR)), "v": F.greatest(gain * F.col("expected"), F.lit(gain * LEAST_VARIANCE))})
-        one = met.select("component", "n_boxes", "w", "v", residual.alias("residual"), F.explode("boxes").alias("a"), "boxes")
-        pairs = one.select("component", "n_boxes", "w", "v", "residual", "a", F.explode("boxes").alias("b"))
-        pa_, pb, w = F.col("a.profile"), F.col("b.profile"), F.col("w")
-        entries = pairs.groupBy("component", F.col("a.row_id").alias("a"), F.col("b.row_id").alias("b")).agg(
-            F.sum(pa_ * pb * w).alias("n"), F.sum(pa_ * pb * w * w * F.col("v")).alias("s"), F.sum(pa_ * w / F.col("n_boxes")).alias("g"), F.sum(pa_ * F.col("residual") * w).alias("r"), F.max("a.noise").alias("noise"),
-        )
-        solved = checkpoint(_solved(entries))
-        scales = solved.select("row_id", "scale").join(scales.select("row_id", "noise"), "row_id")
-    out = members.join(solved, "row_id", "left")
-    failure = F.coalesce("_why", F.when(F.coalesce("singular", F.lit(True)), SINGULAR))
-    n = F.col("n_use")
-    mean_r = F.col("sum_r") / n
-    spread = (F.col("pp") / n - F.pow(F.col("seen") / n, F.lit(2.0))) * (F.col("rr") / n - mean_r * mean_r)
-    correlation = F.when(spread > 0, (F.col("pr") / n - F.col("seen") / n * mean_r) / F.sqrt(spread)).otherwise(F.lit(0.0))
-    good = lambda v: F.when(F.col("failure").isNull(), v)
-    whole = F.col("whole")
-    out = out.withColumn("failure", failure)
-    return out.select("row_id", good(F.col("scale") * whole).alias("intensity"), good((F.col("variance") + F.col("from_background")) * whole * whole).alias("variance"), good(correlation).alias("correlation"), F.when(whole > 0, F.col("seen") / whole).otherwise(F.lit(0.0)).alias("measured"), "failure")
+    return own.repartition("component").sortWithinPartitions("component").mapInArrow(run, f"row_id long, {OUT}")
 
 
 def fitted_intensities(boxes: DataFrame, keys: list[str] | None = None, tiles: tuple[int, int, int] = (32, 32, 8), gain: float = 1.0, rounds: int = 3) -> DataFrame:
@@ -204,5 +271,5 @@ def fitted_intensities(boxes: DataFrame, keys: list[str] | None = None, tiles: t
     voxels = checkpoint(_voxels(boxes.join(near, "row_id", "left_semi"), keys))
     components = checkpoint(touching(voxels, keys))
     alone = fitted_alone(boxes.join(components, "row_id", "left_anti"), gain, rounds)
-    together = fitted_together(voxels, components, keys, gain, rounds).join(components, "row_id")
+    together = fitted_together(voxels, components, gain, rounds).join(components, "row_id")
     return alone.withColumn("component", F.lit(None).cast(components.schema["component"].dataType)).unionByName(together)

@@ -32,6 +32,50 @@ def grid_nodes(points: DataFrame, step: float, n: int) -> DataFrame:
     return points.filter(inside).groupBy(*(a.alias(c) for a, c in zip(at, "xyz", strict=True))).agg(F.count("*").alias("n"))
 
 
+def hemisphere(step: float) -> np.ndarray:
+    """Directions about `step` degrees apart, evenly over half a sphere: a Fibonacci lattice."""
+    n = max(64, int(2 * np.pi / np.radians(step) ** 2))
+    k = np.arange(n)
+    z = 1 - (k + 0.5) / n
+    r, turn = np.sqrt(np.maximum(0, 1 - z * z)), np.pi * (3 - np.sqrt(5)) * k
+    return np.stack([r * np.cos(turn), r * np.sin(turn), z], axis=1)
+
+
+def grid_vectors(points: DataFrame, lengths: list[float], step: float = 1.0, keep: int = 30, collinear: float = 5.0) -> list[tuple[np.ndarray, float]]:
+    """Candidate vectors of known lengths: of all directions of a grid and all lengths, those along which the points (x, y, z) lie best in planes.
+
+    The score of a vector is the sum over points of cos(2 pi r.v). Each task adds up its points for all vectors in
+    blocks, and only such sums, as many as the grid has vectors, are added by a shuffle and reach the driver, where
+    vectors within `collinear` degrees of a better one are passed over.
+    """
+    own = [v for k, v in enumerate(lengths) if not any(abs(v - u) < 0.01 * u for u in lengths[:k])]
+    directions = hemisphere(step)
+    n = len(directions)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(own), n))
+        for batch in batches:
+            at = np.stack([batch.column(c).to_numpy() for c in "xyz"], axis=1)
+            for low in range(0, len(at), 256):
+                along = 2 * np.pi * (at[low : low + 256] @ directions.T)
+                for k, length in enumerate(own):
+                    total[k] += np.cos(along * length).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["vector", "score"])
+
+    known = points.select(*(F.col(c).cast("double").alias(c) for c in "xyz")).dropna()
+    sums = known.mapInArrow(run, "vector long, score double").groupBy("vector").agg(F.sum("score").alias("score")).orderBy(F.desc("score"), "vector").toArrow()  # of the grid's size
+    limit, kept = np.cos(np.radians(collinear)), []
+    units = np.zeros((0, 3))
+    for vector, score in zip(sums.column("vector").to_numpy().tolist(), sums.column("score").to_numpy().tolist(), strict=True):
+        if len(kept) == keep:
+            break
+        u = directions[vector % n]
+        if not (np.abs(units @ u) > limit).any():
+            units = np.vstack([units, u])
+            kept.append((u * own[vector // n], score))
+    return kept
+
+
 def fft_vectors(nodes: np.ndarray, counts: np.ndarray, step: float, n: int, longest: float, shortest: float = 3.0, most: int = 30) -> list[tuple[np.ndarray, float]]:
     """Peaks of the Fourier transform of spots on a grid: candidate vectors and their heights, strongest first."""
     grid = np.zeros((n, n, n), dtype=np.float32)

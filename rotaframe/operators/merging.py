@@ -108,6 +108,21 @@ def correlation_of_halves(halves: DataFrame, by: list[str], least: int = 3) -> D
     return halves.groupBy(*by).agg(F.count("*").alias("groups"), F.when(F.count("*") >= least, F.coalesce(F.corr("first", "second"), F.lit(0.0))).otherwise(F.lit(0.0)).alias("cc_half"))
 
 
+def cc_half_by_resolution(rows: DataFrame, keys: list[str], value: str, d: str, order: Column, least: int = 10, bins: int = 50, significance: float = 0.1) -> DataFrame:
+    """By bins of equal counts of groups, from low resolution to high: bin, groups, d_min (that of its last group), cc_half and critical.
+
+    Groups of two or more observations count; d is constant in a group. critical is what the correlation of that many
+    unrelated pairs exceeds by chance in `significance` of all cases, null for two groups or fewer.
+    """
+    from rotaframe.functions.stats import student_t_quantile
+
+    halves = half_sets(rows, keys, value, order).join(rows.groupBy(*keys).agg(F.min(d).alias("_d")), keys)
+    binned = equal_count_bins(halves, [F.desc("_d"), *(F.asc(k) for k in keys)], least, bins)
+    found = correlation_of_halves(binned, ["bin"]).join(binned.groupBy("bin").agg(F.min("_d").alias("d_min")), "bin")
+    critical = F.udf(lambda n: None if n <= 2 else (t := student_t_quantile(1 - significance, n - 2)) / (n - 2 + t * t) ** 0.5, "double")  # a row a bin
+    return found.select("bin", "groups", "d_min", "cc_half", critical("groups").alias("critical"))
+
+
 def resolution_shell(d: Column, d_min: float, d_max: float, shells: int) -> Column:
     """Shells of equal steps of 1/d^3, from 0 at d_max; values beyond the ends go to the end shells."""
     low, high = 1 / d_max**3, 1 / d_min**3

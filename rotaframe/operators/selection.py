@@ -109,9 +109,9 @@ def for_postrefinement(rows: DataFrame, residuals: tuple[str, str, str] = ("xres
 
 
 def held_out(rows: DataFrame, excluded: DataFrame, row_id: str, part: float, seed: int = 0) -> DataFrame:
-    """Rows that aren't excluded, with `held_out`: a hashed share of them, the same in every run."""
-    share = (F.xxhash64(F.lit(seed), row_id).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)) < part
-    return rows.join(excluded.select(row_id).distinct(), row_id, "left_anti").withColumn("held_out", share)
+    """Rows that aren't excluded, with `held_out`: a hashed share of them (the first 32 bits of the MD5 of `seed:id`), the same in every run."""
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(row_id).cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    return rows.join(excluded.select(row_id).distinct(), row_id, "left_anti").withColumn("held_out", bits < int(part * (1 << 32)))
 
 
 def joined_experiments(lists: list[DataFrame], models: list[str]) -> DataFrame:

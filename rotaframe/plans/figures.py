@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rotaframe.functions import geometry
-from rotaframe.operators import joins, merging, selection, statistics
+from rotaframe.operators import joins, merging, selection, statistics, wilson
 from rotaframe.operators.statistics import QUANTILE_BOTTOM, QUANTILE_TOP
 
 from .queries import cents, micros, table
@@ -141,11 +141,11 @@ def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH o AS ({OBSERVATIONS}), s AS (SELECT part, sum(g * i / v) / sum(g * g / v) AS m FROM o GROUP BY 1)
-SELECT part, count(*) AS n, round(sum(g * m), 2) AS model_i, round(sum(v0 + line * greatest(g * m, 0)), 0) AS v FROM o JOIN s USING (part) GROUP BY 1
+SELECT ord, line, supp, i, round(g * m, 3) AS model_i, round(v0 + line * greatest(g * m, 0), 1) AS v FROM o JOIN s USING (part)
 """)
 def model_variances(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = statistics.model_variances(observations(spark, sf_dir), ["part"], "v0", "line")
-    return out.groupBy("part").agg(F.count("*").alias("n"), F.round(F.sum("model_i"), 2).alias("model_i"), F.round(F.sum("v"), 0).alias("v"))
+    return out.select("ord", "line", "supp", "i", F.round("model_i", 3).alias("model_i"), F.round("v", 1).alias("v"))
 
 
 @query(f"""
@@ -226,10 +226,10 @@ def postrefinement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(selection.for_postrefinement(rows), {"xres": 9}).select("ord", "line", "h", "k", "l", "xres")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
+@query("SELECT o_orderkey, ('0x' || substr(md5('0:' || o_orderkey), 1, 8))::BIGINT < 214748364 AS held_out FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
 def rows_to_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     excluded = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
-    return selection.held_out(table(spark, sf_dir, "orders").select("o_orderkey"), excluded, "o_orderkey", 0.05).select("o_orderkey")
+    return selection.held_out(table(spark, sf_dir, "orders").select("o_orderkey"), excluded, "o_orderkey", 0.05).select("o_orderkey", "held_out")
 
 
 @query("""
@@ -374,3 +374,35 @@ def first_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("id")
     panels = spark.range(6).select(F.lit(0).alias("detector"), i.alias("panel"), F.struct((-90.1 + 60 * (i % 3)).alias("x"), (70.0 - 75 * F.floor(i / 3)).alias("y"), (-240.0 - i).alias("z")).alias("origin"), g["fast"].alias("fast"), g["slow"].alias("slow"), F.lit(62.0).alias("width"), F.lit(70.0).alias("height"))
     return joins.first_panel(own, panels, "detector").select("ord", "line", "part", "panel", near(F.col("x_mm"), 8).alias("x_mm"), near(F.col("y_mm"), 8).alias("y_mm"))
+
+
+HALVES = f"""h AS (SELECT part, any_value(1.0::DOUBLE + (part * 7919 % 4001) / 1000.0::DOUBLE) AS d, avg(i) FILTER (half = 1) AS a, avg(i) FILTER (half = 0) AS b FROM (SELECT part, i, row_number() OVER (PARTITION BY part ORDER BY {", ".join(IN_ORDER)}) % 2 AS half FROM ({OBSERVATIONS})) GROUP BY 1)"""
+
+
+@query(f"""
+WITH {HALVES}, n AS (SELECT *, row_number() OVER (ORDER BY d DESC, part) - 1 AS rn, count(*) OVER () AS nr FROM h WHERE a IS NOT NULL AND b IS NOT NULL),
+s AS (SELECT *, greatest(10, nr // 50) AS size FROM n), b AS (SELECT *, least(rn // size, greatest(nr // size - CASE WHEN nr % size < size // 2 THEN 1 ELSE 0 END, 0)) AS bin FROM s)
+SELECT CAST(bin AS INTEGER) AS bin, count(*) AS groups, min(d) AS d_min, round(coalesce(corr(a, b), 0), 8) AS cc_half FROM b GROUP BY 1
+""")
+def cc_half_by_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shells of equal counts with their CC half; the critical value, which SQL lacks the distribution for, is tested apart."""
+    rows = observations(spark, sf_dir).withColumn("d", 1.0 + F.col("part") * 7919 % 4001 / 1000.0)
+    out = merging.cc_half_by_resolution(rows, ["part"], "i", "d", F.struct(*IN_ORDER))
+    return out.select("bin", "groups", "d_min", F.round("cc_half", 8).alias("cc_half"))
+
+
+# Vectors of a lattice of 40 x 50 x 60 Angstrom and a planted scale and tensor.
+PLANTED = (9.0, (18.0, 22.0, 30.0, 3.0, -2.0, 1.5))
+FALLING = """SELECT l_orderkey AS ord, l_linenumber AS line, l_suppkey AS supp, l_partkey AS part, (1 + l_partkey % 17) / 40.0::DOUBLE AS x, (1 + l_suppkey % 19) / 50.0::DOUBLE AS y, (1 + l_orderkey % 23) / 60.0::DOUBLE AS z FROM lineitem"""
+
+
+@query(f"SELECT ord, line, supp, part, 1.0::DOUBLE AS i FROM (SELECT *, x * x + y * y + z * z AS s FROM ({FALLING}))")
+def wilson_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intensities that fall off as a tensor says come out level, once the tensor is found."""
+    li = table(spark, sf_dir, "lineitem")
+    rows = li.select(F.col("l_orderkey").alias("ord"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("supp"), F.col("l_partkey").alias("part"), ((1 + F.col("l_partkey") % 17) / 40.0).alias("x"), ((1 + F.col("l_suppkey") % 19) / 50.0).alias("y"), ((1 + F.col("l_orderkey") % 23) / 60.0).alias("z"))
+    x, y, z = F.col("x"), F.col("y"), F.col("z")
+    b = PLANTED[1]
+    fall = 0.5 * (x * x * b[0] + y * y * b[1] + z * z * b[2]) + x * y * b[3] + x * z * b[4] + y * z * b[5]
+    rows = rows.withColumns({"i": F.exp(PLANTED[0] - fall), "sigma": F.lit(1.0), "d": 1 / F.sqrt(x * x + y * y + z * z), "row_id": F.struct("ord", "line", "supp", "part")})
+    return wilson.normalised(rows, "row_id").select("ord", "line", "supp", "part", F.round("i", 5).alias("i"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rotaframe.operators import fits, images, shoeboxes
+from rotaframe.operators import fits, shoeboxes
 from rotaframe.operators.storage import checkpoint, shared_folder
 from rotaframe.sources import frames
 
@@ -24,19 +24,19 @@ from .registry import query
 ROWS, WIDTH = 32, 64
 
 
-def images_of_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def images_of_vectors(spark: SparkSession, sf_dir: str, dark: int = 0) -> DataFrame:
     """(sweep, frame, pixels): a vector is a row of a frame of 32, missing rows are dark, and every seventh frame was never written."""
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda e: F.floor(F.abs(e.cast("double")) * 1000)).alias("row"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda e: F.greatest(F.floor(F.abs(e.cast("double")) * 1000) - dark, F.lit(0).cast("long"))).alias("row"))
     rows = rows.select(F.lit(0).alias("sweep"), F.expr(f"CAST(id DIV {ROWS} AS INT)").alias("frame"), (F.col("id") % ROWS).cast("int").alias("y"), "row")
-    dark = F.array_repeat(F.lit(0).cast("long"), WIDTH)
+    none = F.array_repeat(F.lit(0).cast("long"), WIDTH)
     held = rows.groupBy("sweep", "frame").agg(F.map_from_entries(F.collect_list(F.struct("y", "row"))).alias("rows"))  # 32 of them
-    pixels = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(ROWS - 1)), lambda y: F.coalesce(F.try_element_at("rows", y), dark)))
+    pixels = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(ROWS - 1)), lambda y: F.coalesce(F.try_element_at("rows", y), none)))
     return held.select("sweep", "frame", F.when(F.col("frame") % 7 != 3, pixels).alias("pixels"))
 
 
-def written_frames(spark: SparkSession, sf_dir: str, layout: frames.Layout) -> DataFrame:
+def written_frames(spark: SparkSession, sf_dir: str, layout: frames.Layout, dark: int = 0) -> DataFrame:
     """The stored index of those frames' chunks."""
-    held = checkpoint(images_of_vectors(spark, sf_dir))
+    held = checkpoint(images_of_vectors(spark, sf_dir, dark))
     return checkpoint(frames.write_chunks(held, f"{shared_folder(spark)}/chunks-{uuid.uuid4().hex}", layout))
 
 
@@ -56,7 +56,7 @@ def frames_from_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spots_from_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From chunks to measured spots, over all frames; tests/test_frames.py holds it against plain loops."""
     layout = frames.Layout(ROWS, WIDTH, algorithm="lz4")
-    found = frames.spots(written_frames(spark, sf_dir, layout), layout, threshold=images.Threshold(background_sigmas=1.0, signal_sigmas=1.0), least=1)
+    found = frames.spots(written_frames(spark, sf_dir, layout, dark=260), layout, least=1)
     return found.select("sweep", "n_signal", "total", *(F.round(f"c_{k}", 6).alias(f"c_{k}") for k in "xyz"))
 
 

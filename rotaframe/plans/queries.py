@@ -239,12 +239,13 @@ def components_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 300 AS a, l_suppkey % 70 + 1000 AS b FROM lineitem WHERE l_linenumber = 7 AND l_quantity < 3),
+WITH RECURSIVE e AS (SELECT o_orderkey AS a, -1 - o_custkey AS b FROM orders),
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS seen FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.seen)
 SELECT node, min(seen) AS component FROM r GROUP BY 1
 """)
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "lineitem").filter("l_linenumber = 7 AND l_quantity < 3").select((F.col("l_partkey") % 300).alias("a"), (F.col("l_suppkey") % 70 + 1000).alias("b"))
+    """All orders and their customers, those with numbers below 0."""
+    e = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("a"), (-1 - F.col("o_custkey")).alias("b"))
     return joins.connected_components(e, "a", "b")
 
 
@@ -282,19 +283,19 @@ def trend_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("bin", "n", "median_x", F.round("median_ratio", 5).alias("median_ratio"), F.round("pearson", 8).alias("pearson"), F.round("spearman", 8).alias("spearman"), F.round("spread", 4).alias("spread"), "outliers")
 
 
-FLAG_SQL = "(CASE WHEN l_returnflag = 'R' THEN 32 ELSE 0 END + CASE WHEN l_linestatus = 'F' THEN 4 ELSE 0 END + CASE WHEN l_quantity > 25 THEN 512 ELSE 0 END)"
+# Each flag is set by its own remainder of the part, in SQL and by the operator.
+FLAG_SQL = " + ".join(f"CASE WHEN (l_partkey + l_suppkey) % {k + 2} = 0 THEN {1 << bit} ELSE 0 END" for k, bit in enumerate(selection.FLAGS.values()))
 
 
 @query(f"""
-WITH f AS (SELECT l_linenumber AS id, {FLAG_SQL} AS flags FROM lineitem)
-SELECT id, count(*) AS rows, CAST(sum(CASE WHEN flags & 32 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS strong, CAST(sum(CASE WHEN flags & 4 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS indexed,
-  CAST(sum(CASE WHEN flags & 512 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS integrated_prf FROM f GROUP BY 1
+WITH f AS (SELECT l_linenumber AS id, ({FLAG_SQL})::BIGINT AS flags FROM lineitem)
+SELECT id, count(*) AS rows, {", ".join(f"CAST(sum(CASE WHEN flags & {1 << bit} <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS {name}" for name, bit in selection.FLAGS.items())} FROM f GROUP BY 1
 """)
 def flag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("id"), F.lit(0).cast("long").alias("flags"), "l_returnflag", "l_linestatus", "l_quantity")
-    for name, where in (("strong", F.col("l_returnflag") == "R"), ("indexed", F.col("l_linestatus") == "F"), ("integrated_prf", F.col("l_quantity") > 25)):
-        rows = rows.withColumn("flags", selection.set_flag(name, where))
-    return selection.flag_counts(rows, "id").select("id", "rows", "strong", "indexed", "integrated_prf")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("id"), F.lit(0).cast("long").alias("flags"), (F.col("l_partkey") + F.col("l_suppkey")).alias("_by"))
+    for k, name in enumerate(selection.FLAGS):
+        rows = rows.withColumn("flags", selection.set_flag(name, F.col("_by") % (k + 2) == 0))
+    return selection.flag_counts(rows, "id")
 
 
 @query("""
@@ -353,11 +354,11 @@ def largest_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH li AS ({LINES}), m AS (SELECT disc AS shell, avg(x) AS m FROM li GROUP BY 1), z AS (SELECT x / m AS z FROM li JOIN m ON li.disc = m.shell)
-SELECT count(*) AS n, round(avg(abs(z - 1)), 8) AS mean_abs_e2, round(avg(z * z), 8) AS moment_2, round(avg(CASE WHEN z <= 0.5 THEN 1.0::DOUBLE ELSE 0 END), 8) AS n_5, round(avg(CASE WHEN z <= 1 THEN 1.0::DOUBLE ELSE 0 END), 8) AS n_10 FROM z
+SELECT count(*) AS n, round(avg(abs(z - 1)), 8) AS mean_abs_e2, round(avg(z * z), 8) AS moment_2, {", ".join(f"round(avg(CASE WHEN z <= {k} / 10.0::DOUBLE THEN 1.0::DOUBLE ELSE 0 END), 8) AS n_{k}" for k in range(1, 11))} FROM z
 """)
 def intensity_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = merging.intensity_moments(lineitem(spark, sf_dir).select(F.col("disc").alias("shell"), "x"), "shell", "x")
-    return out.select("n", *(F.round(c, 8).alias(c) for c in ("mean_abs_e2", "moment_2", "n_5", "n_10")))
+    return out.select("n", *(F.round(c, 8).alias(c) for c in ("mean_abs_e2", "moment_2", *(f"n_{k}" for k in range(1, 11)))))
 
 
 @query(f"""
@@ -428,14 +429,14 @@ def model_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH u AS (SELECT DISTINCT l_partkey % 40 AS h, l_suppkey % 25 AS k FROM lineitem WHERE l_quantity > 45), p AS (SELECT a.i AS h, b.j AS k FROM range(0, 40) a(i), range(0, 25) b(j)),
+WITH u AS (SELECT DISTINCT l_partkey % 400 AS h, l_suppkey % 250 AS k FROM lineitem), p AS (SELECT a.i AS h, b.j AS k FROM range(0, 400) a(i), range(0, 250) b(j)),
 x AS (SELECT CAST((p.h + p.k) // 16 AS INTEGER) AS shell, u.h IS NOT NULL AS seen FROM p LEFT JOIN u ON p.h = u.h AND p.k = u.k)
 SELECT shell, count(*) AS possible, CAST(sum(CASE WHEN seen THEN 1 ELSE 0 END) AS BIGINT) AS seen, round(avg(CASE WHEN seen THEN 1.0::DOUBLE ELSE 0 END), 9) AS completeness FROM x GROUP BY ROLLUP (shell)
 """)
 def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     shell = F.floor((F.col("h") + F.col("k")) / 16).cast("int").alias("shell")
-    seen = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select((F.col("l_partkey") % 40).alias("h"), (F.col("l_suppkey") % 25).alias("k")).distinct()
-    possible = spark.range(40).withColumnRenamed("id", "h").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(24))))
+    seen = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 400).alias("h"), (F.col("l_suppkey") % 250).alias("k")).distinct()
+    possible = spark.range(400).withColumnRenamed("id", "h").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(249))))
     out = merging.completeness(seen.withColumn("shell", shell), possible.withColumn("shell", shell), "shell")
     return out.select("shell", "possible", "seen", F.round("completeness", 9).alias("completeness"))
 
