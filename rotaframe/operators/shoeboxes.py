@@ -398,36 +398,39 @@ def normal_cdf(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, 1 - tail, tail)
 
 
+def range_likelihoods(samples: DataFrame, oscillation: float, widths: list[float], min_zeta: float = 0.05, weighted: bool = False) -> DataFrame:
+    """(nth, log_likelihood) of each of the widths sigma_m in degrees, for images of `oscillation` degrees.
+
+    A sample's density is the part of a normal distribution of width sigma_m / |zeta| that its image records, over the
+    image's width. All widths are tried in one pass, of which a task sends only its sums.
+    """
+    step, tried = math.radians(oscillation), np.radians(widths)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(tried))
+        for batch in batches:
+            delta, zeta, counts = (batch.column(c).to_numpy() for c in ("delta", "zeta", "counts"))
+            for k, sigma in enumerate(tried):
+                scale = np.abs(zeta) / sigma
+                part = (normal_cdf((delta + step / 2) * scale) - normal_cdf((delta - step / 2) * scale)) / step
+                total[k] += (counts * np.log(np.maximum(part, 1e-300))).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(tried), dtype=np.int32)), pa.array(total)], names=["nth", "log_likelihood"])
+
+    own = samples.filter(F.abs("zeta") >= min_zeta).select("delta", "zeta", (F.col("counts") if weighted else F.lit(1.0)).alias("counts"))
+    return own.mapInArrow(run, "nth int, log_likelihood double").groupBy("nth").agg(F.sum("log_likelihood").alias("log_likelihood"))
+
+
 def reflecting_range(samples: DataFrame, oscillation: float, min_zeta: float = 0.05, weighted: bool = False, low: float = 0.001, high: float = 2.0, at_once: int = 32, tolerance: float = 1e-9) -> float | None:
     """sigma_m in degrees of greatest likelihood, for images of `oscillation` degrees; None with fewer than two samples.
 
-    A sample's density is the part of a normal distribution of width sigma_m / |zeta| that its image records. All
-    `at_once` widths between the ends are tried in one pass over the samples, of which a task sends only its sums, and
-    the next pass lies between the neighbours of the best: the likelihood has one peak.
+    Each pass tries `at_once` widths between the ends, and the next lies between the neighbours of the best: the
+    likelihood has one peak. samples are read in each pass, so they should be stored.
     """
-    from .storage import checkpoint
-
-    own = checkpoint(samples.filter(F.abs("zeta") >= min_zeta).select("delta", "zeta", (F.col("counts") if weighted else F.lit(1.0)).alias("counts")))
-    if own.count() < 2:
+    if samples.filter(F.abs("zeta") >= min_zeta).limit(2).count() < 2:
         return None
-    step = math.radians(oscillation)
-    names = [f"c{k}" for k in range(at_once)]
-    a, b = math.radians(low), math.radians(high)
-    while b - a > math.radians(tolerance):
-        widths = np.linspace(a, b, at_once + 2)[1:-1]
-
-        def run(batches: Iterator[pa.RecordBatch], widths: np.ndarray = widths) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(at_once)
-            for batch in batches:
-                delta, zeta, counts = (batch.column(c).to_numpy() for c in ("delta", "zeta", "counts"))
-                for k, sigma in enumerate(widths):
-                    scale = np.abs(zeta) / sigma
-                    part = (normal_cdf((delta + step / 2) * scale) - normal_cdf((delta - step / 2) * scale)) / step
-                    total[k] += (counts * np.log(np.maximum(part, 1e-300))).sum()
-            yield pa.RecordBatch.from_arrays([pa.array([t]) for t in total], names=names)
-
-        sums = own.mapInArrow(run, ", ".join(f"{n} double" for n in names)).agg(*(F.sum(n).alias(n) for n in names)).first()  # one row
-        best = int(np.argmax([sums[n] for n in names]))
-        ends = np.concatenate([[a], widths, [b]])
-        a, b = ends[best], ends[best + 2]
-    return math.degrees((a + b) / 2)
+    while high - low > tolerance:
+        ends = np.linspace(low, high, at_once + 2)
+        found = range_likelihoods(samples, oscillation, ends[1:-1].tolist(), min_zeta, weighted).collect()  # a row a width
+        best = max(found, key=lambda r: (r.log_likelihood, -r.nth)).nth
+        low, high = float(ends[best]), float(ends[best + 2])
+    return (low + high) / 2

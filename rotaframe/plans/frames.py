@@ -13,11 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rotaframe.functions import geometry
 from rotaframe.operators import fits, shoeboxes
 from rotaframe.operators.storage import checkpoint, shared_folder
 from rotaframe.sources import frames
 
-from .figures import near, rays
+from .figures import horner, near, rays
 from .queries import table
 from .registry import query
 
@@ -122,16 +123,30 @@ def unobservable_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row_id", "unobservable")
 
 
-@query("""
-WITH l AS (SELECT 0.1 + (l_partkey % 90) / 100.0::DOUBLE AS zeta, radians((l_quantity - 25.5) * 0.02) / (0.1 + (l_partkey % 90) / 100.0::DOUBLE) AS delta FROM lineitem)
-SELECT count(*) AS samples, CAST(1 AS BIGINT) AS widths FROM l
+TRIED = [0.12, 0.2, 0.28, 0.29, 0.3, 0.4, 0.7, 1.1]
+
+
+def below(x: str) -> str:
+    """The normal distribution function as geometry has it."""
+    close = f"least(abs({x}), 7.07::DOUBLE)"
+    tail = f"(exp(least(abs({x}), 38) ** 2 / -2) * {horner(geometry.TAIL_TOP, close)} / {horner(geometry.TAIL_BOTTOM, close)})"
+    return f"CASE WHEN {x} > 0 THEN 1 - {tail} ELSE {tail} END"
+
+
+@query(f"""
+WITH l AS (SELECT 0.1 + (l_partkey % 90) / 100.0::DOUBLE AS zeta, radians((l_quantity - 25.5) * 0.02) / (0.1 + (l_partkey % 90) / 100.0::DOUBLE) AS delta FROM lineitem),
+t AS (SELECT sigma, (delta + radians(0.05)) * zeta / radians(sigma) AS hi, (delta - radians(0.05)) * zeta / radians(sigma) AS lo FROM l, (SELECT unnest({TRIED})::DOUBLE AS sigma)),
+s AS (SELECT sigma, sum(ln(greatest(({below("hi")} - {below("lo")}) / radians(0.1), 1e-300))) AS total FROM t GROUP BY 1)
+SELECT sigma, round(total, 2) AS log_likelihood, total = (SELECT max(total) FROM s) AS best FROM s
 """)
-def reflecting_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The width along the rotation of greatest likelihood, as a table; tests/test_frames.py holds the width against planted ones."""
+def range_likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How likely widths along the rotation make the samples of all order lines."""
     zeta = 0.1 + F.col("l_partkey") % 90 / 100.0
     samples = table(spark, sf_dir, "lineitem").select((F.radians((F.col("l_quantity") - 25.5) * 0.02) / zeta).alias("delta"), zeta.alias("zeta"), F.lit(1.0).alias("counts"))
-    sigma = shoeboxes.reflecting_range(samples, 0.1)
-    return samples.agg(F.count("*").alias("samples"), F.sum(F.lit(int(sigma is not None and 0.001 < sigma < 2.0))).alias("widths")).select("samples", F.least("widths", F.lit(1)).cast("long").alias("widths"))
+    found = checkpoint(shoeboxes.range_likelihoods(samples, 0.1, TRIED))
+    top = F.broadcast(found.agg(F.max("log_likelihood").alias("top")))  # one row
+    sigma = F.element_at(F.array(*(F.lit(v) for v in TRIED)), F.col("nth") + 1)
+    return found.join(top).select(sigma.alias("sigma"), F.round("log_likelihood", 2).alias("log_likelihood"), (F.col("log_likelihood") == F.col("top")).alias("best"))
 
 
 # Orders in threes on one panel each, 2.2 pixels apart, so that their foregrounds touch; each has a flat background of 3.
