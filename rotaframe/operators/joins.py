@@ -201,13 +201,15 @@ def combine_runs(frames: list[DataFrame], id_col: str) -> tuple[DataFrame, list[
     types = [dict(f.dtypes) for f in frames]
     common = [c for c in frames[0].columns if all(t.get(c) == types[0][c] for t in types)]
     dropped = sorted({c for t in types for c in t} - set(common))
-    out, shift = None, F.lit(0).cast("long")
-    for f in frames:
-        own = f.select(*(F.col(c) for c in common if c != id_col), (F.col(id_col) + shift).alias(id_col))
+    out = None
+    for n, f in enumerate(frames):
+        own = f.select(*(F.col(c) for c in common if c != id_col), F.col(id_col).cast("long").alias(id_col), F.lit(n).alias("_run"))
         out = own if out is None else out.unionByName(own)
-        top = f.agg(F.max(id_col)).first()[0]
-        shift = shift + F.lit(0 if top is None else top + 1)
-    return out, dropped
+    sizes = out.groupBy("_run").agg((F.max(id_col) + 1).alias("_size"))  # a row a run
+    before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_run", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    out = out.join(F.broadcast(starts), "_run").withColumn(id_col, F.col(id_col) + F.col("_start"))
+    return out.drop("_run", "_start"), dropped
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
