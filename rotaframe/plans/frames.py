@@ -18,7 +18,7 @@ from rotaframe.operators import fits, shoeboxes
 from rotaframe.operators.storage import checkpoint, shared_folder
 from rotaframe.sources import frames
 
-from .figures import horner, near, rays
+from .figures import horner, near
 from .queries import table
 from .registry import query
 
@@ -82,9 +82,9 @@ VOXELS = """v AS (SELECT row_id, x, y, z, ((e1x * ox + e1y * oy) ** 2 + (e2x * o
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as predicted reflections, one for each order and number."""
-    rows, _ = rays(spark, sf_dir)
-    own = rows.groupBy("ord", "line").agg(F.min(F.struct("part", "x", "y")).alias("p"), F.min((F.col("ord") % 50000) * 0.2 + F.col("line") * 0.03).alias("deg"))
-    x, y = F.col("p.x"), F.col("p.y")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ord"), F.col("l_linenumber").alias("line"), F.struct(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp")).alias("p"))
+    own = rows.groupBy("ord", "line").agg(F.min("p").alias("p")).withColumn("deg", (F.col("ord") % 50000) * 0.2 + F.col("line") * 0.03)
+    x, y = F.col("p.part") % 200 + 0.25, F.col("p.supp") % 150 + 0.5
     length = F.sqrt((x - 100) * (x - 100) + (75 - y) * (75 - y) + 62500) * 0.9
     return own.select((F.col("ord") * 8 + F.col("line")).alias("row_id"), F.lit(0).alias("id"), F.lit(0).alias("panel"), ((x - 100) / length).alias("s1_x"), ((75 - y) / length).alias("s1_y"), (-250 / length).alias("s1_z"), F.radians("deg").alias("phi"), (x / 0.2).alias("px"), (y / 0.2).alias("py"))
 

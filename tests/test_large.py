@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 from rotaframe.operators import joins, storage
+from rotaframe.plans import frames as plans
 
 
 def test_rounds_of_components_do_not_grow_with_their_width(spark, monkeypatch):
@@ -20,3 +21,10 @@ def test_rounds_of_components_do_not_grow_with_their_width(spark, monkeypatch):
     got = {r.node: r.component for r in joins.connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {**dict.fromkeys(ids[:399], min(ids[:399])), ids[399]: ids[399]}
     assert len(tables) < 20
+
+
+def test_of_repeated_order_lines_the_least_supplier_stands(spark, tmp_path):
+    # the supplier that comes first has the larger place: 150 is 0 on the panel, 20 is 20
+    spark.createDataFrame([(1, 2, 7, 150), (1, 2, 7, 20), (1, 2, 9, 3), (3, 1, 4, 8)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r.row_id: (round(r.px * 0.2, 6), round(r.py * 0.2, 6)) for r in plans.predictions(spark, str(tmp_path)).collect()}
+    assert got == {10: (7.25, 20.5), 25: (4.25, 8.5)}
