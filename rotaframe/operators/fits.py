@@ -5,8 +5,8 @@ and a mask as shoeboxes.masks gives it). Both ways find the scale of the profile
 model expects of each pixel, in a few rounds: an intensity is the scale times the profile's sum over the whole
 foreground, measured or not, so a reflection half in a gap isn't made half as strong.
 
-Reflections that touch are solved together. Where their boxes meet, voxels become rows, and Spark finds the sets of
-reflections that touch and deals whole sets to tasks. A task takes many sets at once: products of all pairs that share
+Reflections that touch are solved together. Where their boxes meet, voxels of foregrounds become rows, and Spark finds the
+sets of reflections that touch and deals the boxes of whole sets to tasks. A task takes many sets at once: products of all pairs that share
 a voxel are summed to a block for each set, and blocks of one size are solved as one array.
 
 Failures are named: a foreground without a measured voxel, a profile that has nothing on the foreground, a singular system.
@@ -19,8 +19,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .joins import connected_components, overlaps
 from .shoeboxes import BACKGROUND, BOX, FOREGROUND, VALID
@@ -83,38 +84,34 @@ def fitted_alone(boxes: DataFrame, gain: float = 1.0, rounds: int = 3) -> DataFr
     return boxes.select("row_id", "pixels", "background", "profile", "mask").mapInArrow(run, f"row_id {kind}, {OUT}")
 
 
-def _voxels(boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, x, y, z, row_id, data, background, profile, bits): a row a voxel of every box."""
+def _places(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """For all voxels of a batch's boxes, one box after another: their box, x, y and z, and their mask."""
+    box = np.stack([batch.column(c).to_numpy() for c in BOX], axis=1).astype(np.int64)
+    size = box[:, 1::2] - box[:, ::2]
+    n = size.prod(axis=1)
+    of = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(of)) - (np.cumsum(n) - n)[of]
+    place = [at % size[of, 0], at // size[of, 0] % size[of, 1], at // (size[of, 0] * size[of, 1])]
+    return of, [p + box[of, 2 * k] for k, p in enumerate(place)], np.frombuffer(b"".join(batch.column("mask").to_pylist()), dtype=np.uint8)
+
+
+def touching(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """(row_id, component) of boxes whose foregrounds share a voxel, directly or through others."""
+    place = [*keys, "x", "y", "z"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            box = np.stack([batch.column(c).to_numpy() for c in BOX], axis=1).astype(np.int64)
-            size = box[:, 1::2] - box[:, ::2]
-            n = size.prod(axis=1)
-            of = np.repeat(np.arange(len(n)), n)
-            at = np.arange(len(of)) - (np.cumsum(n) - n)[of]
-            place = [at % size[of, 0], at // size[of, 0] % size[of, 1], at // (size[of, 0] * size[of, 1])]
-            rows = pa.array(of)
-            mask = np.frombuffer(b"".join(batch.column("mask").to_pylist()), dtype=np.uint8)
-            columns = [batch.column(k).take(rows) for k in (*keys, "row_id")] + [pa.array((place[k] + box[of, 2 * k]).astype(np.int32)) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(_flat(batch, c)) for c in ("pixels", "background", "profile")), pa.array(mask.astype(np.int32))], names=[*keys, "row_id", "x", "y", "z", "data", "background", "profile", "bits"])
+            of, at, mask = _places(batch)
+            front = np.flatnonzero(mask & FOREGROUND)
+            rows = pa.array(of[front])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(rows) for k in (*keys, "row_id")), *(pa.array(p[front].astype(np.int32)) for p in at)], names=[*keys, "row_id", "x", "y", "z"])
 
-    own = boxes.select(*keys, "row_id", *BOX, "pixels", "background", "profile", "mask")
+    own = boxes.select(*keys, "row_id", *BOX, "mask")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in boxes.select(*keys, "row_id").schema)
-    return own.mapInArrow(run, f"{kinds}, x int, y int, z int, data double, background double, profile double, bits int")
-
-
-def _bit(name: str, bits: int) -> Column:
-    return F.col(name).bitwiseAND(F.lit(bits)) == bits
-
-
-def touching(voxels: DataFrame, keys: list[str]) -> DataFrame:
-    """(row_id, component) of boxes whose foregrounds share a voxel, directly or through others."""
-    place = [*keys, "x", "y", "z"]
-    # of the foregrounds on a voxel, each is tied to the least: as connected as all pairs, and one row each
-    front = voxels.filter(_bit("bits", FOREGROUND)).select(*place, "row_id").distinct()
-    least = front.groupBy(*place).agg(F.min("row_id").alias("other"))
-    edges = front.join(least, place).filter(F.col("row_id") != F.col("other")).select("row_id", "other").distinct()
+    front = own.mapInArrow(run, f"{kinds}, x int, y int, z int")
+    # of the foregrounds on a voxel, each is tied to the least: as connected as all pairs, and one row each; a voxel's rows meet once, sorted
+    first = F.min("row_id").over(Window.partitionBy(*place))
+    edges = front.withColumn("other", first).filter(F.col("row_id") != F.col("other")).select("row_id", "other").distinct()
     return connected_components(edges, "row_id", "other").withColumnRenamed("node", "row_id")
 
 
@@ -214,38 +211,49 @@ class _Touching:
         return {"intensity": scale * whole, "variance": (variance + from_back) * whole * whole, "correlation": correlation, "measured": measured, "failure": failure}
 
 
-VOXEL_COLUMNS = ["component", "row_id", "x", "y", "z", "data", "background", "profile", "bits"]
 #: Voxels of whole sets worked on at a time, or one set's.
 AT_ONCE = 1 << 19
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Columns of some whole sets at a time, from rows in the order of sets."""
+    """Voxels of some whole sets at a time, as columns, from boxes in the order of sets."""
     held: list[pa.RecordBatch] = []
     n = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        n += batch.num_rows
-        if n >= AT_ONCE:
-            table = pa.Table.from_batches(held)
-            last = table.column("component").to_numpy()
-            cut = int(np.searchsorted(last, last[-1], side="left"))
-            if cut:
-                yield {c: table.column(c).slice(0, cut).to_numpy() for c in VOXEL_COLUMNS}
-                held, n = table.slice(cut).to_batches(), len(table) - cut
+
+    def columns(boxes: pa.Table) -> dict[str, np.ndarray]:
+        (batch,) = boxes.combine_chunks().to_batches()
+        of, at, mask = _places(batch)
+        ids = {c: batch.column(c).to_numpy()[of] for c in ("component", "row_id")}
+        return ids | dict(zip("xyz", at, strict=True)) | {c: _flat(batch, of_box) for c, of_box in (("data", "pixels"), ("background", "background"), ("profile", "profile"))} | {"bits": mask.astype(np.int32)}
+
+    for whole in batches:
+        # a batch may hold more than is worked on at once
+        voxels = np.cumsum(pa.compute.binary_length(whole.column("mask")).to_numpy().astype(np.int64))
+        cuts = [0, *(np.flatnonzero(np.diff(voxels // AT_ONCE)) + 1).tolist(), whole.num_rows]
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            if low == high:
+                continue
+            held.append(whole.slice(low, high - low))
+            n += int(voxels[high - 1] - (voxels[low - 1] if low else 0))
+            if n >= AT_ONCE:
+                table = pa.Table.from_batches(held)
+                last = table.column("component").to_numpy()
+                cut = int(np.searchsorted(last, last[-1], side="left"))
+                if cut:
+                    yield columns(table.slice(0, cut))
+                    table = table.slice(cut)
+                    held, n = table.to_batches(), int(pa.compute.sum(pa.compute.binary_length(table.column("mask"))).as_py())
     if held:
-        table = pa.Table.from_batches(held)
-        yield {c: table.column(c).to_numpy() for c in VOXEL_COLUMNS}
+        yield columns(pa.Table.from_batches(held))
 
 
-def fitted_together(voxels: DataFrame, components: DataFrame, gain: float = 1.0, rounds: int = 3) -> DataFrame:
-    """(row_id, intensity, variance, correlation, measured, failure) of boxes that touch, from their voxels and components as touching() finds them.
+def fitted_together(boxes: DataFrame, components: DataFrame, gain: float = 1.0, rounds: int = 3) -> DataFrame:
+    """(row_id, intensity, variance, correlation, measured, failure, component) of boxes that touch, and components as touching() finds them.
 
-    Whole sets go to a task, one after another; a set is held whole, and is bounded by MOST. Row ids and components are whole numbers.
+    Boxes of whole sets go to a task, one set after another, and become voxels there; a set is held whole, and is bounded by MOST.
+    Row ids and components are whole numbers.
     """
-    own = voxels.join(components, "row_id").select(*(F.col(c).cast("long") if c in ("component", "row_id") else c for c in VOXEL_COLUMNS))
+    own = boxes.join(components, "row_id").select(*(F.col(c).cast("long") for c in ("component", "row_id")), *BOX, "pixels", "background", "profile", "mask")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _whole_sets(batches):
@@ -253,9 +261,10 @@ def fitted_together(voxels: DataFrame, components: DataFrame, gain: float = 1.0,
             found = work.fit(gain, rounds)
             bad = found["failure"] != ""
             values = [pa.array(found[c], mask=bad) for c in OUT_NAMES[:3]]
-            yield pa.RecordBatch.from_arrays([pa.array(work.rows), *values, pa.array(found["measured"]), pa.array(found["failure"], type=pa.string(), mask=~bad)], names=["row_id", *OUT_NAMES])
+            _, first = np.unique(columns["row_id"], return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(work.rows), *values, pa.array(found["measured"]), pa.array(found["failure"], type=pa.string(), mask=~bad), pa.array(columns["component"][first])], names=["row_id", *OUT_NAMES, "component"])
 
-    return own.repartition("component").sortWithinPartitions("component").mapInArrow(run, f"row_id long, {OUT}")
+    return own.repartition("component").sortWithinPartitions("component").mapInArrow(run, f"row_id long, {OUT}, component long")
 
 
 def fitted_intensities(boxes: DataFrame, keys: list[str] | None = None, tiles: tuple[int, int, int] = (32, 32, 8), gain: float = 1.0, rounds: int = 3) -> DataFrame:
@@ -263,13 +272,13 @@ def fitted_intensities(boxes: DataFrame, keys: list[str] | None = None, tiles: t
 
     keys: what the boxes of touching reflections must share, the panel unless given. boxes are read several times, so they should be stored.
     """
-    from .storage import checkpoint
+    from .storage import written
 
     keys = keys or ["panel"]
     pairs = overlaps(boxes.select("row_id", *keys, *BOX), "row_id", [("x0", "x1"), ("y0", "y1"), ("z0", "z1")], list(tiles), keys)
-    near = pairs.select(F.col("a").alias("row_id")).union(pairs.select("b")).distinct()
-    voxels = checkpoint(_voxels(boxes.join(near, "row_id", "left_semi"), keys))
-    components = checkpoint(touching(voxels, keys))
-    alone = fitted_alone(boxes.join(components, "row_id", "left_anti"), gain, rounds)
-    together = fitted_together(voxels, components, gain, rounds).join(components, "row_id")
-    return alone.withColumn("component", F.lit(None).cast(components.schema["component"].dataType)).unionByName(together)
+    near = pairs.select(F.explode(F.array("a", "b")).alias("row_id")).distinct()
+    components = written(touching(boxes.join(near, "row_id", "left_semi"), keys))
+    alone = fitted_alone(boxes.join(components.hint("merge"), "row_id", "left_anti"), gain, rounds)
+    together = fitted_together(boxes, components.hint("merge"), gain, rounds)
+    kind = components.schema["component"].dataType
+    return alone.withColumn("component", F.lit(None).cast(kind)).unionByName(together.withColumns({c: F.col(c).cast(boxes.schema["row_id"].dataType) for c in ("row_id", "component")}))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from rotaframe.functions import geometry
 from rotaframe.operators import fits, shoeboxes
-from rotaframe.operators.storage import checkpoint, shared_folder
+from rotaframe.operators.storage import checkpoint, shared_folder, written
 from rotaframe.sources import frames
 
 from .figures import horner, near
@@ -156,7 +156,7 @@ STEP, LONG, HIGH, BACK = 2.2, 9, 7, 3.0
 @query("SELECT o_orderkey AS row_id, round(o_totalprice, 2) AS intensity, count(*) OVER (PARTITION BY o_orderkey // 3) > 1 AS together FROM orders")
 def joint_intensities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intensities of touching spots without noise: what was put in comes out."""
-    boxes = checkpoint(touching_spots(spark, sf_dir))
+    boxes = written(touching_spots(spark, sf_dir))
     out = fits.fitted_intensities(boxes, ["panel"])
     return out.select("row_id", F.round("intensity", 2).alias("intensity"), F.col("component").isNotNull().alias("together"))
 

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import random
 
-from rotaframe.operators import joins, storage
+import numpy as np
+import pyarrow as pa
+
+from rotaframe.operators import fits, joins, storage
+from rotaframe.operators.shoeboxes import BOX
 from rotaframe.plans import frames as plans
 
 
@@ -28,3 +32,17 @@ def test_of_repeated_order_lines_the_least_supplier_stands(spark, tmp_path):
     spark.createDataFrame([(1, 2, 7, 150), (1, 2, 7, 20), (1, 2, 9, 3), (3, 1, 4, 8)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
     got = {r.row_id: (round(r.px * 0.2, 6), round(r.py * 0.2, 6)) for r in plans.predictions(spark, str(tmp_path)).collect()}
     assert got == {10: (7.25, 20.5), 25: (4.25, 8.5)}
+
+
+def test_sets_of_touching_boxes_stay_whole_whatever_the_batches(monkeypatch):
+    def batch(k):
+        component = np.repeat(np.arange(2 * k, 2 * k + 3), [2, 2, 1]).astype(np.int64)  # the last set goes on in the next batch
+        arrays = [pa.array([[1.0, 2.0, 3.0, 4.0]] * 5)] * 3
+        ends = [pa.array(np.full(5, v, dtype=np.int32)) for v in (0, 2, 0, 2, 0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(component), pa.array(np.arange(5) + 10 * k), *ends, *arrays, pa.array([bytes([5, 5, 3, 3])] * 5, type=pa.binary())], names=["component", "row_id", *BOX, "pixels", "background", "profile", "mask"])
+
+    monkeypatch.setattr(fits, "AT_ONCE", 8)
+    got = list(fits._whole_sets(iter([batch(k) for k in range(3)])))
+    sets = [set(c["component"].tolist()) for c in got]
+    assert len(sets) > 3 and sum(map(len, sets)) == 7 and set.union(*sets) == set(range(7))
+    assert sum(len(c["x"]) for c in got) == 15 * 4 and got[0]["y"].tolist() == [0, 0, 1, 1] * 2
