@@ -14,14 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from rotaframe.functions.geometry import TAIL_BOTTOM, TAIL_TOP
 
-from .joins import overlaps
-
 # Bits of a voxel's mask.
 VALID, BACKGROUND, FOREGROUND, OVERLAPPED = 1, 2, 4, 32
 #: Why a reflection has no box, in the order in which it is asked.
@@ -236,76 +235,118 @@ def _parts(voxels: np.ndarray) -> Iterator[np.ndarray]:
         at = to
 
 
-def masks(boxes: DataFrame, experiments: Experiments, widths: Widths | Mapping[int, Widths], overlapped: str | None = None) -> DataFrame:
-    """(row_id, mask) of the rows that have a box: a byte a voxel, z slowest, valid and in the foreground or the background.
-
-    overlapped: a column of places of voxels in the foreground of a neighbour, as neighbour_voxels gives them.
-    """
-    kept = boxes.filter(F.col("x0").isNotNull())
-    columns = ["row_id", "id", "panel", *S1, "phi", *BOX]
-    rows = kept.select(*columns, F.coalesce(F.col(overlapped), F.array().cast("array<int>")).alias("_over")) if overlapped else kept.select(*columns)
+def masks(boxes: DataFrame, experiments: Experiments, widths: Widths | Mapping[int, Widths]) -> DataFrame:
+    """(row_id, mask) of the rows that have a box: a byte a voxel, z slowest, valid and in the foreground or the background."""
+    rows = boxes.filter(F.col("x0").isNotNull()).select("row_id", "id", "panel", *S1, "phi", *BOX)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             box = _columns(batch, BOX).astype(np.int64)
-            s1, phi = _columns(batch, S1).astype(float), batch.column("phi").to_numpy().astype(float)
-            ids, panels = batch.column("id").to_numpy(), batch.column("panel").to_numpy()
             for part in _parts((box[:, 1::2] - box[:, ::2]).prod(axis=1)):
-                for i, p, own in _kinds(ids[part], panels[part]):
-                    rows = part[own]
-                    inside, _, _ = _inside(experiments[i], p, s1[rows], phi[rows], _widths(widths, i), box[rows])
-                    mask = np.where(inside, VALID | FOREGROUND, VALID | BACKGROUND).astype(np.uint8)
-                    ends = np.cumsum((box[rows, 1::2] - box[rows, ::2]).prod(axis=1))
-                    if overlapped:
-                        for row, first in zip(rows.tolist(), (ends - (box[rows, 1::2] - box[rows, ::2]).prod(axis=1)).tolist(), strict=True):
-                            mask[first + batch.column("_over")[row].values.to_numpy()] |= OVERLAPPED
-                    pieces = [piece.tobytes() for piece in np.split(mask, ends[:-1])]
-                    yield pa.RecordBatch.from_arrays([batch.column("row_id").take(pa.array(rows)), pa.array(pieces, type=pa.binary())], names=["row_id", "mask"])
+                for own, inside, _, _ in _inside_of(batch, part, box, experiments, widths):
+                    yield _as_masks(batch, own, box, inside, None)
 
     kind = boxes.select("row_id").schema[0].dataType.simpleString()
     return rows.mapInArrow(run, f"row_id {kind}, mask binary")
 
 
-def neighbour_voxels(boxes: DataFrame, experiments: Experiments, widths: Widths | Mapping[int, Widths], tiles: tuple[int, int, int] = (32, 32, 8), keys: list[str] | None = None) -> DataFrame:
-    """(row_id, voxels): places in a row's box that lie in the foreground of another row's reflection, where there are any.
-
-    Boxes meet by tiles (keys: what else two of them must share, the panel unless given); only where two boxes meet is the
-    neighbour's ellipsoid looked at. boxes are read several times, so they should be stored.
+def _inside_of(batch: pa.RecordBatch, part: np.ndarray, box: np.ndarray, experiments: Experiments, widths: Widths | Mapping[int, Widths]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For some rows of a batch, in parts of one experiment and panel: the rows, and of all voxels of their boxes whether they are inside, their row and place."""
+    s1, phi = _columns(batch, S1).astype(float), batch.column("phi").to_numpy().astype(float)
+    for i, p, own in _kinds(batch.column("id").to_numpy()[part], batch.column("panel").to_numpy()[part]):
+        rows = part[own]
+        inside, of, at = _inside(experiments[i], p, s1[rows], phi[rows], _widths(widths, i), box[rows])
+        yield rows, inside, rows[of], at
+
+
+def _as_masks(batch: pa.RecordBatch, rows: np.ndarray, box: np.ndarray, inside: np.ndarray, over: np.ndarray | None) -> pa.RecordBatch:
+    mask = np.where(inside, VALID | FOREGROUND, VALID | BACKGROUND).astype(np.uint8)
+    if over is not None:
+        mask[over] |= OVERLAPPED
+    ends = np.cumsum((box[rows, 1::2] - box[rows, ::2]).prod(axis=1))
+    return pa.RecordBatch.from_arrays([batch.column("row_id").take(pa.array(rows)), pa.array([piece.tobytes() for piece in np.split(mask, ends[:-1])], type=pa.binary())], names=["row_id", "mask"])
+
+
+def _whole_tiles(batches: Iterator[pa.RecordBatch], groups: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows of some whole tiles at a time, with each row's number of its tile, from rows in the order of tiles; a missing key is like no other."""
+    held: list[pa.RecordBatch] = []
+    n, enough = 0, VOXELS
+
+    def numbered(table: pa.Table) -> np.ndarray:
+        new = np.zeros(len(table), dtype=bool)
+        for c in groups:
+            column = table.column(c).combine_chunks()
+            new[1:] |= pa.compute.fill_null(pa.compute.not_equal(column[1:], column[:-1]), True).to_numpy(zero_copy_only=False)
+        return np.cumsum(new)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        box = _columns(batch, BOX).astype(np.int64)
+        n += int((box[:, 1::2] - box[:, ::2]).prod(axis=1).sum())
+        if n >= enough:
+            table = pa.Table.from_batches(held).combine_chunks()
+            tile = numbered(table)
+            cut = int(np.searchsorted(tile, tile[-1], side="left"))
+            enough = 2 * n  # of one large tile, seldom asked again
+            if cut:
+                yield table.slice(0, cut).to_batches()[0], tile[:cut]
+                held, n, enough = table.slice(cut).to_batches(), 0, VOXELS
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table.to_batches()[0], numbered(table)
+
+
+def neighbour_masks(boxes: DataFrame, experiments: Experiments, widths: Widths | Mapping[int, Widths], tiles: tuple[int, int, int] = (256, 256, 256), keys: list[str] | None = None) -> DataFrame:
+    """(row_id, mask) as masks, with the voxels in the foreground of other reflections marked as overlapped.
+
+    A box is at home in the tile of its lowest voxel, and goes as well to the tiles whose boxes it can meet (keys: what else
+    two of them must share, the panel unless given). There a voxel's foregrounds are counted, so pairs of boxes are never
+    made and the work grows with the boxes, however many lie in one place. boxes are read twice, so they should be stored.
     """
     keys = keys or ["panel"]
     kept = boxes.filter(F.col("x0").isNotNull()).select("row_id", "id", "panel", *(k for k in keys if k not in ("id", "panel")), *S1, "phi", *BOX)
-    pairs = overlaps(kept.select("row_id", *keys, *BOX), "row_id", [("x0", "x1"), ("y0", "y1"), ("z0", "z1")], list(tiles), keys).select("a", "b")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    mine = kept.select(F.col("row_id").alias("a"), *(F.col(c).alias(f"my_{c}") for c in BOX))
-    pairs = both.join(mine, "a").join(kept.withColumnRenamed("row_id", "b"), "b").select("a", *(f"my_{c}" for c in BOX), "id", "panel", *S1, "phi", *BOX)
+    largest = kept.agg(*(F.coalesce(F.max(F.col(high) - F.col(low)), F.lit(1)) for low, high in zip(BOX[::2], BOX[1::2], strict=True))).first()
+    at = ["_t0", "_t1", "_t2"]
+    dealt = kept
+    for t, low, high, size, most in zip(at, BOX[::2], BOX[1::2], tiles, largest, strict=True):
+        dealt = dealt.withColumn(t, F.explode(F.sequence(F.floor((F.col(low) - (most - 1)) / size).cast("int"), F.floor((F.col(high) - 1) / size).cast("int"))))
+    side, reach = np.array(tiles, dtype=np.int64), np.array(tiles, dtype=np.int64) + np.array(list(largest), dtype=np.int64) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own, other = _columns(batch, [f"my_{c}" for c in BOX]).astype(np.int64), _columns(batch, BOX).astype(np.int64)
-            meet = np.where(np.arange(6) % 2 == 0, np.maximum(own, other), np.minimum(own, other))
-            s1, phi = _columns(batch, S1).astype(float), batch.column("phi").to_numpy().astype(float)
-            ids, panels = batch.column("id").to_numpy(), batch.column("panel").to_numpy()
-            for part in _parts((meet[:, 1::2] - meet[:, ::2]).prod(axis=1)):
-                for i, p, these in _kinds(ids[part], panels[part]):
-                    rows = part[these]
-                    inside, of, at = _inside(experiments[i], p, s1[rows], phi[rows], _widths(widths, i), meet[rows])
-                    of, at = rows[of[inside]], at[inside]
-                    nx, ny = ((meet[of, k + 1] - meet[of, k]) for k in (0, 2))
-                    place = [at % nx, at // nx % ny, at // (nx * ny)]
-                    x, y, z = (place[k] + meet[of, 2 * k] - own[of, 2 * k] for k in range(3))
-                    sizes = own[of, 1::2] - own[of, ::2]
-                    voxel = (z * sizes[:, 1] + y) * sizes[:, 0] + x
-                    yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(of)), pa.array(voxel.astype(np.int32))], names=["row_id", "voxel"])
+        for batch, tile in _whole_tiles(batches, [*keys, *at]):
+            box, place = _columns(batch, BOX).astype(np.int64), _columns(batch, at).astype(np.int64)
+            home = (box[:, ::2] // side == place).all(axis=1)
+            first = place * side
+            met = np.empty_like(box)  # what of a box lies within reach of the tile's own boxes; those of them wholly
+            met[:, ::2], met[:, 1::2] = np.maximum(box[:, ::2], first), np.minimum(box[:, 1::2], first + reach)
+
+            def named(of: np.ndarray, at: np.ndarray, met: np.ndarray = met, first: np.ndarray = first, tile: np.ndarray = tile) -> np.ndarray:
+                """A number for each voxel of the tiles."""
+                size = (met[:, 1::2] - met[:, ::2])[of]
+                x, y, z = at % size[:, 0], at // size[:, 0] % size[:, 1], at // (size[:, 0] * size[:, 1])
+                x, y, z = (v + (met[:, 2 * k] - first[:, k])[of] for k, v in enumerate((x, y, z)))
+                return ((tile[of] * reach[2] + z) * reach[1] + y) * reach[0] + x
+
+            volume = np.maximum(met[:, 1::2] - met[:, ::2], 0).prod(axis=1)
+            some = np.flatnonzero(volume)
+            voxels, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+            for part in _parts(volume[some]):
+                for _, inside, of, there in _inside_of(batch, some[part], met, experiments, widths):
+                    both = np.concatenate([voxels, named(of[inside], there[inside])])
+                    voxels, back = np.unique(both, return_inverse=True)
+                    counts = np.bincount(back, weights=np.concatenate([counts, np.ones(len(both) - len(counts))]), minlength=len(voxels)).astype(np.int64)
+            own = np.flatnonzero(home)
+            for part in _parts(volume[own]):
+                for rows, inside, of, there in _inside_of(batch, own[part], met, experiments, widths):
+                    name = named(of, there)
+                    found = np.minimum(np.searchsorted(voxels, name), max(len(voxels) - 1, 0))
+                    covered = np.where(voxels[found] == name, counts[found], 0) if len(voxels) else np.zeros(len(name), dtype=np.int64)
+                    yield _as_masks(batch, rows, met, inside, covered > inside)
 
     kind = boxes.select("row_id").schema[0].dataType.simpleString()
-    # a voxel is one row however many neighbours cover it, so a row's list is no longer than its box
-    return pairs.mapInArrow(run, f"row_id {kind}, voxel int").distinct().groupBy("row_id").agg(F.collect_list("voxel").alias("voxels"))
-
-
-def neighbour_masks(boxes: DataFrame, experiments: Experiments, widths: Widths | Mapping[int, Widths], tiles: tuple[int, int, int] = (32, 32, 8), keys: list[str] | None = None) -> DataFrame:
-    """(row_id, mask) as masks, with the voxels in the foreground of other reflections marked as overlapped."""
-    found = neighbour_voxels(boxes, experiments, widths, tiles, keys)
-    return masks(boxes.join(found.withColumnRenamed("voxels", "_voxels"), "row_id", "left"), experiments, widths, "_voxels")
+    return dealt.repartition(*keys, *at).sortWithinPartitions(*keys, *at).mapInArrow(run, f"row_id {kind}, mask binary")
 
 
 def unobservable(predictions: DataFrame, masked: DataFrame, x: Column, y: Column, width: Column, height: Column, panel: str = "panel") -> DataFrame:

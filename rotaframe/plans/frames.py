@@ -102,7 +102,7 @@ FROM v LEFT JOIN o ON v.row_id = o.row_id AND v.x = o.x AND v.y = o.y AND v.z =
 """)
 def neighbour_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Voxels of each box, those in its foreground, and those in a neighbour's."""
-    boxes = checkpoint(shoeboxes.reflection_boxes(predictions(spark, sf_dir), {0: EXPERIMENT}, WIDTHS))
+    boxes = written(shoeboxes.reflection_boxes(predictions(spark, sf_dir).drop("px", "py"), {0: EXPERIMENT}, WIDTHS))
     return counted(shoeboxes.neighbour_masks(boxes, {0: EXPERIMENT}, WIDTHS))
 
 

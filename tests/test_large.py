@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from rotaframe.operators import fits, joins, storage
+from rotaframe.operators import fits, joins, shoeboxes, storage
 from rotaframe.operators.shoeboxes import BOX
 from rotaframe.plans import frames as plans
 
@@ -46,3 +46,16 @@ def test_sets_of_touching_boxes_stay_whole_whatever_the_batches(monkeypatch):
     sets = [set(c["component"].tolist()) for c in got]
     assert len(sets) > 3 and sum(map(len, sets)) == 7 and set.union(*sets) == set(range(7))
     assert sum(len(c["x"]) for c in got) == 15 * 4 and got[0]["y"].tolist() == [0, 0, 1, 1] * 2
+
+
+def test_neighbours_are_counted_without_pairs_of_boxes(spark, monkeypatch, capsys):
+    monkeypatch.setattr(shoeboxes, "VOXELS", 2000)
+    length = 0.9 * (50.0**2 + 50.0**2 + 250.0**2) ** 0.5
+    rows = [(k, 0, 0, -50 / length, 50 / length, -250 / length, 0.5 if k < 40 else 0.9) for k in range(41)]  # forty in one place, one by itself
+    boxes = storage.checkpoint(shoeboxes.reflection_boxes(spark.createDataFrame(rows, "row_id long, id int, panel int, s1_x double, s1_y double, s1_z double, phi double"), {0: plans.EXPERIMENT}, plans.WIDTHS))
+    masks = shoeboxes.neighbour_masks(boxes, {0: plans.EXPERIMENT}, plans.WIDTHS, tiles=(4, 4, 4))
+    masks.explain()
+    assert "Join" not in capsys.readouterr().out
+    got = {r.row_id: bytes(r["mask"]) for r in masks.collect()}
+    assert len(got) == 41 and set(got[40]) == {3, 5}
+    assert all(got[k] == got[0] and set(got[k]) == {3, 5 | 32} for k in range(40))
