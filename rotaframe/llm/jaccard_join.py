@@ -350,25 +350,34 @@ def fitting(df: DataFrame, rows: int, each: int = 200_000) -> DataFrame:
     return df.coalesce(partitions_for(rows, each, 1))
 
 
+def _pairs(df: DataFrame, *columns: tuple[str, str]) -> DataFrame:
+    """A row (u, v) for each row of df and each pair of columns."""
+    return df.select(F.explode(F.array(*(F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in columns))).alias("pair")).select("pair.u", "pair.v")
+
+
+def _counted(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """edges in as many partitions as they call for; their number, and a sum that tells whether a step changed them."""
+    now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first())
+    return fitting(edges, now[0]), now
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable, by alternating large-star and small-star steps.
 
     edges: u, v longs. No node's edges are ever gathered in one row; a hub's are reduced to their minimum.
     """
     edges = checkpoint(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    edges = fitting(edges, edges.count())
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    edges, before = _counted(edges)
+    while before[0]:
+        # rows are turned by explode(), not by a union, which would read them twice and take one partition apart again
+        both = _pairs(edges, ("u", "v"), ("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: every larger neighbour goes to the least of the neighbourhood
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.join(least.hint("merge"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # small star: a node and its smaller neighbours go to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        edges = checkpoint(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
-        edges = fitting(edges, now[0])
+        small = large.join(low.hint("merge"), "u")
+        edges, now = _counted(checkpoint(_pairs(small, ("v", "m"), ("u", "m")).filter("u <> v").distinct()))
         if now == before:
             break
         before = now

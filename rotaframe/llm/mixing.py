@@ -226,7 +226,9 @@ def _select(rows: DataFrame) -> DataFrame:
     rest = chosen.filter("part > 0 AND NOT inside AND size > 0")
     sizes = rest.groupBy("sources", "size").agg(F.count("*").alias("count")).join(F.broadcast(left), "sources").filter("size <= left")
     needs = sizes.groupBy("sources").applyInArrow(_fill, "sources array<string>, size long, need long")
-    fill = _within(rest.drop("part", "inside", "weight").join(needs.withColumnRenamed("need", "part"), ["sources", "size"]).withColumn("weight", F.lit(1)), ["sources", "size"], lambda df: df)
+    # stored, as _within() reads its rows several times: its plan would hold all of the above as often
+    fitting = checkpoint(rest.drop("part", "inside", "weight").join(needs.withColumnRenamed("need", "part"), ["sources", "size"]).withColumn("weight", F.lit(1)))
+    fill = _within(fitting, ["sources", "size"], lambda df: df)
     filled = fill.filter("inside").select("row", F.lit(1).alias("filled"))
     copies = F.col("whole") + F.col("inside").cast("int") + F.coalesce("filled", F.lit(0))
     return chosen.join(filled, "row", "left").select("doc_id", "row", "sources", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
@@ -240,7 +242,7 @@ def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     chosen = mix(docs, id_col, text_col, source_col, **options)
     by_id = chosen.groupBy(F.col("doc_id").alias("_mix_id")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    held = docs.join(by_id.filter("_copies > 0"), F.col(id_col).eqNullSafe(F.col("_mix_id")))
+    held = docs.join(checkpoint(by_id.filter("_copies > 0")), F.col(id_col).eqNullSafe(F.col("_mix_id")))
     own = Window.partitionBy("_mix_id").orderBy(F.xxhash64(F.col(text_col)))
     # ids are unique as a rule; only others are ranked
     once = held.filter("_rows = 1").withColumn("_times", F.col("_copies").cast("int"))

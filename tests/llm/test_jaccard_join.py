@@ -135,3 +135,13 @@ def test_components_of_random_graphs(spark):
                 seen.add(y)
                 stack.append(y)
         assert got.get(node, node) == min(seen)
+
+
+def test_no_edges_take_no_steps(spark, monkeypatch):
+    stored, own = [], module.checkpoint
+    monkeypatch.setattr(module, "checkpoint", lambda df: stored.append(df) or own(df))
+    edges = spark.createDataFrame([(5, 4), (4, 3), (9, 3), (8, 7), (6, 6)], "u long, v long")
+    assert {r.node: r.component for r in components(edges).collect()} == {4: 3, 5: 3, 9: 3, 8: 7}
+    assert len(stored) > 1
+    stored.clear()
+    assert components(edges.filter("u = 6")).collect() == [] and len(stored) == 1
