@@ -33,12 +33,12 @@ MAGIC = b"RTK2"
 HEAD = struct.Struct("<4sIIIII")  # magic, ids, docs, lanes, vocabulary, crc32 of the rest
 WORD = np.uint64(32)
 LOW = np.uint64((1 << 32) - 1)
+ONE = np.int32(1)
 SHARE_BITS = np.uint64(12)
 SHARE = 1 << 12  # scale of the three shares
 MOST = 1 << 20  # the frequencies of order 0 add up to less
 SLOTS = 1 << 18  # of order 2
-#: A confidence after one more hit; at 4, after a miss.
-SURER = np.array([1, 2, 3, 3, 0], dtype=np.int32)
+SUREST = np.int32(3)  # a confidence grows by one with a hit, up to this, and is 0 after a miss
 
 
 class Model:
@@ -83,10 +83,10 @@ class Model:
         self.end2, self.end1 = e2.astype(np.uint64), e1.astype(np.uint64)
 
     def learn(self, now: np.ndarray, a: np.ndarray, slot: np.ndarray, miss2: np.ndarray, miss1: np.ndarray, key: np.ndarray) -> None:
-        """now: 4 * the step's ids; miss2, miss1: prediction ^ now, under 4 where it was right."""
+        """now: 4 * the step's ids; miss2, miss1: prediction ^ now, under 4 where it was right, and the confidence then."""
         # lanes with one context: the last lane's entry stands, as numpy assigns in order
-        self.next2[slot] = now + SURER[np.minimum(miss2, 4)]
-        self.next1[a] = now + SURER[np.minimum(miss1, 4)]
+        self.next2[slot] = now + np.minimum(miss2 + 1, SUREST) * (miss2 < 4)
+        self.next1[a] = now + np.minimum(miss1 + 1, SUREST) * (miss1 < 4)
         self.seen.append(now)
         self.keys.append(key)
         self.step += 1
@@ -137,8 +137,9 @@ def _encode_ids(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarra
         a, slot, now = columns[t + 1, :m], slots[t, :m], columns[t + 2, :m] << 2
         p2, p1 = model.next2[slot], model.next1[a]
         miss2, miss1 = p2 ^ now, p1 ^ now
-        which = np.where(miss2 < 4, 0, 2 - (miss1 < 4))
-        key = ((p2 & 3) << 4) + ((p1 & 3) << 2) + which
+        which = (miss2 > 3) * ((miss1 > 3) + ONE)
+        # keys and slots are places in tables, which numpy wants in 64 bits
+        key = (((p2 & 3) << 4) + ((p1 & 3) << 2) + which).astype(np.int64)
         r = size[:m] >> SHARE_BITS
         first, width = r * model.bottom[key], r * model.width[key]
         rest = np.flatnonzero(which == 2)
@@ -179,10 +180,10 @@ def _decode_ids(n: int, lanes: int, used: np.ndarray, flat: np.ndarray, vocabula
         a = columns[t + 1, :m]
         slot = _slot(a, columns[t, :m])
         p2, p1 = model.next2[slot], model.next1[a]
-        cell = ((p2 & 3) << 2) + (p1 & 3)
+        cell = (((p2 & 3) << 2) + (p1 & 3)).astype(np.int64)
         lo, r, co = low[:m], size[:m] >> SHARE_BITS, code[:m]
         off = co - lo
-        which = (off >= r * model.end2[cell]).astype(np.int32) + (off >= r * model.end1[cell])
+        which = (off >= r * model.end2[cell]).astype(np.int64) + (off >= r * model.end1[cell])
         key = (cell << 2) + which
         first, width = r * model.bottom[key], r * model.width[key]
         now = np.where(which == 0, p2, p1) & ~3

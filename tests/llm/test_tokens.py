@@ -74,3 +74,10 @@ def test_round_trip_of_documents(spark):
     for df in (frame(spark), clashing(spark)):
         assert sorted(map(tuple, round_trip(df, path).collect()), key=lambda r: r[1]) == want
     assert round_trip(frame(spark, []), path).collect() == []
+
+
+def test_bytes_of_a_block_stay():
+    ids = (np.arange(300_000) ** 2 // 7 % 1009 % 501).astype(np.uint16)
+    block = encode_block([1], [len(ids)], ids, 50257)
+    assert (len(block), zlib.crc32(block)) == (66469, 1991960976)  # as files written so far
+    assert (decode_block(block)[2] == ids).all()
