@@ -44,7 +44,8 @@ SUREST = np.int32(3)  # a confidence grows by one with a hit, up to this, and is
 class Model:
     """What coder and decoder know before a step; both make it from the same ids.
 
-    Predictions are kept as 4 * id + confidence. A key is 16 * confidence of order 2
+    Predictions are kept as 4 * id + confidence. Ids, slots and keys are places in
+    tables and have 64 bits, as numpy wants of those. A key is 16 * confidence of order 2
     + 4 * confidence of order 1 + which prediction was right: 0 order 2, 1 order 1, 2 neither.
     """
 
@@ -54,6 +55,7 @@ class Model:
         self.next1 = np.zeros(vocabulary, dtype=np.int32)
         self.next2 = np.zeros(SLOTS, dtype=np.int32)
         self.counts = np.ones(vocabulary, dtype=np.int64)
+        self.ids = np.arange(vocabulary, dtype=np.uint16 if vocabulary <= 1 << 16 else np.int32)  # the smaller, the more of inverse is in a cache
         self.shares = np.tile(np.array([2, 2, 12, 0], dtype=np.int64), 16)
         self.step = 0
         self.seen: list[np.ndarray] = []
@@ -66,10 +68,11 @@ class Model:
         counts = self.counts
         if counts.sum() >= MOST:
             counts = self.counts = (counts + 1) >> 1
-        self.cumulative = np.concatenate([[0], np.cumsum(counts)]).astype(np.uint64)
-        self.total = np.uint64(self.cumulative[-1])
+        ends = np.cumsum(counts)
+        self.cumulative, self.each = (ends - counts).astype(np.uint64), counts.astype(np.uint64)
+        self.total = np.uint64(ends[-1])
         # for the decoder: the id at each point
-        self.inverse = np.repeat(np.arange(self.vocabulary, dtype=np.int32), counts) if self.decodes else None
+        self.inverse = np.repeat(self.ids, counts) if self.decodes else None
 
     def _weigh(self) -> None:
         """By key: where its share begins, and how wide it is; at least 1 for orders 2 and 1, and 62 for order 0."""
@@ -105,49 +108,49 @@ class Model:
 
 def _slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Of order 2, for the id before and the one before that."""
-    return (a * np.int32(0x9E3B) + b * np.int32(0x85EB)) & np.int32(SLOTS - 1)  # wraps around
+    return (a * 0x9E3B + b * 0x85EB) & (SLOTS - 1)
 
 
 def lanes_of(n: int) -> int:
     return max(1, min(4096, n // 128))
 
 
-def _runs(n: int, lanes: int) -> np.ndarray:
-    """Where each lane's run begins; the first ones are one longer where n doesn't divide."""
+def _runs(n: int, columns: np.ndarray) -> list[tuple[slice, np.ndarray]]:
+    """Places in the ids of whole lanes' runs, and the part of columns (steps, lanes) that has them side by side; the first lanes' are one longer where n doesn't divide."""
+    lanes = columns.shape[1]
     base, more = divmod(n, lanes)
-    return np.concatenate([[0], np.cumsum(np.full(lanes, base) + (np.arange(lanes) < more))])
+    cut = more * (base + 1)
+    return [(slice(0, cut), columns[: base + 1, :more]), (slice(cut, n), columns[:base, more:])]
 
 
 def _encode_ids(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
     """(words of each lane, all lanes' words)."""
     n = len(ids)
     lanes = lanes_of(n)
-    begin = _runs(n, lanes)[:-1]
     steps, short = -(-n // lanes), n // lanes
     model = Model(vocabulary, False)
     low, size = np.zeros(lanes, dtype=np.uint64), np.full(lanes, ~np.uint64(0))
-    ids = np.append(ids.astype(np.int32), np.int32(0))
     # a step's ids side by side, after two steps of id 0
-    columns = np.zeros((steps + 2, lanes), dtype=np.int32)
-    columns[2:] = ids[np.minimum(begin[None, :] + np.arange(steps)[:, None], n)]
-    slots = _slot(columns[1:-1], columns[:-2])
+    columns = np.zeros((steps + 2, lanes), dtype=np.int64)
+    for places, own in _runs(n, columns[2:]):
+        own[:] = ids[places].reshape(own.shape[::-1]).T
+    marked = (columns << 2).astype(np.int32)
     whose, words = [], []
     for t in range(steps):
         m = lanes if t < short else n - short * lanes
-        a, slot, now = columns[t + 1, :m], slots[t, :m], columns[t + 2, :m] << 2
-        p2, p1 = model.next2[slot], model.next1[a]
+        a, now = columns[t + 1, :m], marked[t + 2, :m]
+        slot = _slot(a, columns[t, :m])
+        p2, p1 = model.next2.take(slot), model.next1.take(a)
         miss2, miss1 = p2 ^ now, p1 ^ now
         which = (miss2 > 3) * ((miss1 > 3) + ONE)
-        # keys and slots are places in tables, which numpy wants in 64 bits
         key = (((p2 & 3) << 4) + ((p1 & 3) << 2) + which).astype(np.int64)
         r = size[:m] >> SHARE_BITS
-        first, width = r * model.bottom[key], r * model.width[key]
+        first, width = r * model.bottom.take(key), r * model.width.take(key)
         rest = np.flatnonzero(which == 2)
-        x = columns[t + 2, rest]
-        c = model.cumulative[x]
-        unit = width[rest] // model.total
-        first[rest] += unit * c
-        width[rest] = unit * (model.cumulative[x + 1] - c)
+        x = columns[t + 2].take(rest)
+        unit = width.take(rest) // model.total
+        first[rest] += unit * model.cumulative.take(x)
+        width[rest] = unit * model.each.take(x)
         lo = low[:m]
         lo += first
         out = np.flatnonzero(width <= LOW)
@@ -174,26 +177,25 @@ def _decode_ids(n: int, lanes: int, used: np.ndarray, flat: np.ndarray, vocabula
     flat = flat.astype(np.uint64)
     code = (flat[at] << WORD) | flat[at + 1]
     at = at + 2
-    columns = np.zeros((steps + 2, lanes), dtype=np.int32)
+    columns = np.zeros((steps + 2, lanes), dtype=np.int64)
     for t in range(steps):
         m = lanes if t < short else n - short * lanes
         a = columns[t + 1, :m]
         slot = _slot(a, columns[t, :m])
-        p2, p1 = model.next2[slot], model.next1[a]
+        p2, p1 = model.next2.take(slot), model.next1.take(a)
         cell = (((p2 & 3) << 2) + (p1 & 3)).astype(np.int64)
         lo, r, co = low[:m], size[:m] >> SHARE_BITS, code[:m]
         off = co - lo
-        which = (off >= r * model.end2[cell]).astype(np.int64) + (off >= r * model.end1[cell])
+        which = (off >= r * model.end2.take(cell)).astype(np.int64) + (off >= r * model.end1.take(cell))
         key = (cell << 2) + which
-        first, width = r * model.bottom[key], r * model.width[key]
+        first, width = r * model.bottom.take(key), r * model.width.take(key)
         now = np.where(which == 0, p2, p1) & ~3
         rest = np.flatnonzero(which == 2)
-        unit = width[rest] // model.total
-        x = model.inverse[np.minimum((off[rest] - first[rest]) // unit, model.total - np.uint64(1)).astype(np.int64)]
-        c = model.cumulative[x]
-        first[rest] += unit * c
-        width[rest] = unit * (model.cumulative[x + 1] - c)
+        unit, base = width.take(rest) // model.total, first.take(rest)
+        x = model.inverse.take(np.minimum((off.take(rest) - base) // unit, model.total - np.uint64(1)).astype(np.int64)).astype(np.int64)
         now[rest] = x << 2
+        first[rest] = base + unit * model.cumulative.take(x)
+        width[rest] = unit * model.each.take(x)
         lo += first
         out = np.flatnonzero(width <= LOW)
         if len(out):
@@ -205,8 +207,7 @@ def _decode_ids(n: int, lanes: int, used: np.ndarray, flat: np.ndarray, vocabula
         size[:m] = width
         columns[t + 2, :m] = now >> 2
         model.learn(now, a, slot, p2 ^ now, p1 ^ now, key)
-    lengths = np.diff(_runs(n, lanes))
-    return columns[2:].T[np.arange(steps)[None, :] < lengths[:, None]]
+    return np.concatenate([own.T.ravel() for _, own in _runs(n, columns[2:])])
 
 
 def encode_block(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, vocabulary: int) -> bytes:

@@ -16,6 +16,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +31,21 @@ from .tokens import Encoder
 BLOCK_IDS = 1 << 20
 
 
+class BlockEncoder(Encoder):
+    """An encoder with a memo of about 150 MB and larger chunks: fewer pieces are encoded or looked up again."""
+
+    _of: ClassVar[dict[str, Encoder]] = {}
+    most: ClassVar[int | None] = 800_000
+    chunk: ClassVar[int | None] = 1 << 23
+
+
 def write_blocks(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, block_ids: int = BLOCK_IDS, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write docs' ids under path: file, number (of the block in its file), n_ids, block."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").select("doc_id", "text", F.spark_partition_id().alias("file"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.shared(vocabulary)
+        encoder = BlockEncoder.shared(vocabulary)
         size = encoder.tokenizer.get_vocab_size()
         names, held, n, number, file = [], [], 0, 0, 0
 

@@ -9,9 +9,9 @@ import pytest
 from tokenizers import Tokenizer
 
 import rotaframe.llm.tokens as tokens
-from rotaframe.llm.coder import decode_block, encode_block
+from rotaframe.llm.coder import _runs, decode_block, encode_block, lanes_of
 from rotaframe.llm.queries import vocabulary
-from rotaframe.llm.token_output import round_trip
+from rotaframe.llm.token_output import BlockEncoder, round_trip
 from rotaframe.llm.tokens import Encoder
 
 from .helpers import clashing, documents, frame
@@ -81,3 +81,42 @@ def test_bytes_of_a_block_stay():
     block = encode_block([1], [len(ids)], ids, 50257)
     assert (len(block), zlib.crc32(block)) == (66469, 1991960976)  # as files written so far
     assert (decode_block(block)[2] == ids).all()
+
+
+def test_words_of_letters_need_no_search_for_pre_tokens(monkeypatch):
+    path = vocabulary("byte_bpe_50k.json")
+    plain, rng, seen = Tokenizer.from_file(path), random.Random(4), []
+    encoder = BlockEncoder(path)
+    monkeypatch.setattr(encoder, "_worded", lambda pieces, way=encoder._worded: seen.extend(pieces) or way(pieces))
+    words = ["".join(rng.choices("aBcdeZ", k=rng.randrange(1, 12))) for _ in range(3000)] + ["don't", "x1", "é", "Ġ", "\u0120a", "a_b", "I'm", "n.", "s,"]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(1, 60))) for _ in range(400)]
+    texts += [" lead", "trail ", "a\nb\n c", "a  b", "Ġa Ġb", "one"]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    assert len(seen) > 2000 and all(p[:1] == b" " and p[1:].isalpha() and p.isascii() for p in seen)
+
+
+def test_memo_and_chunk_of_blocks(monkeypatch):
+    path = vocabulary("byte_bpe_50k.json")
+    monkeypatch.setattr(tokens, "MEMO", 3)
+    monkeypatch.setattr(BlockEncoder, "most", 50)
+    monkeypatch.setattr(BlockEncoder, "chunk", 400)
+    plain, encoder, rng, sizes = Tokenizer.from_file(path), BlockEncoder(path), random.Random(5), []
+    for _ in range(200):
+        text = " ".join("".join(rng.choices("abcd", k=3)) for _ in range(20))
+        sizes.append(len(encoder.memo))
+        assert next(encoder.encode([text])).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert 30 < max(sizes) <= 50 + 20
+    assert BlockEncoder.shared(path) is not Encoder.shared(path)
+
+
+@pytest.mark.parametrize("n", [4096 * 128, 4096 * 130 + 1, 4096 * 131 - 1, 128 * 7 + 5, 129])
+def test_lanes_of_unlike_length(n):
+    ids = (np.arange(n) ** 2 // 11 % 997).astype(np.uint16)
+    columns = np.zeros((-(-n // lanes_of(n)), lanes_of(n)), dtype=np.int64)
+    for places, own in _runs(n, columns):
+        own[:] = ids[places].reshape(own.shape[::-1]).T
+    base, more = divmod(n, lanes_of(n))
+    assert (columns[:, 0] == ids[: len(columns)]).all() and (columns[:base, -1] == ids[n - base :]).all()
+    assert more in (0, lanes_of(n)) or (columns[base, more:] == 0).all()
+    assert (decode_block(encode_block([1], [n], ids, 50257))[2] == ids).all()
