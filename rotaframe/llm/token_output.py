@@ -36,7 +36,7 @@ class BlockEncoder(Encoder):
 
     _of: ClassVar[dict[str, Encoder]] = {}
     most: ClassVar[int | None] = 800_000
-    chunk: ClassVar[int | None] = 1 << 23
+    chunk: ClassVar[int | None] = 1 << 22
 
 
 def write_blocks(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, block_ids: int = BLOCK_IDS, id_col: str = "doc_id", text_col: str = "text") -> None:
