@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import collections
+import datetime
 import math
 import os
 import random
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from rotaframe.functions import geometry, stats
 from rotaframe.operators import images, integration, joins, lattice, merging, selection, symmetry, windows
-from rotaframe.plans import scaling
+from rotaframe.plans import queries, scaling
 from rotaframe.sources import tables
 from rotaframe.streaming.components import stream_spots
 
@@ -160,6 +162,34 @@ def test_spots_of_a_sweep(spark):
     assert hot.count() >= 10
 
 
+def test_spots_of_pages_leave_no_component_out(spark, tmp_path):
+    rng = random.Random(8)
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(start + datetime.timedelta(minutes=rng.randrange(2 * 1440)), rng.randrange(90)) for _ in range(2500)]
+    rows += [(start, None), (start, None), (None, 7), (None, None)]
+    spark.createDataFrame(rows, "ts timestamp_ntz, user_id long").write.parquet(str(tmp_path / "events.parquet"))
+    marks = collections.Counter()
+    for ts, user in rows:
+        minute = None if ts is None else (ts - start) // datetime.timedelta(minutes=1)
+        day = None if ts is None else (ts - datetime.datetime(1970, 1, 1)).days
+        marks[(day, *((None, None) if ts is None else (minute % 1440 // 60, minute % 60 // 6)), None if user is None else user % 40)] += 1
+    left, expected = dict(marks), collections.Counter()
+    while left:
+        part, edge = {}, [next(iter(left))]
+        while edge:
+            at = edge.pop()
+            if at not in left:
+                continue
+            part[at] = left.pop(at)
+            if None not in at:
+                edge += [(*at[:k], at[k] + step, *at[k + 1 :]) for k in (1, 2, 3) for step in (-1, 1)]
+        bounds = [None if None in own else bound(own) + more for k, shift in ((2, 0), (3, 0), (1, -1)) for own in [[p[k] for p in part]] for bound, more in ((min, shift), (max, shift + 1))]
+        expected[(next(iter(part))[0], len(part), sum(part.values()), *bounds)] += 1
+    got = collections.Counter(tuple(r) for r in queries.spots_of_pages(spark, str(tmp_path)).collect())
+    assert got == expected
+    assert sum(n for r, n in got.items() if r[1] == 1) > 100 and sum(r[2] * n for r, n in got.items()) == len(rows)
+
+
 @pytest.mark.parametrize("ending", ["a gap", "a row without a value"])
 def test_streamed_spots_are_those_of_the_batch(spark, tmp_path, ending):
     rng = random.Random(6)
